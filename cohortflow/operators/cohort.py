@@ -132,14 +132,16 @@ def sample_top(df: DataFrame, n: int, key: str = "note_id", seed: int = config.S
 
 def select_notes(t: src.Tables, patient_type: str = "inpatient", keep_last_note_only: bool = True,
                  n_notes: int | None = None, ids: DataFrame | None = None,
-                 min_length: int = 500, seed: int = config.SEED) -> tuple[DataFrame, DataFrame]:
+                 min_length: int = 500, seed: int = config.SEED,
+                 visits_df: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """C1 (P4 J2 J3 P5 W1 A35 T1): notes and visits of a patient type.
 
     Returns ``(notes, visits)``; visits = distinct (person, visit, start) of
-    the selected notes.
+    the selected notes.  ``visits_df`` replaces the visit table (e.g. visits
+    already restricted upstream).
     """
     visit_type, note_class = config.PATIENT_TYPES[patient_type]
-    v = visits(t, visit_type=visit_type, ids=ids)
+    v = visits(t, visit_type=visit_type, ids=ids) if visits_df is None else visits_df
     if patient_type == "inpatient":
         v = coded_visits(v, conditions(t))
     n = (notes(t, ids)

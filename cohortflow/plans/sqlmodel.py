@@ -73,7 +73,7 @@ def with_model(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({MODEL[n]})" for n in names)
 
 
-def inpatient_notes_sql(patient_type: str = "inpatient") -> str:
+def inpatient_notes_sql(patient_type: str = "inpatient", visits: str = "visit_occurrence") -> str:
     """C1 as SQL (body of a CTE named by the caller)."""
     vt, nc = config.PATIENT_TYPES[patient_type]
     coded = ("AND visit_occurrence_id IN (SELECT visit_occurrence_id FROM condition_occurrence)"
@@ -83,7 +83,7 @@ def inpatient_notes_sql(patient_type: str = "inpatient") -> str:
                row_number() OVER (PARTITION BY n.visit_occurrence_id
                                   ORDER BY n.note_datetime DESC, n.note_id DESC) AS rn
         FROM orbis_note n
-        JOIN (SELECT * FROM visit_occurrence WHERE visit_source_value = {lit(vt)} {coded}) v
+        JOIN (SELECT * FROM {visits} WHERE visit_source_value = {lit(vt)} {coded}) v
           ON n.person_id = v.person_id AND n.visit_occurrence_id = v.visit_occurrence_id
         WHERE n.note_class_source_value = {lit(nc)} AND n.note_text IS NOT NULL AND length(n.note_text) > 500
       ) WHERE rn = 1"""
