@@ -1,6 +1,6 @@
 """Imports every job module so the registry is complete."""
 
-from cohortflow.plans import cohort_jobs, eval_jobs, score_jobs, snippet_jobs, text_jobs  # noqa: F401
+from cohortflow.plans import cohort_jobs, eval_jobs, report_jobs, score_jobs, snippet_jobs, text_jobs  # noqa: F401
 from cohortflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
