@@ -154,11 +154,13 @@ def qualifier_metrics_on_gold(spark, sf_dir):
 
 @register("zero_safe_metrics")
 def zero_safe_metrics(spark, sf_dir):
-    """A30 + A31 on the note-level confusion counts of the rule-based method."""
+    """A30 + A31 (zero-safe micro / macro / weighted, long form) on the
+    note-level confusion counts of the rule-based method."""
     e = Eval(spark, sf_dir)
     c = metrics.note_confusion(e.note_labels("rule_based", ("label_name", "cse")),
                                e.note_labels("gold", ("label_name", "cse")), "rule_based", ["label_name", "cse"])
-    return metrics.all_metrics_zero_safe(c, ["cse"])
+    from cohortflow.operators import resample
+    return resample.all_metrics(c, ["cse"])
 
 
 # ---------------------------------------------------------------------------
@@ -309,9 +311,14 @@ UNION ALL SELECT label_name, label_value, cse, TP, FN, FP, Support, PPV, Sensiti
 
 
 def _zero_safe_sql():
-    z = lambda s: f"""(SELECT *, TP + FN AS Support, coalesce({es.pct('TP', 'TP + FP')}, 0.0) AS PPV,
-                      coalesce({es.pct('TP', 'TP + FN')}, 0.0) AS Sensitivity FROM {s})"""
-    f = lambda s: f"(SELECT *, coalesce({es.f1('PPV', 'Sensitivity')}, 0.0) AS F1 FROM {z(s)})"
+    rare = "(" + ", ".join(f"'{x}'" for x in ["Total"] + config.RARE_COMORBS) + ")"
+
+    def zs(src, lab="label_name, "):
+        return f"""SELECT *, CASE WHEN TP + FP > 0 THEN 100.0 * (TP / (TP + FP)) ELSE 0.0 END AS PPV,
+              CASE WHEN TP + FN > 0 THEN 100.0 * (TP / (TP + FN)) ELSE 0.0 END AS Sensitivity,
+              CASE WHEN TP + FP > 0 AND TP + FN > 0 THEN 100.0 * ((2.0 * TP) / (2.0 * TP + FP + FN)) ELSE 0.0 END AS F1,
+              TP + FN AS Support FROM {src}"""
+    ms = ["PPV", "Sensitivity", "F1", "Support"]
     return (_nl_sql("rule_based", ("label_name", "cse")) + _nl_sql("gold", ("label_name", "cse")) + f""",
 u AS (SELECT label_name, cse, note_id, source FROM nl_rule_based UNION ALL
       SELECT label_name, cse, note_id, source FROM nl_gold),
@@ -319,24 +326,20 @@ pn AS (SELECT label_name, cse, note_id, bool_or(source = 'rule_based') AS a, boo
        FROM u GROUP BY ALL),
 cnt AS (SELECT label_name, cse, count_if(a AND g) AS TP, count_if(a AND NOT g) AS FP, count_if(NOT a AND g) AS FN
         FROM pn GROUP BY ALL),
-per AS {f("cnt")},
-mic0 AS (SELECT cse, CAST(coalesce(sum(TP), 0) AS BIGINT) AS TP, CAST(coalesce(sum(FP), 0) AS BIGINT) AS FP,
-                CAST(coalesce(sum(FN), 0) AS BIGINT) AS FN FROM per GROUP BY cse),
-mic AS (SELECT 'micro' AS label_name, * FROM {f("mic0")}),
-mac AS (SELECT 'macro' AS label_name, cse, avg(PPV) AS PPV, avg(Sensitivity) AS Sensitivity, avg(F1) AS F1,
-               CAST(coalesce(sum(TP), 0) AS BIGINT) AS TP, CAST(coalesce(sum(FP), 0) AS BIGINT) AS FP,
-               CAST(coalesce(sum(FN), 0) AS BIGINT) AS FN, CAST(coalesce(sum(Support), 0) AS BIGINT) AS Support
-        FROM per GROUP BY cse),
-wei AS (SELECT 'weighted' AS label_name, cse,
-               {", ".join(f"coalesce(sum({c} * Support) / CAST(NULLIF(sum(Support), 0) AS DOUBLE), 0.0) AS {c}"
-                          for c in ("PPV", "Sensitivity", "F1"))},
-               CAST(coalesce(sum(TP), 0) AS BIGINT) AS TP, CAST(coalesce(sum(FP), 0) AS BIGINT) AS FP,
-               CAST(coalesce(sum(FN), 0) AS BIGINT) AS FN, CAST(coalesce(sum(Support), 0) AS BIGINT) AS Support
-        FROM per GROUP BY cse)
-SELECT label_name, cse, TP, FP, FN, Support, PPV, Sensitivity, F1 FROM per
-UNION ALL SELECT label_name, cse, TP, FP, FN, Support, PPV, Sensitivity, F1 FROM mic
-UNION ALL SELECT label_name, cse, TP, FP, FN, Support, PPV, Sensitivity, F1 FROM mac
-UNION ALL SELECT label_name, cse, TP, FP, FN, Support, PPV, Sensitivity, F1 FROM wei""")
+per0 AS (SELECT cse, label_name, CAST(sum(TP) AS DOUBLE) AS TP, CAST(sum(FP) AS DOUBLE) AS FP,
+                CAST(sum(FN) AS DOUBLE) AS FN FROM cnt GROUP BY ALL),
+per AS ({zs("per0")}),
+tot AS (SELECT cse, sum(TP) AS TP, sum(FP) AS FP, sum(FN) AS FN FROM per GROUP BY cse),
+mic AS (SELECT cse, 'micro' AS method, {", ".join(ms)} FROM ({zs("tot")})),
+nr AS (SELECT * FROM per WHERE label_name NOT IN {rare}),
+mac AS (SELECT cse, 'macro' AS method,
+               {", ".join(f"sum({m}) / NULLIF(CAST(count_if(Support > 0) AS DOUBLE), 0) AS {m}" for m in ms)}
+        FROM nr GROUP BY cse),
+wei AS (SELECT cse, 'weighted' AS method,
+               {", ".join(f"sum({m} * Support) / NULLIF(sum(Support), 0) AS {m}" for m in ms)}
+        FROM nr GROUP BY cse),
+w AS (SELECT * FROM mic UNION ALL SELECT * FROM mac UNION ALL SELECT * FROM wei)
+SELECT * FROM (UNPIVOT w ON {", ".join(ms)} INTO NAME metric VALUE value)""")
 
 
 def _install_sql():
