@@ -39,21 +39,41 @@ def fold_accents(c: Column) -> Column:
     return F.translate(c, ACCENTS_FROM, ACCENTS_TO)
 
 
+def prefix_sums(arr: Column) -> Column:
+    """Inclusive prefix sums of an int/long array in O(k log k): log2(k)
+    doubling passes, each one ``transform`` over the previous pass (the
+    accumulator is a lambda variable, read by index in O(1))."""
+    k = F.size(arr)
+    passes = F.when(k > 1, F.ceil(F.log2(k)).cast("int") + 1).otherwise(F.lit(0))
+    steps = F.when(passes > 0, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))
+
+    def one_pass(acc, j):
+        d = F.pow(F.lit(2.0), j).cast("int")
+        return F.transform(acc, lambda x, i: x + F.when(i >= d, F.element_at(acc, i - d + 1)).otherwise(F.lit(0)))
+
+    return F.aggregate(steps, arr, one_pass)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Array of struct(begin, end, text) for every non-overlapping match.
 
     pieces = split(text, re) (k+1 pieces), matches = regexp_extract_all
-    (k matches); begin_i = sum_{j<i}(|piece_j| + |match_j|) + |piece_i|.
+    (k matches); begin_i = sum_{j<i}(|piece_j| + |match_j|) + |piece_i|,
+    i.e. an exclusive prefix sum -- computed with ``prefix_sums``.
     """
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     step = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches,
                       lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    cum = F.aggregate(step, F.array(F.lit(0).cast("long")),
-                      lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    incl = prefix_sums(step)
+
+    def begin(i):
+        before = F.when(i > 0, F.element_at(incl, F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+        return before + F.length(F.element_at(pieces, i + 1))
+
     return F.transform(matches, lambda m, i: F.struct(
-        (F.element_at(cum, i + 1) + F.length(F.element_at(pieces, i + 1))).cast("int").alias("begin"),
-        (F.element_at(cum, i + 1) + F.length(F.element_at(pieces, i + 1)) + F.length(m)).cast("int").alias("end"),
+        begin(i).cast("int").alias("begin"),
+        (begin(i) + F.length(m)).cast("int").alias("end"),
         m.alias("text")))
 
 
@@ -66,5 +86,24 @@ def sentence_prefix(text: Column, begin: Column) -> Column:
     return F.reverse(F.regexp_extract(rev, r"^[^.!?\n]*", 0))
 
 
+# Reversed / forward anchored patterns for neighbourhoods (linear per entity).
+_T = r"[.!?\n]"
+_B = r"[^.!?\n]"
+SENT_BEFORE_RE = "^" + _B + "*(?:" + _T + "+" + _B + "*){0,%d}"
+SENT_AFTER_RE = "^" + _B + "*" + _T + "*(?:" + _B + "+" + _T + "*){0,%d}"
+TOK = r"(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}])"
+TOK_AROUND_RE = r"^(?:\s*" + TOK + "){0,%d}"
+
+
+def before_length(text: Column, begin: Column, pattern: str) -> Column:
+    """Length of the anchored match of ``pattern`` on the reversed prefix."""
+    return F.length(F.regexp_extract(F.reverse(F.substring(text, 1, begin)), pattern, 0))
+
+
+def after_length(text: Column, end: Column, pattern: str) -> Column:
+    """Length of the anchored match of ``pattern`` on the suffix after ``end``."""
+    return F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), pattern, 0))
+
+
 def has_cue(c: Column, cues: list[str]) -> Column:
     return c.rlike(words_pattern(cues))
