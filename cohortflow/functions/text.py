@@ -7,7 +7,7 @@ emitted with their offsets, and the text can be dropped before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentence pieces tile the text exactly (every char belongs to one piece).
@@ -54,27 +54,33 @@ def prefix_sums(arr: Column) -> Column:
     return F.aggregate(steps, arr, one_pass)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Array of struct(begin, end, text) for every non-overlapping match.
+def with_match_spans(df: DataFrame, text: Column, pattern: str, out: str) -> DataFrame:
+    """Add ``out``: array of struct(begin, end, text) for every
+    non-overlapping match of ``pattern`` in ``text`` (code-point offsets).
 
     pieces = split(text, re) (k+1 pieces), matches = regexp_extract_all
-    (k matches); begin_i = sum_{j<i}(|piece_j| + |match_j|) + |piece_i|,
-    i.e. an exclusive prefix sum -- computed with ``prefix_sums``.
+    (k matches); begin_i = sum_{j<i}(|piece_j| + |match_j|) + |piece_i| --
+    an exclusive prefix sum (``prefix_sums``).  Each intermediate array is
+    its own projected column: expressions inside lambdas are not shared, so
+    inlining them would rescan the text once per match.
     """
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    step = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches,
-                      lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    incl = prefix_sums(step)
+    tmp = [f"_{out}_pc", f"_{out}_mt", f"_{out}_st", f"_{out}_in"]
+    pc, mt, st, inc = (F.col(c) for c in tmp)
+    d = df.withColumn(tmp[0], F.split(text, pattern, -1)) \
+        .withColumn(tmp[1], F.regexp_extract_all(text, F.lit(pattern), 0))
+    d = d.withColumn(tmp[2], F.zip_with(F.slice(pc, 1, F.size(mt)), mt,
+                                        lambda a, b: (F.length(a) + F.length(b)).cast("long")))
+    d = d.withColumn(tmp[3], prefix_sums(st))
 
     def begin(i):
-        before = F.when(i > 0, F.element_at(incl, F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long"))
-        return before + F.length(F.element_at(pieces, i + 1))
+        before = F.when(i > 0, F.element_at(inc, F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+        return before + F.length(F.element_at(pc, i + 1))
 
-    return F.transform(matches, lambda m, i: F.struct(
+    d = d.withColumn(out, F.transform(mt, lambda m, i: F.struct(
         begin(i).cast("int").alias("begin"),
         (begin(i) + F.length(m)).cast("int").alias("end"),
-        m.alias("text")))
+        m.alias("text"))))
+    return d.drop(*tmp)
 
 
 def sentence_prefix(text: Column, begin: Column) -> Column:

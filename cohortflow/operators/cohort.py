@@ -103,6 +103,36 @@ def sample_persons(ids: DataFrame, max_number: int, total: int, seed: int = conf
 # Notes and visits for a patient type
 # ---------------------------------------------------------------------------
 
+def _note_length():
+    """Stored text length when the source has it, else length(note_text)."""
+    return F.coalesce(F.col("note_length"), F.length("note_text"))
+
+
+def select_notes_all(t: src.Tables, patient_types=("inpatient", "outpatient"), min_length: int = 500,
+                     ids: DataFrame | None = None) -> DataFrame:
+    """C1 for several patient types in one pass over the notes: each type's
+    visits (coded ones only for inpatients), notes of the matching class,
+    length filter, last note per visit; adds ``patient_type``."""
+    vparts = []
+    for pt in patient_types:
+        vt, nc = config.PATIENT_TYPES[pt]
+        v = visits(t, visit_type=vt, ids=ids)
+        if pt == "inpatient":
+            v = coded_visits(v, conditions(t))
+        vparts.append(v.select("person_id", "visit_occurrence_id", "visit_start_datetime",
+                               F.lit(pt).alias("patient_type"), F.lit(nc).alias("_class")))
+    v = vparts[0]
+    for p in vparts[1:]:
+        v = v.unionByName(p)
+    classes = [config.PATIENT_TYPES[pt][1] for pt in patient_types]
+    n = (notes(t, ids)
+         .filter(F.col("note_class_source_value").isin(classes))
+         .filter(F.col("note_text").isNotNull() & (_note_length() > min_length)))
+    n = n.join(v, ["person_id", "visit_occurrence_id"]).filter(F.col("note_class_source_value") == F.col("_class")) \
+        .drop("_class")
+    return last_note_per_visit(n)
+
+
 def coded_visits(v: DataFrame, c: DataFrame) -> DataFrame:
     """Visits having at least one diagnosis (left-semi, no distinct)."""
     return v.join(c.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi")
@@ -146,7 +176,7 @@ def select_notes(t: src.Tables, patient_type: str = "inpatient", keep_last_note_
         v = coded_visits(v, conditions(t))
     n = (notes(t, ids)
          .filter(F.col("note_class_source_value") == note_class)          # P4
-         .filter(F.col("note_text").isNotNull() & (F.length("note_text") > min_length)))  # P5
+         .filter(F.col("note_text").isNotNull() & (_note_length() > min_length)))  # P5
     n = n.join(v.select("person_id", "visit_occurrence_id", "visit_start_datetime"),
                ["person_id", "visit_occurrence_id"], "inner")              # J3
     if keep_last_note_only:

@@ -65,8 +65,11 @@ def extract_entities(notes: DataFrame, lexicon=None, qualify: bool = True, fold_
                             for t in terms])
     keep = [k for k in keep if k in notes.columns]
     base = notes.select("note_id", *keep, "note_text").filter(text.isNotNull())
-    spans = base.select("note_id", *keep, "note_text",
-                        F.explode(tx.match_spans(scan_text, pat)).alias("m"))
+    # explode_outer + null filter: an inner explode would make Catalyst infer a
+    # size(array) > 0 filter below the projections, re-evaluating the whole
+    # span expression there with nothing shared.
+    spans = tx.with_match_spans(base, scan_text, pat, "_ms").select(
+        "note_id", *keep, "note_text", F.explode_outer("_ms").alias("m")).filter(F.col("m").isNotNull())
     lex = _lexicon_map(lexicon, fold_accents)[_norm_term(F.col("m.text"))]
     out = spans.select(
         "note_id", *keep, "note_text",
@@ -120,8 +123,8 @@ def clean_upsampled(df: DataFrame, rare=None) -> DataFrame:
 def sentences(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """X11: one row per sentence (note_id, sent_idx, sent_begin, sent_end, sentence)."""
     keep = [k for k in keep if k in notes.columns]
-    return (notes.select("note_id", *keep,
-                         F.posexplode(tx.match_spans(F.col("note_text"), tx.SENTENCE_RE)).alias("sent_idx", "s"))
+    d = tx.with_match_spans(notes.select("note_id", *keep, "note_text"), F.col("note_text"), tx.SENTENCE_RE, "_ss")
+    return (d.select("note_id", *keep, F.posexplode_outer("_ss").alias("sent_idx", "s")).filter(F.col("s").isNotNull())
             .select("note_id", *keep, "sent_idx", F.col("s.begin").alias("sent_begin"),
                     F.col("s.end").alias("sent_end"), F.col("s.text").alias("sentence")))
 
@@ -133,8 +136,8 @@ def regex_matches(notes: DataFrame, patterns: dict[str, list[str]], keep: tuple[
     parts = []
     for label, pats in patterns.items():
         pat = "|".join(f"(?:{p})" for p in pats)
-        parts.append(notes.select("note_id", *keep,
-                                  F.explode(tx.match_spans(F.col("note_text"), pat)).alias("m"))
+        d = tx.with_match_spans(notes.select("note_id", *keep, "note_text"), F.col("note_text"), pat, "_rm")
+        parts.append(d.select("note_id", *keep, F.explode_outer("_rm").alias("m")).filter(F.col("m").isNotNull())
                      .select("note_id", *keep, F.lit(label).alias("label"),
                              F.col("m.begin").alias("offset_begin"), F.col("m.end").alias("offset_end"),
                              F.col("m.text").alias("lexical_variant")))

@@ -31,14 +31,13 @@ ENT_COLS = ["note_id", "visit_occurrence_id", "cse", "patient_type", "label_name
             "offset_begin", "offset_end", "to_keep"]
 
 
-def texts(t: Tables) -> DataFrame:
+def texts(t: Tables, with_text: bool = True) -> DataFrame:
+    """Evaluation corpus (both patient types, one pass).  Without text only
+    ids / cohort / type are read (the length filter uses the stored length)."""
     strata = cohort.stratification(t).select("person_id", "cse")
-    parts = []
-    for pt in config.PATIENT_TYPES:
-        n, _ = cohort.select_notes(t, pt)
-        parts.append(n.select("note_id", "visit_occurrence_id", "person_id", "note_text",
-                              F.lit(pt).alias("patient_type")))
-    return reduce(DataFrame.unionByName, parts).join(strata, "person_id")
+    n = cohort.select_notes_all(t)
+    cols = ["note_id", "visit_occurrence_id", "person_id", "patient_type"] + (["note_text"] if with_text else [])
+    return n.select(*cols).join(strata, "person_id")
 
 
 def rule_entities(t: Tables, tx: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from cohortflow.plans import eval_sql as es
 from cohortflow.plans.cohort_jobs import REGEX_MAP_SQL, _visit_pheno_sql
 from cohortflow.plans.registry import register, tables
 from cohortflow.plans.sqlmodel import with_model
+from cohortflow.session import checkpoint_dir
 from cohortflow.sources import dims
 
 G4 = ["label_name", "label_value", "cse", "patient_type"]
@@ -30,7 +31,14 @@ class Eval:
         self.spark = spark
         self.t = tables(spark, sf_dir)
         self.texts = common.texts(self.t)
-        self.rule = common.rule_entities(self.t, self.texts)
+        # The corpus ids and the entity table feed every method, label table,
+        # denominator and metric of the job: both are computed once and
+        # checkpointed to the cluster's shared checkpoint folder (reliable,
+        # lineage cut) instead of being recomputed by each consumer.  Both
+        # are narrow (no text).
+        checkpoint_dir(spark)
+        self.meta = common.texts(self.t, with_text=False).checkpoint(eager=True)
+        self.rule = common.rule_entities(self.t, self.texts).checkpoint(eager=True)
 
     def ents(self, method):
         return common.method_entities(self.t, method, base=self.rule)
@@ -41,11 +49,11 @@ class Eval:
     def claim_labels(self):
         codes = dims.icd10_codes(self.spark)
         vsev = phenotype.visit_severity(cohort.conditions(self.t), codes, via_regex=True)
-        inp = self.texts.filter(F.col("patient_type") == "inpatient")
+        inp = self.meta.filter(F.col("patient_type") == "inpatient")
         return labels.claim_labels(vsev, inp)
 
     def denominators(self, keys=("cse", "patient_type"), inpatient_only=False):
-        tx = self.texts.filter(F.col("patient_type") == "inpatient") if inpatient_only else self.texts
+        tx = self.meta.filter(F.col("patient_type") == "inpatient") if inpatient_only else self.meta
         return metrics.note_denominators(tx, keys)
 
     def side_by_side(self, group=("label_name", "cse")):
@@ -136,7 +144,7 @@ def prevalence_df(side: DataFrame, texts: DataFrame) -> DataFrame:
 @register("prevalence")
 def prevalence(spark, sf_dir):
     e = Eval(spark, sf_dir)
-    return prevalence_df(e.side_by_side(), e.texts)
+    return prevalence_df(e.side_by_side(), e.meta)
 
 
 @register("qualifier_metrics_on_gold")

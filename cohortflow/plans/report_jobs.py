@@ -17,7 +17,7 @@ from cohortflow.sources import dims
 
 def _demo(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return reports.cohort_demographics(common.texts(t), cohort.visits(t), cohort.persons(t))
+    return reports.cohort_demographics(common.texts(t, with_text=False), cohort.visits(t), cohort.persons(t))
 
 
 @register("cohort_demographics")

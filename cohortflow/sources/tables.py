@@ -95,7 +95,7 @@ def orbis_note(t: Tables) -> DataFrame:
     discharge summary except for every third document (consultation report);
     note time = visit start + (doc_id % 3) hours.
     """
-    d = t.raw("documents").select("doc_id", "text")
+    d = t.raw("documents").select("doc_id", "text", "n_chars")
     o = t.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = d.join(o, F.expr("doc_id DIV 2") == o.o_orderkey, "inner")
     return j.select(
@@ -105,6 +105,8 @@ def orbis_note(t: Tables) -> DataFrame:
         F.col("doc_id").alias("note_id"),
         F.col("text").alias("note_text"),
         (F.col("o_orderdate") + F.make_interval(hours=(F.col("doc_id") % 3).cast("int"))).alias("note_datetime"),
+        # stored text length (= length(text)): length filters never read the text
+        F.col("n_chars").alias("note_length"),
     )
 
 
