@@ -113,7 +113,7 @@ def visit_phenotypes(cond: DataFrame, codes: DataFrame, via_regex: bool = False,
 # ---------------------------------------------------------------------------
 
 def history_phenotypes(targets: DataFrame, all_visits: DataFrame, visit_status: DataFrame,
-                       method: str = "first_reached") -> DataFrame:
+                       method: str = "first_reached", comorbs: list[str] | None = None) -> DataFrame:
     """A2: for each target visit, the most severe status over every visit of
     the same person that started at or before it (equal starts included).
 
@@ -146,7 +146,7 @@ def history_phenotypes(targets: DataFrame, all_visits: DataFrame, visit_status:
         # one row per (person, visit, comorb) including targets without status
         marks = (tg.select("person_id", "visit_occurrence_id", "visit_start_datetime",
                            F.lit(None).cast("int").alias("severity"), F.lit(True).alias("is_target"),
-                           F.explode(F.array(*[F.lit(c) for c in COMORBS])).alias("comorb"))
+                           F.explode(F.array(*[F.lit(c) for c in (comorbs or COMORBS)])).alias("comorb"))
                  .unionByName(vs.select("person_id", "visit_occurrence_id", "visit_start_datetime", "severity",
                                         F.lit(False).alias("is_target"), "comorb")))
         w = (Window.partitionBy("person_id", "comorb").orderBy("visit_start_datetime")

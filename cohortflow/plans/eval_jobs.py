@@ -292,7 +292,7 @@ j AS (SELECT g.cse, g.label_name, coalesce(s.gold, FALSE) AS gold, coalesce(s.nl
 agg AS (SELECT cse, label_name, count_if(gold) AS Gold, count_if(nlp) AS NLP, count_if(claim) AS Claim,
                count(*) AS total FROM j GROUP BY cse, label_name)
 SELECT cse, label_name, method, N, total, 100.0 * (CAST(N AS DOUBLE) / CAST(total AS DOUBLE)) AS prevalence
-FROM (UNPIVOT agg ON Gold, NLP, Claim INTO NAME method VALUE N)"""
+FROM (SELECT * FROM agg UNPIVOT INCLUDE NULLS (N FOR method IN (Gold, NLP, Claim)))"""
 
 
 def _qual_sql():
@@ -347,7 +347,7 @@ wei AS (SELECT cse, 'weighted' AS method,
                {", ".join(f"sum({m} * Support) / NULLIF(sum(Support), 0) AS {m}" for m in ms)}
         FROM nr GROUP BY cse),
 w AS (SELECT * FROM mic UNION ALL SELECT * FROM mac UNION ALL SELECT * FROM wei)
-SELECT * FROM (UNPIVOT w ON {", ".join(ms)} INTO NAME metric VALUE value)""")
+SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN ({", ".join(ms)}))""")
 
 
 def _install_sql():

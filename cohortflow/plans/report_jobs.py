@@ -134,9 +134,9 @@ ORACLES["metric_table"] = EVAL_PREFIX + _nl_sql("gold") + _nl_sql("rule_based")
     "SELECT label_name, label_value, cse, patient_type, Support, PPV, Sensitivity, Specificity, F1, TP, FP, FN, TN FROM fin",
     "") + f""",
 nm AS (SELECT * FROM fin WHERE patient_type = 'inpatient'),
-lg AS (UNPIVOT (SELECT label_name, label_value, cse, CAST(PPV AS DOUBLE) AS PPV,
+lg AS (SELECT * FROM (SELECT label_name, label_value, cse, CAST(PPV AS DOUBLE) AS PPV,
                        CAST(Sensitivity AS DOUBLE) AS Sensitivity, CAST(F1 AS DOUBLE) AS F1 FROM nm)
-       ON PPV, Sensitivity, F1 INTO NAME metric VALUE value)
+       UNPIVOT INCLUDE NULLS (value FOR metric IN (PPV, Sensitivity, F1)))
 SELECT coalesce(dn.v, lg.label_name) AS label, lg.label_name, lg.label_value, lg.metric,
        {", ".join(f"first(lg.value) FILTER (WHERE lg.cse = '{c}') AS {c}" for c in _CSES)},
        coalesce(rk.r, 1000) AS rank
