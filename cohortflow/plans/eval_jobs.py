@@ -204,26 +204,30 @@ cl_2 AS (SELECT *, 'icd10' AS source FROM cl_1),
 nl_icd10 AS ({es.overall("cl_2")})"""
 
 
-def _note_metrics_sql(algo_cte, label_type, group, inpatient_only=False):
+def _note_metrics_sql(algo_cte, label_type, group, inpatient_only=False, p="", final_select=True):
+    """A8 + A11/A12 + averages as SQL; CTE names get the prefix ``p`` so the
+    block can appear several times in one statement (final CTE ``{p}fin``)."""
     g = ", ".join(group)
     keys = [c for c in ("cse", "patient_type") if c in group]
     kj = " AND ".join(f"c.{k} = d.{k}" for k in keys)
     gold_filter = "WHERE patient_type = 'inpatient'" if label_type == "icd10" else ""
     tx_filter = "WHERE patient_type = 'inpatient'" if inpatient_only else ""
     num = ["Support", "PPV", "Sensitivity", "Specificity", "F1", "TP", "FP", "FN", "TN"]
-    return f""",
-u AS (SELECT {g}, note_id, source FROM {algo_cte} UNION ALL SELECT {g}, note_id, source FROM nl_gold {gold_filter}),
-pn AS (SELECT {g}, note_id, bool_or(source = '{label_type}') AS a, bool_or(source = 'gold') AS g
-       FROM u GROUP BY {g}, note_id),
-cnt AS (SELECT {g}, count_if(a AND g) AS TP, count_if(a AND NOT g) AS FP, count_if(NOT a AND g) AS FN
-        FROM pn GROUP BY {g}),
-tx0 AS (SELECT note_id, {", ".join(keys)} FROM texts {tx_filter}),
-tx1 AS ({es.overall("tx0")}),
-den AS (SELECT {", ".join(keys)}, count(DISTINCT note_id) AS N FROM tx1 GROUP BY {", ".join(keys)}),
-cn AS (SELECT c.*, d.N FROM cnt c LEFT JOIN den d ON {kj}),
-m AS (SELECT * EXCLUDE (N) FROM ({es.with_metrics("cn", True, "N - (TP + FP + FN)")})),
-fin AS ({es.avg_metrics("m", keys, num, with_specificity=True)})
-SELECT {g}, {", ".join(num)} FROM fin"""
+    body = f""",
+{p}u AS (SELECT {g}, note_id, source FROM {algo_cte} UNION ALL SELECT {g}, note_id, source FROM nl_gold {gold_filter}),
+{p}pn AS (SELECT {g}, note_id, bool_or(source = '{label_type}') AS a, bool_or(source = 'gold') AS g
+       FROM {p}u GROUP BY {g}, note_id),
+{p}cnt AS (SELECT {g}, count_if(a AND g) AS TP, count_if(a AND NOT g) AS FP, count_if(NOT a AND g) AS FN
+        FROM {p}pn GROUP BY {g}),
+{p}tx0 AS (SELECT note_id, {", ".join(keys)} FROM texts {tx_filter}),
+{p}tx1 AS ({es.overall(f"{p}tx0")}),
+{p}den AS (SELECT {", ".join(keys)}, count(DISTINCT note_id) AS N FROM {p}tx1 GROUP BY {", ".join(keys)}),
+{p}cn AS (SELECT c.*, d.N FROM {p}cnt c LEFT JOIN {p}den d ON {kj}),
+{p}m AS (SELECT * EXCLUDE (N) FROM ({es.with_metrics(f"{p}cn", True, "N - (TP + FP + FN)")})),
+{p}fin AS ({es.avg_metrics(f"{p}m", keys, num, with_specificity=True)})"""
+    if final_select:
+        body += f"\nSELECT {g}, {', '.join(num)} FROM {p}fin"
+    return body
 
 
 def _entity_metrics_sql(algo_cte, group, match_on_qualifier=True):

@@ -158,3 +158,26 @@ SELECT note_id, label, offset_begin, CAST(offset_begin + length(lexical_variant)
 
 
 ORACLES["regex_matches"] = _regex_sql()
+
+
+def _compare_sql():
+    from cohortflow.plans.eval_jobs import EVAL_PREFIX, _nl_sql, _note_metrics_sql
+    from cohortflow.plans import eval_sql as es
+    sql = EVAL_PREFIX + _nl_sql("gold") + _nl_sql("rule_based") + _nl_sql("no_qual")
+    for m in ("rule_based", "no_qual"):
+        sql += _note_metrics_sql(f"nl_{m}", m, G4, p=f"{m}_", final_select=False)
+    sql += f""",
+cmp_both AS (SELECT *, 'rule_based' AS method FROM rule_based_fin UNION ALL SELECT *, 'no_qual' AS method FROM no_qual_fin),
+ov AS (SELECT * FROM cmp_both WHERE cse = 'Overall' AND patient_type = 'inpatient'),
+ov2 AS ({es.removed_aggregated("ov")}),
+ov3 AS (SELECT CASE WHEN label_name = 'Total' THEN label_value ELSE label_name END AS label_name, method,
+               CAST(PPV AS DOUBLE) AS PPV, CAST(Sensitivity AS DOUBLE) AS Sensitivity,
+               CAST(Specificity AS DOUBLE) AS Specificity, CAST(F1 AS DOUBLE) AS F1 FROM ov2),
+lg AS (SELECT * FROM ov3 UNPIVOT INCLUDE NULLS (value FOR metric IN (PPV, Sensitivity, Specificity, F1)))
+SELECT label_name, metric, first(value) FILTER (WHERE method = 'rule_based') AS rule_based,
+       first(value) FILTER (WHERE method = 'no_qual') AS no_qual
+FROM lg GROUP BY label_name, metric"""
+    return sql
+
+
+ORACLES["compare_methods"] = _compare_sql()

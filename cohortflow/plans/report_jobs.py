@@ -130,9 +130,7 @@ _CSES = config.CSE_PROJECTS + ["Overall"]
 _DISPLAY = values(sorted(config.DISPLAY_NAMES.items()), ["k", "v"])
 _RANK = values([(c[1], c[7]) for c in config.COMORBIDITIES], ["k", "r"])
 ORACLES["metric_table"] = EVAL_PREFIX + _nl_sql("gold") + _nl_sql("rule_based") + _note_metrics_sql(
-    "nl_rule_based", "rule_based", G4).replace(
-    "SELECT label_name, label_value, cse, patient_type, Support, PPV, Sensitivity, Specificity, F1, TP, FP, FN, TN FROM fin",
-    "") + f""",
+    "nl_rule_based", "rule_based", G4, final_select=False) + f""",
 nm AS (SELECT * FROM fin WHERE patient_type = 'inpatient'),
 lg AS (SELECT * FROM (SELECT label_name, label_value, cse, CAST(PPV AS DOUBLE) AS PPV,
                        CAST(Sensitivity AS DOUBLE) AS Sensitivity, CAST(F1 AS DOUBLE) AS F1 FROM nm)
