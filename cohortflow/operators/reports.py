@@ -134,3 +134,24 @@ def parse_ci(c: str) -> list[F.Column]:
     """P25: ``"v (lo - hi)"`` -> value (double) and the CI string."""
     return [F.regexp_extract(F.col(c), r"^\s*([-0-9.]+)", 1).cast("double").alias("value"),
             F.regexp_extract(F.col(c), r"(\([^)]*\))", 1).alias("ci")]
+
+
+def cohort_table(stats: DataFrame, per_label: DataFrame, cses=None, patient_types=None) -> DataFrame:
+    """Descriptive block (age mean / sd, % male / female, number of
+    records -- the real count) over the per-label block (documents with an
+    entity, mean entities per document); one numeric column per
+    (cohort, patient type), built long then pivoted with an explicit list."""
+    cses = cses or (config.CSE_PROJECTS + [OVERALL])
+    pts = patient_types or list(config.PATIENT_TYPES)
+    a_cols = ["age_mean", "age_std", "pct_male", "pct_female", "n"]
+    a = stats.select("cse", "patient_type", *[F.col(c).cast("double") for c in a_cols]) \
+        .unpivot(["cse", "patient_type"], a_cols, "metric", "value") \
+        .withColumn("metric_type", F.lit("Descriptive data"))
+    b_cols = ["n_docs_normal", "mean_entity_per_doc"]
+    b = per_label.select("cse", "patient_type", "label_name", *[F.col(c).cast("double") for c in b_cols]) \
+        .unpivot(["cse", "patient_type", "label_name"], b_cols, "stat", "value") \
+        .select("cse", "patient_type", F.concat_ws(" / ", "label_name", "stat").alias("metric"), "value",
+                F.lit("eCCI condition").alias("metric_type"))
+    long = a.unionByName(b).withColumn("col", F.concat_ws("_", "cse", "patient_type"))
+    keys = [f"{c}_{p}" for c in cses for p in pts]
+    return long.groupBy("metric_type", "metric").pivot("col", keys).agg(F.first("value"))

@@ -40,6 +40,14 @@ def cohort_stats_per_label(spark, sf_dir):
     return reports.cohort_stats_per_label(g)
 
 
+@register("cohort_table")
+def cohort_table(spark, sf_dir):
+    """Cohort description table (A17 block over the A18 block)."""
+    t = tables(spark, sf_dir)
+    g = common.method_entities(t, "gold").withColumn("upsampled", F.lit(False))
+    return reports.cohort_table(reports.cohort_stats(_demo(spark, sf_dir)), reports.cohort_stats_per_label(g))
+
+
 @register("qualifier_shares")
 def qualifier_shares(spark, sf_dir):
     """Qualifier shares of the rule-based entities per cohort."""
@@ -140,3 +148,33 @@ SELECT coalesce(dn.v, lg.label_name) AS label, lg.label_name, lg.label_value, lg
        coalesce(rk.r, 1000) AS rank
 FROM lg LEFT JOIN {_DISPLAY} dn ON dn.k = lg.label_name LEFT JOIN {_RANK} rk ON rk.k = lg.label_name
 GROUP BY ALL"""
+
+
+def _cohort_table_sql():
+    keys = [(c, p) for c in config.CSE_PROJECTS + ["Overall"] for p in config.PATIENT_TYPES]
+    stats = ORACLES["cohort_stats"].split("\nSELECT cse, patient_type, count(*) AS n")[0]
+    per_label = ORACLES["cohort_stats_per_label"][len(EVAL_PREFIX):].split(
+        "\nSELECT cse, patient_type, label_name, count_if")[0]
+    return stats + """,
+st AS (SELECT cse, patient_type, CAST(count(*) AS DOUBLE) AS n, CAST(avg(age_at_adm) AS DOUBLE) AS age_mean,
+              CAST(stddev_samp(age_at_adm) AS DOUBLE) AS age_std,
+              CAST(CAST(trunc(100.0 * avg(CASE WHEN gender_source_value = 'M' THEN 1.0 ELSE 0.0 END)) AS INTEGER)
+                   AS DOUBLE) AS pct_male,
+              CAST(CAST(trunc(100.0 * (1.0 - avg(CASE WHEN gender_source_value = 'M' THEN 1.0 ELSE 0.0 END)))
+                   AS INTEGER) AS DOUBLE) AS pct_female
+       FROM d GROUP BY cse, patient_type),
+la AS (SELECT 'Descriptive data' AS metric_type, metric, cse, patient_type, value
+       FROM st UNPIVOT INCLUDE NULLS (value FOR metric IN (age_mean, age_std, pct_male, pct_female, n)))""" \
+        + per_label + """,
+pl AS (SELECT cse, patient_type, label_name, CAST(count_if(N_normal > 0) AS DOUBLE) AS n_docs_normal,
+              CAST(sum(N_normal) AS DOUBLE) / CAST(NULLIF(count_if(N_normal > 0), 0) AS DOUBLE) AS mean_entity_per_doc
+       FROM pd GROUP BY ALL),
+lb AS (SELECT 'eCCI condition' AS metric_type, label_name || ' / ' || stat AS metric, cse, patient_type, value
+       FROM pl UNPIVOT INCLUDE NULLS (value FOR stat IN (n_docs_normal, mean_entity_per_doc))),
+lg AS (SELECT * FROM la UNION ALL SELECT * FROM lb)
+SELECT metric_type, metric, """ + ", ".join(
+        f"first(value) FILTER (WHERE cse = '{c}' AND patient_type = '{p}') AS {c}_{p}" for c, p in keys) + """
+FROM lg GROUP BY metric_type, metric"""
+
+
+ORACLES["cohort_table"] = _cohort_table_sql()
