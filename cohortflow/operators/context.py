@@ -85,3 +85,21 @@ def token_attributes(notes: DataFrame) -> DataFrame:
         F.md5(lower).alias("lower_md5"),
         (lower == F.lower("note_text")).alias("lower_roundtrip"),
         F.md5(shp).alias("shape_md5"))
+
+
+def expand_to_tokens(spans: DataFrame, notes: DataFrame) -> DataFrame:
+    """Spans expanded to token boundaries (a span starting or ending
+    inside a letter or digit run grows to the whole run), as a character
+    span aligned with alignment mode "expand"."""
+    cols = [c for c in spans.columns if c != "note_text"]
+    j = spans.select(*cols).join(notes.select("note_id", "note_text"), "note_id")
+    t, b, e = F.col("note_text"), F.col("offset_begin"), F.col("offset_end")
+    at_b = F.substring(t, b + 1, 1)
+    last = F.substring(t, e, 1)
+    rev = F.reverse(F.substring(t, 1, b))
+    rest = F.substring(t, e + 1, F.length(t))
+    back = (F.when(at_b.rlike(r"^\p{L}$"), F.length(F.regexp_extract(rev, r"^\p{L}+", 0)))
+            .when(at_b.rlike(r"^\p{N}$"), F.length(F.regexp_extract(rev, r"^\p{N}+", 0))).otherwise(F.lit(0)))
+    fwd = (F.when(last.rlike(r"^\p{L}$"), F.length(F.regexp_extract(rest, r"^\p{L}+", 0)))
+           .when(last.rlike(r"^\p{N}$"), F.length(F.regexp_extract(rest, r"^\p{N}+", 0))).otherwise(F.lit(0)))
+    return j.select(*cols, (b - back).alias("token_begin"), (e + fwd).alias("token_end"))

@@ -181,3 +181,88 @@ FROM lg GROUP BY label_name, metric"""
 
 
 ORACLES["compare_methods"] = _compare_sql()
+
+
+@register("gold_token_aligned")
+def gold_token_aligned(spark, sf_dir):
+    """Gold spans (inside their note) expanded to token boundaries."""
+    from cohortflow.operators import context
+    t = tables(spark, sf_dir)
+    tx = common.texts(t)
+    g = common.method_entities(t, "gold", base=common.rule_entities(t, tx))
+    g = g.join(tx.select("note_id", F.length("note_text").alias("_n")), "note_id") \
+        .filter(F.col("offset_end") <= F.col("_n")).drop("_n")
+    return context.expand_to_tokens(g.select("note_id", "label_name", "offset_begin", "offset_end"), tx)
+
+
+def gold_raw(t):
+    """The gold annotation layout of the study: one row per annotated entity
+    (label, value as a status label, three qualifier flags) plus placeholder
+    rows (null label) for annotated notes without entities."""
+    from cohortflow.functions.exprs import md5_unit
+    tx = common.texts(t)
+    g = common.method_entities(t, "gold", base=common.rule_entities(t, tx))
+    u = md5_unit(F.lit("qual"), "note_id", "offset_begin")
+    st = entities.status_label(F.col("label_name"), F.col("label_value"))
+    ents = g.select("note_id", "visit_occurrence_id", "cse", "patient_type", "offset_begin", "offset_end",
+                    F.col("label_name").alias("gold_label_name"),
+                    F.when(md5_unit(F.lit("zero"), "note_id", "offset_begin") < 0.05, F.lit("False"))
+                    .otherwise(st).alias("gold_label_value"),
+                    (~F.col("to_keep") & (u < 0.5)).alias("gold_negation_value"),
+                    (~F.col("to_keep") & (u >= 0.5)).alias("gold_hypothesis_value"),
+                    F.lit(False).alias("gold_family_value"))
+    empty = tx.select("note_id", "visit_occurrence_id", "cse", "patient_type").join(
+        g.select("note_id"), "note_id", "left_anti")
+    return ents.unionByName(empty, allowMissingColumns=True)
+
+
+@register("gold_clean")
+def gold_clean(spark, sf_dir):
+    """Placeholder rows dropped, value normalised, value "0" dropped,
+    qualifier flags merged into ``to_keep``."""
+    t = tables(spark, sf_dir)
+    return labels.clean_gold(gold_raw(t)).select(
+        "note_id", "cse", "patient_type", "label_name", "label_value", "offset_begin", "offset_end", "to_keep")
+
+
+_G_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note") + ",\n" \
+    + common.TEXTS_SQL + ",\n" + common.ner_sql("texts") + f""",
+gold AS ({common.method_sql("gold")})"""
+
+ORACLES["gold_token_aligned"] = _G_PREFIX + r""",
+gx AS (SELECT g.note_id, g.label_name, g.offset_begin, g.offset_end, t.note_text FROM gold g JOIN texts t USING (note_id)
+       WHERE g.offset_end <= length(t.note_text)),
+gy AS (SELECT *, substr(note_text, offset_begin + 1, 1) AS at_b, substr(note_text, offset_end, 1) AS lst,
+              reverse(substr(note_text, 1, offset_begin)) AS rev, substr(note_text, offset_end + 1) AS rest FROM gx)
+SELECT note_id, label_name, offset_begin, offset_end,
+       offset_begin - CASE WHEN regexp_matches(at_b, '^\p{L}$') THEN length(regexp_extract(rev, '^\p{L}+'))
+                           WHEN regexp_matches(at_b, '^\p{N}$') THEN length(regexp_extract(rev, '^\p{N}+'))
+                           ELSE 0 END AS token_begin,
+       offset_end + CASE WHEN regexp_matches(lst, '^\p{L}$') THEN length(regexp_extract(rest, '^\p{L}+'))
+                         WHEN regexp_matches(lst, '^\p{N}$') THEN length(regexp_extract(rest, '^\p{N}+'))
+                         ELSE 0 END AS token_end
+FROM gy"""
+
+
+def _gold_clean_sql():
+    from cohortflow.plans.common import status_rows
+    from cohortflow.plans.sqlmodel import values
+    st = values(status_rows(), ["label_name", "k", "status_label"])
+    u = lambda tag: (f"(('0x' || substr(md5('{tag}|' || CAST(note_id AS VARCHAR) || '|' || "
+                     f"CAST(offset_begin AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)")
+    return _G_PREFIX + f""",
+gs AS (SELECT g.*, coalesce(s1.status_label, s2.status_label) AS stl FROM gold g
+       LEFT JOIN {st} s1 ON s1.label_name = g.label_name AND s1.k = g.label_value
+       LEFT JOIN {st} s2 ON s2.label_name = g.label_name AND s2.k = '1'),
+raw AS (SELECT note_id, cse, patient_type, offset_begin, offset_end, label_name AS gold_label_name,
+               CASE WHEN {u("zero")} < 0.05 THEN 'False' ELSE stl END AS gold_label_value,
+               (NOT to_keep AND {u("qual")} < 0.5) AS neg, (NOT to_keep AND {u("qual")} >= 0.5) AS hyp, FALSE AS fam
+        FROM gs),
+norm AS (SELECT *, CASE WHEN lower(gold_label_value) = 'true' THEN '1' WHEN lower(gold_label_value) = 'false' THEN '0'
+                        ELSE substr(gold_label_value, 1, 1) END AS label_value FROM raw)
+SELECT note_id, cse, patient_type, gold_label_name AS label_name, label_value, offset_begin, offset_end,
+       NOT (neg OR fam OR hyp) AS to_keep
+FROM norm WHERE gold_label_name IS NOT NULL AND label_value <> '0'"""
+
+
+ORACLES["gold_clean"] = _gold_clean_sql()
