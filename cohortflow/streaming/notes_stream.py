@@ -31,9 +31,11 @@ def entity_stream(notes: DataFrame, qualify: bool = True) -> DataFrame:
 
 
 def start(spark: SparkSession, source: str, sink: str, name: str = "entities",
-          trigger_once: bool = False) -> StreamingQuery:
-    """Run the incremental extraction into a Parquet sink (append)."""
-    ck = f"{checkpoint_dir(spark)}/stream-{name}"
+          trigger_once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
+    """Run the incremental extraction into a Parquet sink (append).  The
+    default checkpoint (under the cluster's checkpoint folder, keyed by the
+    query name) is stable so a restarted query resumes exactly once."""
+    ck = checkpoint or f"{checkpoint_dir(spark)}/stream-{name}"
     w = (entity_stream(note_stream(spark, source)).writeStream.format("parquet")
          .option("path", sink).option("checkpointLocation", ck).outputMode("append").queryName(name))
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")

@@ -54,7 +54,8 @@ def test_streaming_extraction_matches_batch(spark):
     notes = cohort.notes(t).select("note_id", "visit_occurrence_id", "person_id", "note_class_source_value",
                                    "note_text", "note_datetime")
     notes.repartition(4).write.parquet(src)
-    q = notes_stream.start(spark, src, sink, name="t_entities", trigger_once=True)
+    ck = tempfile.mkdtemp(prefix="cf-stream-ck-", dir="/tmp") + "/ck"
+    q = notes_stream.start(spark, src, sink, name="t_entities", trigger_once=True, checkpoint=ck)
     q.awaitTermination(300)
     streamed = spark.read.parquet(sink).count()
     from cohortflow.operators import entities
