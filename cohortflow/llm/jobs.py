@@ -1,5 +1,7 @@
 """The registered queries of this subpackage."""
 
+import cohortflow.llm.decontam  # noqa: F401
 import cohortflow.llm.exact_dedup  # noqa: F401
+import cohortflow.llm.near_dup  # noqa: F401
 import cohortflow.llm.packing  # noqa: F401
 from cohortflow.llm.common import ORACLES, QUERIES  # noqa: F401
