@@ -4,4 +4,6 @@ import cohortflow.llm.decontam  # noqa: F401
 import cohortflow.llm.exact_dedup  # noqa: F401
 import cohortflow.llm.near_dup  # noqa: F401
 import cohortflow.llm.packing  # noqa: F401
+import cohortflow.llm.suffix_dedup  # noqa: F401
+import cohortflow.llm.toxicity  # noqa: F401
 from cohortflow.llm.common import ORACLES, QUERIES  # noqa: F401

@@ -12,10 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.llm import decontam, exact_dedup, near_dup, packing
+from cohortflow.llm import decontam, exact_dedup, near_dup, packing, toxicity
 from cohortflow.llm.common import staged, table
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
@@ -33,6 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", not_toxic),
     ("exact_dedup", exact),
     ("near_dedup", near),
     ("decontamination", clean_of_benchmark),
