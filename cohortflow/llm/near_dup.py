@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import drop_staged, query, sized, staged, table, without
 from cohortflow.llm.components import components
-from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, utf8, word_hashes
+from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, slices, utf8, word_hashes
 
 BANDS, ROWS = 32, 5
 THRESHOLD = 80  # percent
@@ -62,7 +62,7 @@ def describe(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
     """doc_id, n_shingles, set_key (128-bit hash of the set), bands, signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for words in word_hashes(utf8(b["text"]), SPACE_WORDS):
                 sh = shingles(words, k)
@@ -104,7 +104,7 @@ def prune(threshold: float, miss: float) -> Callable[[Iterator[pd.DataFrame]], I
     need = least_matches(BANDS * ROWS, BATCH, threshold, miss)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, 2048):
             a = np.frombuffer(b"".join(b["sig_a"]), dtype="<u4").reshape(len(b), -1)
             z = np.frombuffer(b"".join(b["sig_b"]), dtype="<u4").reshape(len(b), -1)
             on, matches = np.arange(len(b)), np.zeros(len(b), dtype=np.int64)
@@ -124,7 +124,7 @@ def squeeze(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({"rep": b["rep"].values, "packed": [pack(x) for x in utf8(b["text"])]})
 
     return run
@@ -137,18 +137,16 @@ def confirm(k: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches):
             keep = []
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
-                sides = [list(dict.fromkeys(some[c])) for c in ("packed_a", "packed_b")]
-                sets: list[dict] = []
-                for side in sides:
-                    sets.append(dict(zip(side, (shingles(w, k) for w in word_hashes([unpack(x) for x in side], SPACE_WORDS)))))
-                for x, y in zip(some["packed_a"], some["packed_b"]):
-                    p, q = sets[0][x], sets[1][y]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            sets: list[dict] = []
+            for side in ("packed_a", "packed_b"):
+                texts = list(dict.fromkeys(b[side]))
+                sets.append(dict(zip(texts, (shingles(w, k) for w in word_hashes([unpack(x) for x in texts], SPACE_WORDS)))))
+            for x, y in zip(b["packed_a"], b["packed_b"]):
+                p, q = sets[0][x], sets[1][y]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b[np.array(keep, dtype=bool)][["a", "b"]]
 
     return run

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: Modular polynomial hash: two primes below 2**31 and their bases.
 _P = (np.uint64(2147483647), np.uint64(2147483629))
@@ -144,6 +144,13 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in pc.cast(arr, pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterable, rows: int = 256) -> Iterator:
+    """Smaller runs of rows of the batches that Spark hands over, so that what a task derives from texts stays small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
 def _slide(h: np.ndarray, w: int, f) -> np.ndarray:
     """f over each run of w neighbours (output i: h[i:i+w]), by doubling."""
     out, done = h, 1
