@@ -8,8 +8,11 @@
    (the members of least hash, the same ones in every band), links are
    contracted to components, and only members that are still outside their
    bucket's largest component are compared with the members of other
-   components.  In the end any two members of a bucket either are in one
-   component or have been compared, so no link between components is lost.
+   components.  Of those, a member is left out that could not reach the
+   threshold even if another set held all of its shared shingles, i.e. those
+   that any other member of such a bucket has.  In the end any two members of
+   a bucket either are in one component, have been compared, or cannot be
+   linked, so no link between components is lost.
 3. A pair is compared batch by batch of signature places.  After each batch
    the posterior of the similarity (uniform prior, so a beta distribution)
    is known; the pair goes when the chance that it reaches the threshold is
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import drop_staged, query, sized, staged, table, without
 from cohortflow.llm.components import components
+from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, PACKED, SENT, answer, pack_blocks, send, shared, unpack_block
 from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, slices, utf8, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -166,6 +170,37 @@ def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent:
     return staged(two.select("a", "b", "packed_a", "packed_b").mapInPandas(confirm(k, percent), "a long, b long"), "nd-links")
 
 
+def _block_shingles(row, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, offs, raw = unpack_block(row)
+    return ids, [shingles(w, k) for w in word_hashes([raw[s:e] for s, e in zip(offs[:-1], offs[1:])], SPACE_WORDS)]
+
+
+def shared_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """rep, m: how many shingles of each document of the staged ``ids`` another one of them has too."""
+    texts = docs.join(sized(ids), docs["doc_id"] == ids["rep"], "left_semi")
+    blocks = staged(texts.mapInPandas(pack_blocks, PACKED).withColumn("block", F.monotonically_increasing_id()), "nd-blocks")
+    buckets = max(1, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, row in b.iterrows():
+                sets = _block_shingles(row, k)[1]
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield send(h, n > 1, row["block"], buckets)
+
+    def count(key: tuple, some: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in some.iterrows():
+            reps, sets = _block_shingles(row, k)
+            h, back = np.unique(np.concatenate(sets), return_inverse=True)
+            on = shared(h, answers, buckets)[back]
+            out += [(int(r), int(x.sum())) for r, x in zip(reps, np.split(on, np.cumsum([len(x) for x in sets])[:-1]))]
+        return pd.DataFrame(out, columns=["rep", "m"])
+
+    answers = blocks.mapInPandas(tell, SENT).groupBy("bucket").applyInPandas(answer, ANSWERED)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(count, "rep long, m long")
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
@@ -192,11 +227,11 @@ def _with_repeats(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     reps = staged(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "nd-reps")
     mine = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sigs = staged(mine.select(F.col("doc_id").alias("rep"), "sig", "bands"), "nd-sigs")
-    bands = sigs.select(F.col("rep").alias("q"), F.explode("bands").alias("band"))
+    sigs = staged(mine.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "nd-sigs")
+    bands = sigs.select(F.col("rep").alias("q"), "n", F.explode("bands").alias("band"))
     # pivots: per bucket the members of least hash, by map-side combined minima
     draws = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("q")).alias("h"), F.col("q").alias("p"))).alias(f"m{i}") for i in range(PIVOTS)]
-    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *draws).filter("n > 1")
+    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), *draws).filter("size > 1")
     buckets = staged(buckets.select("band", F.array_distinct(F.array(*[F.col(f"m{i}.p") for i in range(PIVOTS)])).alias("pivots")), "nd-buckets")
     members = staged(bands.join(buckets.select("band"), "band", "left_semi"), "nd-members")
     first = staged(_pairs(members.join(buckets, "band").select("q", F.explode("pivots").alias("p"))), "nd-first")
@@ -204,14 +239,18 @@ def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
     root = components(links)
 
     # what is outside its bucket's largest component meets the other components
-    marked = staged(members.join(root.withColumnRenamed("node", "q"), "q", "left").select("band", "q", F.coalesce("root", "q").alias("root")), "nd-marked")
-    shares = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    top = shares.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    top = staged(top.select("band", F.col("top.root").alias("top")), "nd-top")
-    torn = marked.join(top, "band")
-    outside = staged(torn.filter("root <> top").select("band", F.col("q").alias("p"), F.col("root").alias("root_p")), "nd-outside")
-    torn = staged(torn.select("band", "q", "root"), "nd-torn")
-    rest = outside.join(torn, "band").filter("root <> root_p").select("p", "q")
+    marked = members.join(root.withColumnRenamed("node", "q"), "q", "left").select("band", "q", "n", F.coalesce("root", "q").alias("root"))
+    marked = staged(marked, "nd-marked")
+    shares = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least_n"))
+    top = shares.groupBy("band").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("least_n").alias("least_n"))
+    top = staged(top.filter("parts > 1").select("band", "least_n", F.col("top.root").alias("top")), "nd-top")
+    torn = staged(marked.join(top, "band").select("band", "q", "n", "root", "top", "least_n"), "nd-torn")
+    common = shared_shingles(docs, staged(torn.select(F.col("q").alias("rep")).distinct(), "nd-torn-ids"), k)
+    outside = torn.filter("root <> top").withColumnRenamed("q", "p").join(common.withColumnRenamed("rep", "p"), "p")
+    reach = f"{100 + percent} * m >= {percent} * (n + {{}})"  # at best, all of its shared shingles are in the other set
+    outside = outside.filter(reach.format("least_n")).select("band", "p", F.col("root").alias("root_p"), F.col("n").alias("n_p"), "m")
+    outside = staged(outside, "nd-outside")
+    rest = outside.join(torn.select("band", "q", "n", "root"), "band").filter("root <> root_p").filter(reach.format("n_p")).select("p", "q")
     rest = staged(_pairs(rest).join(first, ["a", "b"], "left_anti"), "nd-rest")
     more = _links(rest, sigs, docs, k, percent)
     if not more.isEmpty():
@@ -221,7 +260,7 @@ def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
         hung = root.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         root = components(over.filter("a <> b").unionByName(hung))
     of_set = staged(reps.join(root, reps["rep"] == root["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component")), "nd-of-set")
-    drop_staged(members, marked, torn, outside)
+    drop_staged(members, marked, torn)
     out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     linked = out.filter("set_key is not null").join(of_set, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = out.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ in some 50-byte window.  Equal windows hold the same least q-gram at the same
 place, so every repeat is seen at an anchor, and one anchor (the last least
 one) owns a window.
 
-1. Texts are packed, compressed, into blocks of about ``BLOCK_BYTES`` and
+1. Texts are packed, compressed, into blocks of about 4 MB and
    written once.
 2. Every block sends the hashes of its anchors to initial q-gram buckets, each
    hash once; buckets answer which of them more than one document has.
@@ -43,48 +43,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm.common import drop_staged, query, staged, table
-from cohortflow.llm.textops import anchors, mix, utf8
+from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, NO_ID, PACKED, SENT, answer, pack_blocks, send, shared, unpack_block
+from cohortflow.llm.textops import anchors, mix
 
 LENGTH, Q = 50, 16
-#: Text bytes of a block and of the anchors that a bucket gets.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
-NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 
 
-def pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (part, ids, sizes, packed texts, bytes) of about BLOCK_BYTES each."""
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    ids: list[int] = []
-    raws: list[bytes] = []
-    size = 0
-
-    def block() -> pd.DataFrame:
-        return pd.DataFrame({"ids": [np.array(ids, "<i8").tobytes()], "sizes": [np.array([len(r) for r in raws], "<i8").tobytes()], "packed": [squeeze(b"".join(raws))], "bytes": [size]})
-
-    for b in batches:
-        for i, raw in zip(b["doc_id"].fillna(NO_ID).astype("int64").tolist(), utf8(b["text"])):
-            ids.append(i)
-            raws.append(raw)
-            size += len(raw)
-            if size >= BLOCK_BYTES:
-                yield block()
-                ids, raws, size = [], [], 0
-    if ids:
-        yield block()
-
-
 class Block:
     """Texts of a block, one after the other, and their anchors."""
 
     def __init__(self, row, length: int, q: int):
-        import zstandard
-
-        self.ids = np.frombuffer(row["ids"], "<i8")
-        self.offs = np.concatenate(([0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))))
-        self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["packed"]), np.uint8) if row["bytes"] else np.empty(0, np.uint8)
+        self.ids, self.offs, raw = unpack_block(row)
+        self.raw = np.frombuffer(raw, np.uint8)
         self.length, self.q = length, q
         self.at, self.hash = anchors(self.raw, self.offs, length, q)
         self.text = np.searchsorted(self.offs, self.at, "right") - 1
@@ -150,41 +121,13 @@ def send_hashes(length: int, q: int, buckets: int) -> Callable:
                 block = Block(row, length, q)
                 order, new = _groups([block.hash])
                 starts = np.flatnonzero(new)
-                h = block.hash[order][starts]
                 doc = block.ids[block.text[order]]
-                # the upper bits choose the bucket, 40 bits identify the q-gram in it; one more bit: several documents here
                 many = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(starts) else np.empty(0, bool)
-                bucket = (h % _U(buckets)).astype(np.int64)
-                rest = ((h // _U(buckets)) & _U((1 << 39) - 1)) << _U(1) | many.astype(_U)
-                by = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0))) if len(by) else np.empty(0, np.int64)
-                rest5 = rest[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                for s, e in zip(cut, np.append(cut[1:], len(by))):
-                    yield pd.DataFrame({"bucket": [int(bucket[by[s]])], "block": [row["block"]], "hashes": [rest5[s:e].tobytes()]})
+                yield send(block.hash[order][starts], many, row["block"], buckets)
 
     return run
 
 
-def _five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def answer_hashes(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """For each block, a bit for each hash it sent (in its order): whether several documents have it."""
-    parts = [_five(x) for x in g["hashes"]]
-    both = np.concatenate(parts)
-    h, many = both >> _U(1), (both & _U(1)).astype(bool)
-    order, new = _groups([h])
-    starts = np.flatnonzero(new)
-    shared = (np.diff(np.append(starts, len(h))) > 1) | np.maximum.reduceat(many[order], starts)
-    flag = np.empty(len(h), bool)
-    flag[order] = np.repeat(shared, np.diff(np.append(starts, len(h))))
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return pd.DataFrame({"block": g["block"].values, "bucket": int(key[0]), "bits": [np.packbits(x).tobytes() for x in np.split(flag, cuts)]})
-
-
 def send_contexts(length: int, q: int, buckets: int) -> Callable:
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -194,16 +137,7 @@ def send_contexts(length: int, q: int, buckets: int) -> Callable:
             _, lo, hi = Block.contexts(block)
             first, last = owned(block, lo, hi)
             uniq, back = np.unique(block.hash, return_inverse=True)
-            bucket = (uniq % _U(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            shared = np.zeros(len(uniq), bool)
-            place = np.searchsorted(bucket[by], answers["bucket"].to_numpy(np.int64))
-            for p, bits in zip(place, answers["bits"]):
-                n = min(8 * len(bits), len(by) - p)
-                same = int(np.searchsorted(bucket[by], bucket[by[p]], "right")) - p
-                n = min(n, same)
-                shared[by[p : p + n]] = np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
-            on = shared[back] & (first <= last)
+            on = shared(uniq, answers, buckets)[back] & (first <= last)
             block.keep(on)
             ctx, _, _ = block.contexts()
             rows += _entries(row["block"], block, ctx, first[on], last[on].astype(np.uint8), buckets)
@@ -408,11 +342,11 @@ def cut_texts(length: int, q: int) -> Callable:
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = staged(texts.mapInPandas(pack_blocks, "ids binary, sizes binary, packed binary, bytes long").withColumn("block", F.monotonically_increasing_id()), "sd-blocks")
+    blocks = staged(texts.mapInPandas(pack_blocks, PACKED).withColumn("block", F.monotonically_increasing_id()), "sd-blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    hashes = blocks.mapInPandas(send_hashes(length, q, buckets), "bucket long, block long, hashes binary")
-    answers = staged(hashes.groupBy("bucket").applyInPandas(answer_hashes, "block long, bucket long, bits binary"), "sd-shared")
+    hashes = blocks.mapInPandas(send_hashes(length, q, buckets), SENT)
+    answers = staged(hashes.groupBy("bucket").applyInPandas(answer, ANSWERED), "sd-shared")
     entries = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_contexts(length, q, buckets), "bucket long, block long, n long, packed binary")
     judged = staged(entries.groupBy("bucket").applyInPandas(judge(length, q), "block long, answers binary"), "sd-judged")
     out = blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(cut_texts(length, q), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
