@@ -8,11 +8,9 @@
    (the members of least hash, the same ones in every band), links are
    contracted to components, and only members that are still outside their
    bucket's largest component are compared with the members of other
-   components.  Of those, a member is left out that could not reach the
-   threshold even if another set held all of its shared shingles, i.e. those
-   that any other member of such a bucket has.  In the end any two members of
-   a bucket either are in one component, have been compared, or cannot be
-   linked, so no link between components is lost.
+   components, in tiles whose pairs never leave their task.  In the end any
+   two members of a bucket either are in one component or have been compared,
+   so no link between components is lost.
 3. A pair is compared batch by batch of signature places.  After each batch
    the posterior of the similarity (uniform prior, so a beta distribution)
    is known; the pair goes when the chance that it reaches the threshold is
@@ -41,7 +39,6 @@ from pyspark.sql import functions as F
 
 from cohortflow.llm.common import drop_staged, query, sized, staged, table, without
 from cohortflow.llm.components import components
-from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, PACKED, SENT, answer, pack_blocks, send, shared, unpack_block
 from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, slices, utf8, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -49,6 +46,7 @@ THRESHOLD = 80  # percent
 PIVOTS = 4
 MISS = 1e-9
 BATCH = 32
+TILE = 64
 
 _SLOPE = mix(np.arange(7000, 7000 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -156,49 +154,71 @@ def confirm(k: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
     return run
 
 
+def _packed(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """rep, packed: the texts of the documents of the staged ``ids``; staged."""
+    texts = docs.join(sized(ids), docs["doc_id"] == ids["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    return staged(texts.mapInPandas(squeeze(k), "rep long, packed binary"), "nd-texts")
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The staged pairs (a < b) that are links: by signatures, then by full sets."""
     two = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     two = two.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     alive = staged(two.select("a", "b", "sig_a", "sig_b").mapInPandas(prune(percent / 100, MISS), "a long, b long"), "nd-alive")
     ids = staged(alive.select(F.col("a").alias("rep")).unionByName(alive.select(F.col("b").alias("rep"))).distinct(), "nd-ids")
-    # rows that repeat a doc_id: the text whose set the representative stands for
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(sized(ids), "rep", "left_semi")
-    texts = staged(texts.mapInPandas(squeeze(k), "rep long, packed binary").dropDuplicates(["rep"]), "nd-texts")
+    texts = _packed(docs, ids, k)
     two = alive.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
     two = two.join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
     return staged(two.select("a", "b", "packed_a", "packed_b").mapInPandas(confirm(k, percent), "a long, b long"), "nd-links")
 
 
-def _block_shingles(row, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, offs, raw = unpack_block(row)
-    return ids, [shingles(w, k) for w in word_hashes([raw[s:e] for s, e in zip(offs[:-1], offs[1:])], SPACE_WORDS)]
+def compare(k: int, percent: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Links between the queries and the members of one tile: signatures are
+    compared batch by batch, survivors by their full sets.  Only links leave the task."""
+    need = least_matches(BANDS * ROWS, BATCH, percent / 100, MISS)
 
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
 
-def shared_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """rep, m: how many shingles of each document of the staged ``ids`` another one of them has too."""
-    texts = docs.join(sized(ids), docs["doc_id"] == ids["rep"], "left_semi")
-    blocks = staged(texts.mapInPandas(pack_blocks, PACKED).withColumn("block", F.monotonically_increasing_id()), "nd-blocks")
-    buckets = max(1, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
+        unpack = zstandard.ZstdDecompressor().decompress
+        g = g.sort_values(["query", "rep"])
+        sets = [shingles(w, k) for w in word_hashes([unpack(x) for x in g["packed"]], SPACE_WORDS)]
+        sig = np.frombuffer(b"".join(g["sig"]), dtype="<u4").reshape(len(g), -1)
+        rep, root, query = g["rep"].to_numpy(), g["root"].to_numpy(), g["query"].to_numpy()
+        members = np.flatnonzero(~query)
+        out = []
+        for i in np.flatnonzero(query):
+            on = members[root[members] != root[i]]
+            matches = np.zeros(len(on), dtype=np.int64)
+            for n, least in enumerate(need):
+                part = slice(n * BATCH, (n + 1) * BATCH)
+                matches = matches + (sig[on, part] == sig[i, part]).sum(axis=1)
+                on, matches = on[matches >= least], matches[matches >= least]
+            for j in on:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for _, row in b.iterrows():
-                sets = _block_shingles(row, k)[1]
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield send(h, n > 1, row["block"], buckets)
+    return run
 
-    def count(key: tuple, some: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in some.iterrows():
-            reps, sets = _block_shingles(row, k)
-            h, back = np.unique(np.concatenate(sets), return_inverse=True)
-            on = shared(h, answers, buckets)[back]
-            out += [(int(r), int(x.sum())) for r, x in zip(reps, np.split(on, np.cumsum([len(x) for x in sets])[:-1]))]
-        return pd.DataFrame(out, columns=["rep", "m"])
 
-    answers = blocks.mapInPandas(tell, SENT).groupBy("bucket").applyInPandas(answer, ANSWERED)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(count, "rep long, m long")
+def _outside_links(torn: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Staged links of the members outside their bucket's largest component
+    (``top``) with the others that meet that component, in tiles of at most
+    ``TILE`` queries and ``TILE`` members, so that no large group is one task
+    and no pairs are shuffled."""
+    met = staged(torn.select("top", F.col("q").alias("rep"), "root").distinct(), "nd-met")
+    sizes = met.groupBy("top").agg(F.ceil(F.sum((F.col("root") != F.col("top")).cast("long")) / TILE).alias("rows"), F.ceil(F.count(F.lit(1)) / TILE).alias("cols"))
+    sizes = staged(sizes, "nd-sizes")
+    texts = _packed(docs, staged(met.select("rep").distinct(), "nd-met-ids"), k)
+    full = met.join(sizes, "top").join(sigs.select("rep", "sig"), "rep").join(texts, "rep")
+    tile = F.xxhash64("rep", "top")
+    queries = full.filter("root <> top").withColumn("i", F.pmod(tile, "rows")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
+    members = full.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("j", F.pmod(tile, "cols"))
+    cols = ["top", "i", "j", "rep", "root", "sig", "packed"]
+    tiles = queries.select(*cols, F.lit(True).alias("query")).unionByName(members.select(*cols, F.lit(False).alias("query")))
+    return staged(tiles.groupBy("top", "i", "j").applyInPandas(compare(k, percent), "a long, b long").distinct(), "nd-more")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -227,8 +247,8 @@ def _with_repeats(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     reps = staged(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "nd-reps")
     mine = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sigs = staged(mine.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"), "nd-sigs")
-    bands = sigs.select(F.col("rep").alias("q"), "n", F.explode("bands").alias("band"))
+    sigs = staged(mine.select(F.col("doc_id").alias("rep"), "sig", "bands"), "nd-sigs")
+    bands = sigs.select(F.col("rep").alias("q"), F.explode("bands").alias("band"))
     # pivots: per bucket the members of least hash, by map-side combined minima
     draws = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("q")).alias("h"), F.col("q").alias("p"))).alias(f"m{i}") for i in range(PIVOTS)]
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), *draws).filter("size > 1")
@@ -239,20 +259,12 @@ def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
     root = components(links)
 
     # what is outside its bucket's largest component meets the other components
-    marked = members.join(root.withColumnRenamed("node", "q"), "q", "left").select("band", "q", "n", F.coalesce("root", "q").alias("root"))
+    marked = members.join(root.withColumnRenamed("node", "q"), "q", "left").select("band", "q", F.coalesce("root", "q").alias("root"))
     marked = staged(marked, "nd-marked")
-    shares = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least_n"))
-    top = shares.groupBy("band").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("least_n").alias("least_n"))
-    top = staged(top.filter("parts > 1").select("band", "least_n", F.col("top.root").alias("top")), "nd-top")
-    torn = staged(marked.join(top, "band").select("band", "q", "n", "root", "top", "least_n"), "nd-torn")
-    common = shared_shingles(docs, staged(torn.select(F.col("q").alias("rep")).distinct(), "nd-torn-ids"), k)
-    outside = torn.filter("root <> top").withColumnRenamed("q", "p").join(common.withColumnRenamed("rep", "p"), "p")
-    reach = f"{100 + percent} * m >= {percent} * (n + {{}})"  # at best, all of its shared shingles are in the other set
-    outside = outside.filter(reach.format("least_n")).select("band", "p", F.col("root").alias("root_p"), F.col("n").alias("n_p"), "m")
-    outside = staged(outside, "nd-outside")
-    rest = outside.join(torn.select("band", "q", "n", "root"), "band").filter("root <> root_p").filter(reach.format("n_p")).select("p", "q")
-    rest = staged(_pairs(rest).join(first, ["a", "b"], "left_anti"), "nd-rest")
-    more = _links(rest, sigs, docs, k, percent)
+    shares = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = shares.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    top = staged(top.select("band", F.col("top.root").alias("top")), "nd-top")
+    more = _outside_links(marked.join(top, "band"), sigs, docs, k, percent)
     if not more.isEmpty():
         up = root.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         up2 = root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -260,7 +272,7 @@ def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
         hung = root.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         root = components(over.filter("a <> b").unionByName(hung))
     of_set = staged(reps.join(root, reps["rep"] == root["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component")), "nd-of-set")
-    drop_staged(members, marked, torn)
+    drop_staged(members, marked)
     out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     linked = out.filter("set_key is not null").join(of_set, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = out.filter("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -29,7 +29,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP = 8192
 #: Most texts between blanks whose ids a worker remembers, and the longest.
-CACHE, CACHED_CHARS = 1_000_000, 48
+CACHE, CACHED_CHARS = 500_000, 48
 
 
 class Encoder:
