@@ -16,7 +16,7 @@ import pandas as pd
 from cohortflow.llm.textops import utf8
 
 #: Text bytes of a block, and text bytes whose hashes one bucket gets.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 NO_ID = np.iinfo(np.int64).max
 PACKED = "ids binary, sizes binary, packed binary, bytes long"
 SENT = "bucket long, block long, hashes binary"

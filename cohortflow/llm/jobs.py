@@ -5,6 +5,7 @@ import cohortflow.llm.exact_dedup  # noqa: F401
 import cohortflow.llm.langid  # noqa: F401
 import cohortflow.llm.near_dup  # noqa: F401
 import cohortflow.llm.packing  # noqa: F401
+import cohortflow.llm.pii  # noqa: F401
 import cohortflow.llm.suffix_dedup  # noqa: F401
 import cohortflow.llm.token_counts  # noqa: F401
 import cohortflow.llm.toxicity  # noqa: F401

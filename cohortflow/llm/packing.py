@@ -30,6 +30,8 @@ END_ID = 1
 GROUP = 8192
 #: Most texts between blanks whose ids a worker remembers, and the longest.
 CACHE, CACHED_CHARS = 500_000, 48
+#: Marks by which a worker tells what it has met before (collisions only fill the memory sooner).
+SEEN = 1 << 22
 
 
 class Encoder:
@@ -48,36 +50,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.known: dict[str, bytes] = {"": b""}
+        self.seen = bytearray(SEEN)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > CACHE:
-            self.known = {"": b""}
-        odd = [x for x in parts if "<|" in x]
-        parts = [x for x in parts if "<|" not in x]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """ids of many parts, encoded as few texts with the separator between them."""
+        out = []
         for at in range(0, len(parts), 512):
             some = parts[at : at + 512]
             ids = np.array(self.tokenizer.encode(f" {self.SEPARATOR} ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.separator)
             raw, left = ids.tobytes(), 0
-            for part, cut in zip(some, [*cuts.tolist(), len(ids)]):
-                self.known[part] = raw[4 * left : 4 * cut]
+            for cut in [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]:
+                out.append(raw[4 * left : 4 * cut])
                 left = cut + 1
-        for part in odd:
-            self.known[part] = self._one(part)
+        return out
+
+    def _missing(self, parts: list[str]) -> dict[str, bytes]:
+        """ids of parts that are not remembered.  Case and a mark that follows
+        letters do not change the ids of the letters."""
+        known = self.known
+        plain: dict[str, list[tuple[str, str]]] = {}
+        out = {}
+        for p in parts:
+            word, mark = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
+            if not (word.isalpha() and len(word) <= CACHED_CHARS):
+                out[p] = self._one(p)
+                continue
+            if word.isascii():
+                word = word.lower()
+            if mark and mark not in known:
+                known[mark] = self._one(mark)
+            if word in known:
+                out[p] = known[word] + known.get(mark, b"")
+            else:
+                plain.setdefault(word, []).append((p, mark))
+        for word, raw in zip(plain, self._ids(list(plain))):
+            for p, mark in plain[word]:
+                out[p] = raw + known.get(mark, b"")
+            out[word] = raw
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        known, seen = self.known, self.seen
         for at in range(0, len(texts), 512):
             split = [x.replace("\n", " ").split(" ") for x in texts[at : at + 512]]
-            known = self.known
-            new = {p for parts in split for p in parts if p not in known}
-            long = {p: self._one(p) for p in new if len(p) > CACHED_CHARS}
-            self._learn(list(new - long.keys()) if len(known) + len(new) <= CACHE else list({p for parts in split for p in parts} - long.keys() - {""}))
-            known = self.known
+            new = self._missing([p for p in set().union(*split) if p not in known])
+            known.update(new)
+            lookup = known.__getitem__
             for parts in split:
-                yield b"".join([long[p] if p in long else known[p] for p in parts] if long else map(known.__getitem__, parts))
+                yield b"".join(map(lookup, parts))
+            for p in new:  # what is met again stays, while there is room
+                slot = hash(p) & (SEEN - 1)
+                if not seen[slot] or len(known) > CACHE or len(p) > CACHED_CHARS:
+                    seen[slot] = 1
+                    del known[p]
 
 
 _encoders: dict[str, Encoder] = {}

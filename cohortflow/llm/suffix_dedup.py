@@ -7,7 +7,7 @@ in some 50-byte window.  Equal windows hold the same least q-gram at the same
 place, so every repeat is seen at an anchor, and one anchor (the last least
 one) owns a window.
 
-1. Texts are packed, compressed, into blocks of about 4 MB and
+1. Texts are packed, compressed, into blocks of a few megabytes and
    written once.
 2. Every block sends the hashes of its anchors to initial q-gram buckets, each
    hash once; buckets answer which of them more than one document has.
@@ -63,27 +63,29 @@ class Block:
     def keep(self, on: np.ndarray) -> None:
         self.at, self.hash, self.text = self.at[on], self.hash[on], self.text[on]
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes around each anchor (window offsets 0..w-1, zero outside the
-        text) and first and last offset of the windows it may judge."""
-        w = self.length - self.q  # an anchor at w in the context
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last offset, before each anchor, of the windows of its text that hold it."""
+        w = self.length - self.q
         lo = np.maximum(0, w - (self.at - self.offs[self.text]))
-        hi = np.minimum(w, self.offs[self.text + 1] - self.at - self.q)
+        return lo, np.minimum(w, self.offs[self.text + 1] - self.at - self.q)
+
+    def contexts(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The bytes of each anchor's windows first..last, zero elsewhere; an anchor stands at length - q."""
+        w = self.length - self.q
         pad = np.concatenate((np.zeros(w, np.uint8), self.raw, np.zeros(w, np.uint8)))
-        view = np.lib.stride_tricks.sliding_window_view(pad, 2 * w + self.q)
-        ctx = view[self.at].copy()
-        cols = np.arange(ctx.shape[1])
-        ctx[(cols < lo[:, None]) | (cols >= (w + self.q + hi)[:, None])] = 0
-        return ctx, lo.astype(np.uint8), hi.astype(np.uint8)
+        ctx = np.lib.stride_tricks.sliding_window_view(pad, 2 * w + self.q)[self.at].copy()
+        cols = np.arange(ctx.shape[1], dtype=np.int16)
+        ctx[(cols < first[:, None]) | (cols >= (last.astype(np.int16) + self.length)[:, None])] = 0
+        return ctx
 
 
-def owned(block: Block, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def owned(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Windows that this anchor alone judges: those in which no least q-gram
     comes later.  Anchors are in order; the next one that is no larger ends it,
     an earlier smaller one starts it."""
     w = block.length - block.q
     n = len(block.at)
-    first, last = lo.astype(np.int64), hi.astype(np.int64)
+    first, last = block.reach()
     before = np.full(n, -1, np.int64)  # the last earlier anchor that is smaller
     after = np.full(n, -1, np.int64)  # the first later anchor that is not larger
     stack: list[int] = []
@@ -134,13 +136,11 @@ def send_contexts(length: int, q: int, buckets: int) -> Callable:
         for _, row in blocks.iterrows():
             block = Block(row, length, q)
             # own windows are settled among all anchors, before any is left out
-            _, lo, hi = Block.contexts(block)
-            first, last = owned(block, lo, hi)
+            first, last = owned(block)
             uniq, back = np.unique(block.hash, return_inverse=True)
             on = shared(uniq, answers, buckets)[back] & (first <= last)
             block.keep(on)
-            ctx, _, _ = block.contexts()
-            rows += _entries(row["block"], block, ctx, first[on], last[on].astype(np.uint8), buckets)
+            rows += _entries(row["block"], block, first[on], last[on].astype(np.uint8), buckets)
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "packed"])
 
     return run
@@ -157,21 +157,14 @@ def _context_key(ctx: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return key
 
 
-def _outside(ctx: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Contexts without the bytes that no own window covers."""
-    cols = np.arange(ctx.shape[1])
-    ctx[(cols < first[:, None]) | (cols >= (last.astype(np.int64) + length)[:, None])] = 0
-    return ctx
-
-
-def _entries(block_no: int, block: Block, ctx: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> list[tuple]:
+def _entries(block_no: int, block: Block, first: np.ndarray, last: np.ndarray, buckets: int) -> list[tuple]:
     """Distinct contexts, by bucket: the anchor's place in the block (of the
     first instance), hash, least and greatest doc_id, own windows, bytes."""
     import zstandard
 
     if not len(block.at):
         return []
-    ctx = _outside(ctx, first, last, block.length)
+    ctx = block.contexts(first, last)
     key = _context_key(ctx, first, last)
     order, new = _groups([key, block.hash])
     starts = np.flatnonzero(new)
@@ -304,13 +297,12 @@ def cut_texts(length: int, q: int) -> Callable:
             if raws:
                 parts = [(np.frombuffer(r[: 4 * (n := len(r) // 14)], "<i4"), np.frombuffer(r[4 * n : 5 * n], "u1"), np.frombuffer(r[5 * n : 6 * n], "u1"), np.frombuffer(r[6 * n :], "<i8")) for r in raws]
                 place, o1, o2, least = (np.concatenate(c) for c in zip(*parts))
-                _, lo, hi = block.contexts()
-                first, last = owned(block, lo, hi)
+                first, last = owned(block)
                 reps = np.searchsorted(block.at, np.unique(place))
                 on = np.isin(block.hash, block.hash[reps]) & (first <= last)
                 block.keep(on)
                 first, last = first[on], last[on].astype(np.uint8)
-                ctx = _outside(block.contexts()[0], first, last, length)
+                ctx = block.contexts(first, last)
                 key_of = _context_key(ctx, first, last)
                 # instances of each representative's context
                 order, new = _groups([key_of, block.hash])
