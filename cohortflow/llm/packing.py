@@ -75,11 +75,13 @@ class Encoder:
         out = {}
         for p in parts:
             word, mark = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
-            if not (word.isalpha() and len(word) <= CACHED_CHARS):
+            if not word.isalpha():
+                word, mark = p, ""
+            elif word.isascii():
+                word = word.lower()
+            if len(word) > CACHED_CHARS or "<|" in word:
                 out[p] = self._one(p)
                 continue
-            if word.isascii():
-                word = word.lower()
             if mark and mark not in known:
                 known[mark] = self._one(mark)
             if word in known:
