@@ -15,6 +15,7 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,8 @@ GROUP = 8192
 CACHE, CACHED_CHARS = 500_000, 48
 #: Marks by which a worker tells what it has met before (collisions only fill the memory sooner).
 SEEN = 1 << 22
+#: Lower-case Latin letters, which the tokenizer's normaliser leaves alone.
+LATIN = re.compile("[a-zß-öø-ɏ]+").fullmatch
 
 
 class Encoder:
@@ -41,30 +44,33 @@ class Encoder:
     are those of its parts between blanks; frequent parts are remembered.
     """
 
-    SEPARATOR = "<|endoftext|>"
-
     def __init__(self, path: str):
         single_thread()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.plain.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.seen = bytearray(SEEN)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        """ids of many parts, encoded as few texts with the separator between them."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of Latin words in lower case: these need no normalising, and the
+        last id of each ends a word, so a text of many words falls apart again."""
         out = []
-        for at in range(0, len(parts), 512):
-            some = parts[at : at + 512]
-            ids = np.array(self.tokenizer.encode(f" {self.SEPARATOR} ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             raw, left = ids.tobytes(), 0
-            for cut in [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]:
-                out.append(raw[4 * left : 4 * cut])
-                left = cut + 1
+            for cut in (4 * np.flatnonzero(self.ends[ids]) + 4).tolist():
+                out.append(raw[left:cut])
+                left = cut
         return out
 
     def _missing(self, parts: list[str]) -> dict[str, bytes]:
@@ -75,11 +81,8 @@ class Encoder:
         out = {}
         for p in parts:
             word, mark = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
-            if not word.isalpha():
-                word, mark = p, ""
-            elif word.isascii():
-                word = word.lower()
-            if len(word) > CACHED_CHARS or "<|" in word:
+            word = word.lower()
+            if len(word) > CACHED_CHARS or not LATIN(word):
                 out[p] = self._one(p)
                 continue
             if mark and mark not in known:
@@ -88,7 +91,7 @@ class Encoder:
                 out[p] = known[word] + known.get(mark, b"")
             else:
                 plain.setdefault(word, []).append((p, mark))
-        for word, raw in zip(plain, self._ids(list(plain))):
+        for word, raw in zip(plain, self._words(list(plain))):
             for p, mark in plain[word]:
                 out[p] = raw + known.get(mark, b"")
             out[word] = raw
