@@ -33,8 +33,9 @@ GROUP = 8192
 CACHE, CACHED_CHARS = 500_000, 48
 #: Marks by which a worker tells what it has met before (collisions only fill the memory sooner).
 SEEN = 1 << 22
-#: Lower-case Latin letters, which the tokenizer's normaliser leaves alone.
-LATIN = re.compile("[a-zß-öø-ɏ]+").fullmatch
+#: Lower-case Latin letters, which the tokenizer's normaliser leaves alone,
+#: between ASCII marks; an apostrophe before letters may belong to them.
+WORD_IN_MARKS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 class Encoder:
@@ -74,26 +75,27 @@ class Encoder:
         return out
 
     def _missing(self, parts: list[str]) -> dict[str, bytes]:
-        """ids of parts that are not remembered.  Case and a mark that follows
-        letters do not change the ids of the letters."""
+        """ids of parts that are not remembered.  Case, and marks before or
+        after letters, do not change the ids of the letters."""
         known = self.known
-        plain: dict[str, list[tuple[str, str]]] = {}
+        plain: dict[str, list[tuple[str, str, str]]] = {}
         out = {}
         for p in parts:
-            word, mark = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
-            word = word.lower()
-            if len(word) > CACHED_CHARS or not LATIN(word):
+            m = WORD_IN_MARKS(p.lower()) if len(p) <= CACHED_CHARS and "<|" not in p else None
+            if m is None:
                 out[p] = self._one(p)
                 continue
-            if mark and mark not in known:
-                known[mark] = self._one(mark)
+            before, word, after = m.groups()
+            for mark in (before, after):
+                if mark not in known:
+                    known[mark] = self._one(mark)
             if word in known:
-                out[p] = known[word] + known.get(mark, b"")
+                out[p] = known[before] + known[word] + known[after]
             else:
-                plain.setdefault(word, []).append((p, mark))
+                plain.setdefault(word, []).append((p, before, after))
         for word, raw in zip(plain, self._words(list(plain))):
-            for p, mark in plain[word]:
-                out[p] = raw + known.get(mark, b"")
+            for p, before, after in plain[word]:
+                out[p] = known[before] + raw + known[after]
             out[word] = raw
         return out
 
