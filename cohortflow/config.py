@@ -47,13 +47,12 @@ SNIPPET_SEP = "\n\n" + 30 * "#" + "\n\n"
 # {int: label} (binary ones map 1 -> True / 0 -> False), Charlson weight
 # (base revision), Charlson weight (Quan revision), family, position.
 # List-type weights are [weight for value 1, weight for value 2].
-# peripheral_vascular_disease has no base weight in the study's config; the
-# base revision would fail on it, so we state weight 1 explicitly (quirk).
+# peripheral_vascular_disease has no base weight (None: it adds nothing).
 BINARY_STATUS = {1: True, 0: False}
 COMORBIDITIES = [
     ("myocardial_infarction", "IDM", "binary", BINARY_STATUS, 1, 0, None, 0),
     ("congestive_heart_failure", "Insuff. Card. Cong.", "binary", BINARY_STATUS, 1, 2, None, 1),
-    ("peripheral_vascular_disease", "Maladies Vasc. Periph.", "binary", BINARY_STATUS, 1, 0, None, 2),
+    ("peripheral_vascular_disease", "Maladies Vasc. Periph.", "binary", BINARY_STATUS, None, 0, None, 2),
     ("cerebrovascular_accident", "Maladies Cérébro-Vasc.", "binary", BINARY_STATUS, 1, 0, None, 3),
     ("dementia", "Démence", "binary", BINARY_STATUS, 1, 2, None, 4),
     ("COPD", "Maladies Pulmo. Chron.", "binary", BINARY_STATUS, 1, 1, None, 5),
@@ -173,3 +172,6 @@ SCORE_WINDOW = 20
 
 # Seeds / buckets of the method simulations used for evaluation.
 SEED = 42
+
+# Note type in the title of an annotation snippet, by patient type.
+NOTE_TITLES = {"inpatient": "CR-HOSP", "outpatient": "CR-CONS"}

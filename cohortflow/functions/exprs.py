@@ -26,9 +26,9 @@ def md5_unit(*parts) -> Column:
     return md5_int(*parts) / F.lit(float(16 ** 8))
 
 
-def strip_prefix(c, start: int = 7, length: int = 20) -> Column:
-    """``substring(code, 7, 20)`` -- drops ``CIM10:`` and truncates."""
-    return F.substring(col_(c), start, length)
+def strip_prefix(c, start: int = 7) -> Column:
+    """Drops ``CIM10:``; the whole rest of the code stays."""
+    return F.substring(col_(c), start, 2 ** 31 - 1)
 
 
 def recode(c, mapping: dict[str, str]) -> Column:
@@ -60,10 +60,5 @@ def f1(ppv, sens) -> Column:
     return F.try_divide(F.lit(2.0) * col_(ppv) * col_(sens), col_(ppv) + col_(sens))
 
 
-def overlap(b1, e1, b2, e2) -> Column:
-    """Closed-interval overlap (touching spans overlap)."""
-    return (col_(b1) <= col_(e2)) & (col_(b2) <= col_(e1))
-
-
 def display_name(c) -> Column:
     return recode(c, config.DISPLAY_NAMES)

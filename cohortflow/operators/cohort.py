@@ -45,7 +45,7 @@ def conditions(t: src.Tables, visits_df: DataFrame | None = None) -> DataFrame:
 
 
 def notes(t: src.Tables, ids: DataFrame | None = None) -> DataFrame:
-    return restrict(src.orbis_note(t), ids)
+    return restrict(src.clinical_note(t), ids)
 
 
 def persons(t: src.Tables, ids: DataFrame | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def persons(t: src.Tables, ids: DataFrame | None = None) -> DataFrame:
 # Stratification and split
 # ---------------------------------------------------------------------------
 
-def stratification(t: src.Tables, mode: str = "md5", limit: int | None = None) -> DataFrame:
+def stratification(t: src.Tables, mode: str = "md5") -> DataFrame:
     """Per person: project (cohort ``cse``) and stratum 0..9.
 
     Keyed on the birth-date string, so two records of one person (same birth
@@ -64,8 +64,6 @@ def stratification(t: src.Tables, mode: str = "md5", limit: int | None = None) -
     any engine; ``murmur3`` mode uses Spark's ``hash`` (long-cast before abs).
     """
     p = src.person(t).select("person_id", "birth_datetime")
-    if limit is not None:          # T7: test aid, first persons by id
-        p = p.orderBy("person_id").limit(limit)
     bd = F.date_format("birth_datetime", "y-M-d")
     if mode == "md5":
         h = md5_int(bd)
@@ -105,13 +103,18 @@ def sample_persons(ids: DataFrame, max_number: int, total: int, seed: int = conf
 # Notes and visits for a patient type
 # ---------------------------------------------------------------------------
 
-def _note_length():
-    """Stored text length when the source has it, else length(note_text)."""
-    return F.coalesce(F.col("note_length"), F.length("note_text"))
+def _long(min_length: int):
+    """P5 on the stored text length (a length implies a text): no text is read."""
+    return F.col("note_length") > min_length
+
+
+def with_texts(t: src.Tables, ids: DataFrame) -> DataFrame:
+    """The chosen notes with their texts: ids are chosen on narrow columns, the texts are read and moved once."""
+    return ids.join(src.note_texts(t), "note_id")
 
 
 def select_notes_all(t: src.Tables, patient_types=("inpatient", "outpatient"), min_length: int = 500,
-                     ids: DataFrame | None = None) -> DataFrame:
+                     ids: DataFrame | None = None, with_text: bool = True) -> DataFrame:
     """C1 for several patient types in one pass over the notes: each type's
     visits (coded ones only for inpatients), notes of the matching class,
     length filter, last note per visit; adds ``patient_type``."""
@@ -127,12 +130,12 @@ def select_notes_all(t: src.Tables, patient_types=("inpatient", "outpatient"), m
     for p in vparts[1:]:
         v = v.unionByName(p)
     classes = [config.PATIENT_TYPES[pt][1] for pt in patient_types]
-    n = (notes(t, ids)
-         .filter(F.col("note_class_source_value").isin(classes))
-         .filter(F.col("note_text").isNotNull() & (_note_length() > min_length)))
+    n = (notes(t, ids).drop("note_text")
+         .filter(F.col("note_class_source_value").isin(classes)).filter(_long(min_length)))
     n = n.join(v, ["person_id", "visit_occurrence_id"]).filter(F.col("note_class_source_value") == F.col("_class")) \
         .drop("_class")
-    return last_note_per_visit(n)
+    n = last_note_per_visit(n)
+    return with_texts(t, n) if with_text else n
 
 
 def coded_visits(v: DataFrame, c: DataFrame) -> DataFrame:
@@ -176,9 +179,9 @@ def select_notes(t: src.Tables, patient_type: str = "inpatient", keep_last_note_
     v = visits(t, visit_type=visit_type, ids=ids) if visits_df is None else visits_df
     if patient_type == "inpatient":
         v = coded_visits(v, conditions(t))
-    n = (notes(t, ids)
+    n = (notes(t, ids).drop("note_text")
          .filter(F.col("note_class_source_value") == note_class)          # P4
-         .filter(F.col("note_text").isNotNull() & (_note_length() > min_length)))  # P5
+         .filter(_long(min_length)))                                        # P5
     n = n.join(v.select("person_id", "visit_occurrence_id", "visit_start_datetime"),
                ["person_id", "visit_occurrence_id"], "inner")              # J3
     if keep_last_note_only:
@@ -188,4 +191,4 @@ def select_notes(t: src.Tables, patient_type: str = "inpatient", keep_last_note_
     sel_visits = n.select("person_id", "visit_occurrence_id", "visit_start_datetime")
     if not keep_last_note_only or n_notes is not None:
         sel_visits = sel_visits.distinct()                                 # A35
-    return n, sel_visits
+    return with_texts(t, n), sel_visits

@@ -59,20 +59,11 @@ def pipeline(num_features: int = 1 << 18, reg: float = 0.01, max_iter: int = 50,
     return Pipeline(stages=[tok, tf, idf, lr])
 
 
-def build_params(groups: list[dict]) -> list[dict]:
-    """M3: values are zipped inside a group and crossed across groups.
+def crossed_settings(groups: list[dict]) -> list[dict]:
+    """M3: the values of a group go together, the groups are crossed:
     ``[{a:[1,2], b:[x,y]}, {c:[7,8,9]}]`` -> 6 settings."""
-    per_group = []
-    for g in groups:
-        keys = list(g)
-        per_group.append([dict(zip(keys, vals)) for vals in zip(*[g[k] for k in keys])])
-    out = []
-    for combo in itertools.product(*per_group):
-        d = {}
-        for part in combo:
-            d.update(part)
-        out.append(d)
-    return out
+    together = [[list(zip(g, values)) for values in zip(*g.values())] for g in groups]
+    return [dict(itertools.chain.from_iterable(choice)) for choice in itertools.product(*together)]
 
 
 def logits_to_label(z: Column) -> Column:
@@ -117,7 +108,7 @@ def grid_search(train: DataFrame, valid: DataFrame, groups: list[dict], keep_bes
     rows = []
     best = (None, -1.0)
     train, valid = train.persist(), valid.persist()
-    for i, p in enumerate(build_params(groups)):
+    for i, p in enumerate(crossed_settings(groups)):
         m = fit(train, **p)
         r = validate(m, valid).first()
         rows.append((i, str(sorted(p.items())), float(r["f1"]), float(r["precision"]), float(r["recall"])))

@@ -32,29 +32,30 @@ def exact_code_map(codes: DataFrame) -> DataFrame:
             .groupBy("code", "comorb").agg(F.min("status").alias("status")))
 
 
-def regex_code_map(codes: DataFrame, condition_codes: DataFrame, anchored: bool = False,
-                   max_code_length: int = 20) -> DataFrame:
+def regex_code_map(codes: DataFrame, condition_codes: DataFrame, anchored: bool = False) -> DataFrame:
     """Principal codes matched *anywhere* in a diagnosis code (the
     escaped-alternation ``rlike`` of the study), rewritten as an equi-join.
 
     An alternation of escaped literals matches a code iff one literal is a
     substring of it, so every distinct diagnosis code is expanded to its
-    substrings (prefixes only when ``anchored``) and equi-joined to the
-    principal codes.  The distinct-code set is bounded by the code system
-    (not by the data volume) and the substring fan-out by the code length
-    (<= 20 after P1), so nothing here scans the fact table with a regex and
-    there is no cross join.
+    substrings (prefixes only when ``anchored``) of the lengths that principal
+    codes have, and equi-joined to the principal codes.  The fan-out is linear
+    in the code's length, nothing here scans the fact table with a regex and
+    there is no cross join.  (The lengths are read from the dictionary, which
+    is configuration.)
     """
     principal = (codes.filter((F.col("hierarchie") == "Principal") & F.col("code").isNotNull())
                  .select(F.col("code").alias("literal"), "comorb", "status"))
     distinct_codes = condition_codes.select(F.col("condition_source_value").alias("code")).distinct()
+    lengths = sorted(r["n"] for r in principal.select(F.length("literal").alias("n")).distinct().collect() if r["n"])
     n = F.length("code")
-    if anchored:
-        subs = F.transform(F.sequence(F.lit(1), n), lambda ln: F.substring("code", 1, ln))
-    else:
-        starts = F.sequence(F.lit(1), n)
-        subs = F.flatten(F.transform(
-            starts, lambda s: F.transform(F.sequence(s, n), lambda e: F.substring("code", s, e - s + 1))))
+
+    def cut(size: int):
+        last = F.lit(1) if anchored else n - size + 1
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)),
+                                             lambda s: F.substring("code", s, F.lit(size)))).otherwise(F.array())
+
+    subs = F.concat(*[cut(size) for size in lengths]) if lengths else F.array().cast("array<string>")
     expanded = distinct_codes.filter(n > 0).select("code", F.explode(F.array_distinct(subs)).alias("literal"))
     matched = expanded.join(F.broadcast(principal), "literal")
     # statuses tested in ascending order: the first (mildest) matching wins per code
@@ -91,7 +92,8 @@ def visit_severity(cond: DataFrame, codes: DataFrame, via_regex: bool = False,
     c = cond.select("visit_occurrence_id", F.col("condition_source_value").alias("code"))
     cmap = regex_code_map(codes, cond, anchored) if via_regex else exact_code_map(codes)
     cmap = cmap.select("code", "comorb", severity().alias("severity"))
-    return (c.join(F.broadcast(cmap), "code")
+    # the map may come from the data's codes: its size decides at run time how it is joined
+    return (c.join(cmap, "code")
             .groupBy("visit_occurrence_id", "comorb")
             .agg(F.max("severity").alias("severity")))
 
@@ -113,16 +115,19 @@ def visit_phenotypes(cond: DataFrame, codes: DataFrame, via_regex: bool = False,
 # ---------------------------------------------------------------------------
 
 def history_phenotypes(targets: DataFrame, all_visits: DataFrame, visit_status: DataFrame,
-                       method: str = "first_reached", comorbs: list[str] | None = None) -> DataFrame:
+                       method: str = "first_reached", comorbs: list[str] | None = None,
+                       salts: int = 8) -> DataFrame:
     """A2: for each target visit, the most severe status over every visit of
     the same person that started at or before it (equal starts included).
 
     ``first_reached`` (default): for each (person, comorb, status) the
     earliest start at which it was recorded -- a min-aggregation that
     combines map-side, so a person with a huge history never becomes one
-    sorted partition -- then each target takes the max status whose first
-    start <= its own start.  The final grouping key contains the join key
-    (person), so it reuses the join's partitioning.
+    sorted partition.  These (few) firsts become one array per person, and
+    each target looks up its own array: no aggregate follows the join.  The
+    targets of a person are dealt over ``salts`` keys and the person's one
+    row is repeated for each, so a person with very many stays is several
+    tasks.
 
     ``window``: cumulative RANGE window max per (person, comorb) (W5).
 
@@ -137,10 +142,15 @@ def history_phenotypes(targets: DataFrame, all_visits: DataFrame, visit_status:
     if method == "first_reached":
         firsts = (vs.groupBy("person_id", "comorb", "severity")
                   .agg(F.min("visit_start_datetime").alias("first_start")))
-        j = tg.join(firsts, "person_id").filter(F.col("first_start") <= F.col("visit_start_datetime"))
-        return (j.groupBy("person_id", "visit_occurrence_id", "comorb")
-                .agg(F.max("severity").alias("severity"))
-                .select("visit_occurrence_id", "comorb", "severity"))
+        per = firsts.groupBy("person_id").agg(F.collect_list(F.struct("comorb", "severity", "first_start")).alias("fs"))
+        per = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = tg.withColumn("salt", F.pmod(F.hash("visit_occurrence_id"), F.lit(salts)))
+        j = dealt.join(per, ["person_id", "salt"]).select("visit_occurrence_id", F.filter(
+            "fs", lambda x: x["first_start"] <= F.col("visit_start_datetime")).alias("fs"))
+        top = F.filter("fs", lambda x: ~F.exists("fs", lambda y: (y["comorb"] == x["comorb"])
+                                                 & (y["severity"] > x["severity"])))
+        return j.select("visit_occurrence_id", F.explode(top).alias("x")).select(
+            "visit_occurrence_id", "x.comorb", "x.severity")
     if method == "window":
         from pyspark.sql import Window
         # one row per (person, visit, comorb) including targets without status

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortflow import config
 from cohortflow.functions.exprs import age_years, display_name
+from cohortflow.session import checkpoint_dir
 from cohortflow.operators.labels import OVERALL, add_overall
 
 
@@ -78,27 +79,27 @@ def entity_counts(ents: DataFrame, cfg: DataFrame) -> DataFrame:
         "label_name", F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 
-def dense_index(df: DataFrame, order_cols: list[str], bucket_col: str, bucket_width: int,
-                name: str = "index") -> DataFrame:
-    """1-based position in the global order ``order_cols`` (last column
-    is ``bucket_col``, a non-negative long) without a single-partition
-    window: rows are numbered inside (order prefix, id range) blocks, and the
-    blocks' sizes are prefix-summed over the small block table."""
-    prefix = order_cols[:-1]
-    d = df.withColumn("_blk", F.floor(F.col(bucket_col) / bucket_width))
-    blocks = d.groupBy(*prefix, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
-    wb = Window.orderBy(*prefix, "_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0))).drop("_cnt")
-    wr = Window.partitionBy(*prefix, "_blk").orderBy(*order_cols)
-    d = d.withColumn("_rn", F.row_number().over(wr))
-    return d.join(blocks, prefix + ["_blk"]).withColumn(name, F.col("_off") + F.col("_rn")).drop("_blk", "_off", "_rn")
+def dense_index(df: DataFrame, order_cols: list[str], name: str = "index") -> DataFrame:
+    """1-based position in the global order ``order_cols`` without a
+    single-partition window over rows: rows are range-partitioned and sorted
+    once (reliable checkpoint), each numbers itself inside its partition, and
+    the only global window runs over one count per partition."""
+    checkpoint_dir(df.sparkSession)
+    d = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+         .withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True))
+    part = F.shiftright("_at", 33)
+    sizes = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = d.withColumn("_part", part).join(F.broadcast(sizes), "_part")
+    return out.withColumn(name, F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_off", "_at")
 
 
-def entities_per_doc(ents: DataFrame, notes: DataFrame, bucket_width: int = 100_000) -> DataFrame:
+def entities_per_doc(ents: DataFrame, notes: DataFrame) -> DataFrame:
     """A5: entities per note (zero-filled), 1-based index in (N, note) order."""
     c = ents.groupBy("note_id").agg(F.count(F.lit(1)).alias("N"))
     d = notes.select("note_id").join(c, "note_id", "left").select("note_id", F.coalesce("N", F.lit(0)).alias("N"))
-    return dense_index(d, ["N", "note_id"], "note_id", bucket_width)
+    return dense_index(d, ["N", "note_id"])
 
 
 # ---------------------------------------------------------------------------
@@ -132,8 +133,8 @@ def metric_table(df: DataFrame, metrics=("PPV", "Sensitivity", "F1"), split_per_
 
 def parse_ci(c: str) -> list[F.Column]:
     """P25: ``"v (lo - hi)"`` -> value (double) and the CI string."""
-    return [F.regexp_extract(F.col(c), r"^\s*([-0-9.]+)", 1).cast("double").alias("value"),
-            F.regexp_extract(F.col(c), r"(\([^)]*\))", 1).alias("ci")]
+    return [F.nullif(F.regexp_extract(F.col(c), r"^\s*([-0-9.]+)", 1), F.lit("")).try_cast("double").alias("value"),
+            F.nullif(F.regexp_extract(F.col(c), r"(\([^)]*\))", 1), F.lit("")).alias("ci")]
 
 
 def cohort_table(stats: DataFrame, per_label: DataFrame, cses=None, patient_types=None) -> DataFrame:
@@ -151,7 +152,7 @@ def cohort_table(stats: DataFrame, per_label: DataFrame, cses=None, patient_type
     b = per_label.select("cse", "patient_type", "label_name", *[F.col(c).cast("double") for c in b_cols]) \
         .unpivot(["cse", "patient_type", "label_name"], b_cols, "stat", "value") \
         .select("cse", "patient_type", F.concat_ws(" / ", "label_name", "stat").alias("metric"), "value",
-                F.lit("eCCI condition").alias("metric_type"))
+                F.lit("condition").alias("metric_type"))
     long = a.unionByName(b).withColumn("col", F.concat_ws("_", "cse", "patient_type"))
     keys = [f"{c}_{p}" for c in cses for p in pts]
     return long.groupBy("metric_type", "metric").pivot("col", keys).agg(F.first("value"))

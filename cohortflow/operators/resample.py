@@ -62,24 +62,32 @@ def bootstrap_metric_table(stats: DataFrame, group_cols: list[str], label_cols=(
                               denominators=den, label_cols=label_cols)
 
 
+def _interval(lo: F.Column, hi: F.Column) -> F.Column:
+    """``"(lo - hi)"``, NULL where there is no interval."""
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.format_string("(%.1f - %.1f)", lo, hi))
+
+
 def confidence_intervals(reps: DataFrame, keys: list[str], metrics: list[str],
                          q=config.CI_QUANTILES) -> DataFrame:
     """Linear-interpolated quantiles per key and metric, plus the
     ``"(lo - hi)"`` string (1 decimal)."""
     aggs = []
     for m in metrics:
-        aggs += [F.percentile(m, q[0]).alias(f"{m}_lo"), F.percentile(m, q[1]).alias(f"{m}_hi")]
+        # one undefined replicate leaves the metric without an interval
+        whole = F.count(m) == F.count(F.lit(1))
+        aggs += [F.when(whole, F.percentile(m, q[k])).alias(f"{m}_{end}") for k, end in enumerate(("lo", "hi"))]
     ci = reps.groupBy(*keys).agg(*aggs)
     return ci.select(*keys, *[c for m in metrics for c in (f"{m}_lo", f"{m}_hi")],
-                     *[F.format_string("(%.1f - %.1f)", f"{m}_lo", f"{m}_hi").alias(f"{m}_ci") for m in metrics])
+                     *[_interval(F.col(f"{m}_lo"), F.col(f"{m}_hi")).alias(f"{m}_ci") for m in metrics])
 
 
 def with_ci(point: DataFrame, ci: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Point metrics joined with their intervals, formatted
     ``"v (lo - hi)"``."""
     j = point.join(ci, keys, "left")
-    return j.select(*keys, *[F.concat_ws(" ", F.format_string("%.1f", F.col(m)), F.col(f"{m}_ci")).alias(m)
-                             for m in metrics], *[F.col(m).alias(f"{m}_value") for m in metrics])
+    cell = {m: F.when(F.col(m).isNotNull(), F.concat_ws(" ", F.format_string("%.1f", F.col(m)), F.col(f"{m}_ci")))
+            for m in metrics}  # NULL for an undefined metric, the value alone without an interval
+    return j.select(*keys, *[cell[m].alias(m) for m in metrics], *[F.col(m).alias(f"{m}_value") for m in metrics])
 
 
 # ---------------------------------------------------------------------------

@@ -60,7 +60,7 @@ def coded_inpatient_visits(spark, sf_dir):
 
 
 def _notes_sql(pt):
-    return with_model("visit_occurrence", "condition_occurrence", "orbis_note") + f""",
+    return with_model("visit_occurrence", "condition_occurrence", "clinical_note") + f""",
 sel AS ({inpatient_notes_sql(pt)})
 SELECT note_id, visit_occurrence_id, person_id, note_class_source_value, note_datetime,
        visit_start_datetime, length(note_text) AS n_chars
@@ -79,7 +79,7 @@ register("last_notes_inpatient", sql=_notes_sql("inpatient"))(_notes_job("inpati
 register("last_notes_outpatient", sql=_notes_sql("outpatient"))(_notes_job("outpatient"))
 
 
-@register("note_sample", sql=with_model("visit_occurrence", "condition_occurrence", "orbis_note") + f""",
+@register("note_sample", sql=with_model("visit_occurrence", "condition_occurrence", "clinical_note") + f""",
 sel AS ({inpatient_notes_sql("inpatient")})
 SELECT note_id, visit_occurrence_id, person_id
 FROM sel
@@ -148,14 +148,14 @@ def _history(spark, sf_dir, method):
     return phenotype.with_labels(phenotype.history_phenotypes(vis, allv, vsev, method=method), codes)
 
 
-@register("history_phenotype", sql=with_model("visit_occurrence", "condition_occurrence", "orbis_note")
+@register("history_phenotype", sql=with_model("visit_occurrence", "condition_occurrence", "clinical_note")
           + HISTORY_SQL)
 def history_phenotype(spark, sf_dir):
     """A2 (range self-join semantics) via first-reached severities."""
     return _history(spark, sf_dir, "first_reached")
 
 
-@register("history_phenotype_window", sql=with_model("visit_occurrence", "condition_occurrence", "orbis_note")
+@register("history_phenotype_window", sql=with_model("visit_occurrence", "condition_occurrence", "clinical_note")
           + HISTORY_SQL)
 def history_phenotype_window(spark, sf_dir):
     """A2 via the cumulative RANGE window."""
@@ -167,7 +167,7 @@ def _wide_sql():
                     for c in COMORBS)
     hist = ", ".join(f"coalesce(max(CASE WHEN h.comorb = '{c}' THEN h.status END), '{config.ABSENCE}') "
                      f"AS all_cim10_{c}" for c in COMORBS)
-    return (with_model("visit_occurrence", "condition_occurrence", "orbis_note") + HISTORY_SQL.replace(
+    return (with_model("visit_occurrence", "condition_occurrence", "clinical_note") + HISTORY_SQL.replace(
         "SELECT s.visit_occurrence_id, vp.comorb, max(vp.status) AS status",
         ", hist AS (SELECT s.visit_occurrence_id, vp.comorb, max(vp.status) AS status", 1)
         + f"""),

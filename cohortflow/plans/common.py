@@ -35,7 +35,7 @@ def texts(t: Tables, with_text: bool = True) -> DataFrame:
     """Evaluation corpus (both patient types, one pass).  Without text only
     ids / cohort / type are read (the length filter uses the stored length)."""
     strata = cohort.stratification(t).select("person_id", "cse")
-    n = cohort.select_notes_all(t)
+    n = cohort.select_notes_all(t, with_text=with_text)
     cols = ["note_id", "visit_occurrence_id", "person_id", "patient_type"] + (["note_text"] if with_text else [])
     return n.select(*cols).join(strata, "person_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -31,14 +33,20 @@ class Eval:
         self.spark = spark
         self.t = tables(spark, sf_dir)
         self.texts = common.texts(self.t)
-        # The corpus ids and the entity table feed every method, label table,
-        # denominator and metric of the job: both are computed once and
-        # checkpointed to the cluster's shared checkpoint folder (reliable,
-        # lineage cut) instead of being recomputed by each consumer.  Both
-        # are narrow (no text).
-        checkpoint_dir(spark)
-        self.meta = common.texts(self.t, with_text=False).checkpoint(eager=True)
-        self.rule = common.rule_entities(self.t, self.texts).checkpoint(eager=True)
+
+    # The corpus ids and the entity table feed every method, label table,
+    # denominator and metric of the job: each is computed once, and only if
+    # the job uses it, and checkpointed to the cluster's shared checkpoint
+    # folder (reliable, lineage cut).  Both are narrow (no text).
+    @cached_property
+    def meta(self):
+        checkpoint_dir(self.spark)
+        return common.texts(self.t, with_text=False).checkpoint(eager=True)
+
+    @cached_property
+    def rule(self):
+        checkpoint_dir(self.spark)
+        return common.rule_entities(self.t, self.texts).checkpoint(eager=True)
 
     def ents(self, method):
         return common.method_entities(self.t, method, base=self.rule)
@@ -175,7 +183,7 @@ def zero_safe_metrics(spark, sf_dir):
 # SQL side
 # ---------------------------------------------------------------------------
 
-EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note") + ",\n" \
+EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" \
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts")
 
 

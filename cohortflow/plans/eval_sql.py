@@ -20,8 +20,9 @@ def overall(src: str) -> str:
 
 
 def removed_aggregated(src: str) -> str:
-    return (f"SELECT * REPLACE (CASE WHEN label_name IN {LIST_LABELS} THEN '1' ELSE label_value END AS label_value) "
-            f"FROM {src} WHERE label_name NOT IN {LIST_LABELS} OR regexp_matches(label_value, '\\b(3|average)')")
+    one = f"(SELECT count(DISTINCT label_value) <= 1 FROM {src})"
+    return (f"SELECT * REPLACE (CASE WHEN label_name IN {LIST_LABELS} AND NOT {one} THEN '1' ELSE label_value END AS label_value) "
+            f"FROM {src} WHERE {one} OR label_name NOT IN {LIST_LABELS} OR regexp_matches(label_value, '\\b(3|average)')")
 
 
 def pct(num: str, den: str) -> str:

@@ -4,29 +4,23 @@ and method comparison (A29)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from cohortflow import config
-from cohortflow.operators import cohort, entities, labels, metrics, phenotype, snippets
+from cohortflow.operators import cohort, entities, labels, metrics, phenotype
 from cohortflow.plans import common
 from cohortflow.plans.eval_jobs import G4, Eval
 from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import with_model
 from cohortflow.sources import dims
 
-VALIDATION_CAP = 50000
-
-
-def validation_notes(t, patient_type="inpatient"):
-    """X15 (T3, P4, P5): notes of the test cohort of one class, long enough,
-    seeded sample of at most 50 000."""
+def validation_notes(t, patient_type="inpatient", sample: int | None = None):
+    """X15 (T3, P4, P5): notes of the test cohort of one class, long enough;
+    a seeded sample of them only if ``sample`` says how many."""
     ids = cohort.split(cohort.stratification(t), "test")
     note_class = config.PATIENT_TYPES[patient_type][1]
-    n = (cohort.notes(t, ids).filter(F.col("note_class_source_value") == note_class)
-         .filter(F.col("note_text").isNotNull() & (F.col("note_length") > 500)))
-    return cohort.sample_top(n, VALIDATION_CAP)
+    n = cohort.notes(t, ids).filter((F.col("note_class_source_value") == note_class) & (F.col("note_length") > 500))
+    return n if sample is None else cohort.sample_top(n, sample)
 
 
 @register("validation_entities")
@@ -38,6 +32,10 @@ def validation_entities(spark, sf_dir):
         "note_id", "visit_occurrence_id", "label_name", "label_value", "offset_begin", "offset_end", "to_keep")
 
 
+#: Comorbidities too rare to be annotated, whose claim value is kept.
+CLAIM_KEPT = [c for c in phenotype.COMORBS if c.startswith(("AIDS", "hemi"))]
+
+
 @register("validation_visits")
 def validation_visits(spark, sf_dir):
     """X16 (J6, J7, J8, J9, P22, P23, U2): visits of the annotated notes with
@@ -47,25 +45,23 @@ def validation_visits(spark, sf_dir):
     tx = common.texts(t)
     ents = common.rule_entities(t, tx).filter(F.col("patient_type") == "inpatient") \
         .select("label_name", "note_id", "offset_begin", "offset_end")
-    _, ann = snippets.annotation_set(ents, tx, 100, 50, "inpatient")
-    ids = ann.select(F.col("old_note_id").alias("note_id"),
-                     F.regexp_extract("note_id", "-(inpatient|outpatient)-", 1).alias("patient_type")).distinct()
+    ids = ents.select("note_id", F.lit("inpatient").alias("patient_type")).distinct()
     test_ids = cohort.split(cohort.stratification(t), "test")
     allv = cohort.visits(t, "inpatient", ids=test_ids)
-    notes = cohort.notes(t, test_ids).join(F.broadcast(ids), "note_id")                       # J6
+    notes = cohort.notes(t, test_ids).drop("note_text").join(ids, "note_id")                       # J6
     notes = notes.join(allv.select("person_id", "visit_occurrence_id", "visit_start_datetime"),
                        ["person_id", "visit_occurrence_id"], "left")
     cond = cohort.conditions(t).join(notes.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi")  # J7
     _, sel_visits = cohort.select_notes(t, "inpatient", ids=test_ids,
                                         visits_df=cohort.coded_visits(allv, cond))
     wide = phenotype.claim_phenotypes(sel_visits, allv, cond, dims.icd10_codes(spark), via_regex=True)
-    keep_re = re.compile(r"cim10_(?!(AIDS|hemi))")
-    wide = wide.select(*[F.lit(config.ABSENCE).alias(c) if keep_re.search(c) else F.col(c)
-                         for c in wide.columns])                                              # P23
+    blank = {f"{level}_{c}": F.lit(config.ABSENCE) for level in ("cim10", "all_cim10")
+             for c in phenotype.COMORBS if c not in CLAIM_KEPT}
+    wide = wide.withColumns(blank)                                                            # P23
     missing = (notes.select("visit_occurrence_id", "person_id", "visit_start_datetime")
                .join(wide.select("visit_occurrence_id"), "visit_occurrence_id", "left_anti"))  # J9
-    pcols = [c for c in wide.columns if "cim10_" in c]
-    return wide.unionByName(missing, allowMissingColumns=True).na.fill(config.ABSENCE, pcols)  # U2
+    return wide.unionByName(missing, allowMissingColumns=True).na.fill(
+        config.ABSENCE, [f"{level}_{c}" for level in ("cim10", "all_cim10") for c in phenotype.COMORBS])  # U2
 
 
 @register("gold_entity_lists")
@@ -116,19 +112,17 @@ def compare_methods(spark, sf_dir):
 # SQL twins
 # ---------------------------------------------------------------------------
 
-_VAL = with_model("person", "strata", "orbis_note") + f""",
-vn AS (SELECT n.* FROM orbis_note n
+_VAL = with_model("person", "strata", "clinical_note") + f""",
+vn AS (SELECT n.* FROM clinical_note n
        WHERE n.person_id IN (SELECT person_id FROM strata WHERE stratum >= 3)
-         AND n.note_class_source_value = 'CR:CRH-HOSPI' AND n.note_text IS NOT NULL AND length(n.note_text) > 500
-       ORDER BY ('0x' || substr(md5('{config.SEED}|' || CAST(n.note_id AS VARCHAR)), 1, 15))::BIGINT, n.note_id
-       LIMIT {VALIDATION_CAP}),
+         AND n.note_class_source_value = 'CR:CRH-HOSPI' AND n.note_text IS NOT NULL AND length(n.note_text) > 500),
 """ + common.ner_sql("vn", extra=("visit_occurrence_id",))
 
 ORACLES["validation_entities"] = _VAL + """
 SELECT note_id, visit_occurrence_id, label_name, label_value, offset_begin, offset_end, to_keep FROM rb"""
 
 ORACLES["gold_entity_lists"] = with_model("person", "strata", "visit_occurrence", "condition_occurrence",
-                                          "orbis_note") + ",\n" + common.TEXTS_SQL + ",\n" + common.ner_sql("texts") \
+                                          "clinical_note") + ",\n" + common.TEXTS_SQL + ",\n" + common.ner_sql("texts") \
     + f""",
 gold AS ({common.method_sql("gold")})
 SELECT note_id,
@@ -148,10 +142,10 @@ def _regex_sql():
             + length(pc) AS INTEGER) AS offset_begin, mt AS lexical_variant
   FROM (SELECT note_id, unnest(pcs) AS pc, unnest(mts) AS mt, generate_subscripts(pcs, 1) AS i
         FROM (SELECT note_id, string_split_regex(note_text, '{pat}') AS pcs,
-                     regexp_extract_all(note_text, '{pat}') AS mts FROM orbis_note))
+                     regexp_extract_all(note_text, '{pat}') AS mts FROM clinical_note))
   WINDOW w AS (PARTITION BY note_id ORDER BY i)""")
     body = "\nUNION ALL\n".join(f"SELECT * FROM ({p}) WHERE lexical_variant IS NOT NULL" for p in parts)
-    return with_model("orbis_note") + f""",
+    return with_model("clinical_note") + f""",
 rm AS ({body})
 SELECT note_id, label, offset_begin, CAST(offset_begin + length(lexical_variant) AS INTEGER) AS offset_end,
        lexical_variant FROM rm"""
@@ -225,7 +219,7 @@ def gold_clean(spark, sf_dir):
         "note_id", "cse", "patient_type", "label_name", "label_value", "offset_begin", "offset_end", "to_keep")
 
 
-_G_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note") + ",\n" \
+_G_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" \
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts") + f""",
 gold AS ({common.method_sql("gold")})"""
 

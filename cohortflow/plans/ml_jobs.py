@@ -119,7 +119,7 @@ def cross_cohort_matrix(spark, sf_dir):
 # SQL twins
 # ---------------------------------------------------------------------------
 
-EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note") + ",\n" \
+EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" \
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts")
 
 _SENT = r"""sent AS (
@@ -175,7 +175,7 @@ for _ch in ("X", "x", "d"):
     _SHAPE = f"regexp_replace({_SHAPE}, '{_ch}{{5,}}', '{_ch * 4}', 'g')"
 
 ORACLES["token_attributes"] = with_model("person", "strata", "visit_occurrence", "condition_occurrence",
-                                         "orbis_note") + ",\n" + common.TEXTS_SQL + f""",
+                                         "clinical_note") + ",\n" + common.TEXTS_SQL + f""",
 pc AS (SELECT note_id, note_text, regexp_extract_all(note_text, '\\s+|\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]') AS l
        FROM texts),
 pj AS (SELECT note_id, note_text,

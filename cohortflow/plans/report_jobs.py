@@ -122,7 +122,7 @@ SELECT cse, count(*) AS n,
        100.0 * avg(CAST(family AS DOUBLE)) AS pct_family, 100.0 * avg(CAST(NOT to_keep AS DOUBLE)) AS pct_discarded
 FROM rb GROUP BY cse"""
 
-ALL_NER = with_model("orbis_note") + ",\n" + common.ner_sql("orbis_note", extra=("visit_occurrence_id",))
+ALL_NER = with_model("clinical_note") + ",\n" + common.ner_sql("clinical_note", extra=("visit_occurrence_id",))
 
 ORACLES["entity_counts"] = ALL_NER + f""",
 cfg AS ({MODEL["comorb_cfg"]}),
@@ -131,7 +131,7 @@ SELECT cfg.label_name, coalesce(c.n, 0) AS n_entities FROM cfg LEFT JOIN c USING
 
 ORACLES["entities_per_doc"] = ALL_NER + """,
 c AS (SELECT note_id, count(*) AS n FROM ner GROUP BY ALL),
-d AS (SELECT o.note_id, coalesce(c.n, 0) AS N FROM orbis_note o LEFT JOIN c USING (note_id))
+d AS (SELECT o.note_id, coalesce(c.n, 0) AS N FROM clinical_note o LEFT JOIN c USING (note_id))
 SELECT note_id, N, row_number() OVER (ORDER BY N, note_id) AS "index" FROM d"""
 
 _CSES = config.CSE_PROJECTS + ["Overall"]
@@ -169,7 +169,7 @@ la AS (SELECT 'Descriptive data' AS metric_type, metric, cse, patient_type, valu
 pl AS (SELECT cse, patient_type, label_name, CAST(count_if(N_normal > 0) AS DOUBLE) AS n_docs_normal,
               CAST(sum(N_normal) AS DOUBLE) / CAST(NULLIF(count_if(N_normal > 0), 0) AS DOUBLE) AS mean_entity_per_doc
        FROM pd GROUP BY ALL),
-lb AS (SELECT 'eCCI condition' AS metric_type, label_name || ' / ' || stat AS metric, cse, patient_type, value
+lb AS (SELECT 'condition' AS metric_type, label_name || ' / ' || stat AS metric, cse, patient_type, value
        FROM pl UNPIVOT INCLUDE NULLS (value FOR stat IN (n_docs_normal, mean_entity_per_doc))),
 lg AS (SELECT * FROM la UNION ALL SELECT * FROM lb)
 SELECT metric_type, metric, """ + ", ".join(

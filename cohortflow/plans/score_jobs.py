@@ -33,7 +33,7 @@ def mentioned_visits(spark, sf_dir):
                                    "visit_occurrence_id").distinct()
     out = (wide.join(care, "visit_occurrence_id", "left")
            .join(sel_notes.select("person_id", "visit_occurrence_id", "note_id", "note_text")
-                 .join(kept.select("visit_occurrence_id", F.col("score_value").alias("mentionned_charlson")),
+                 .join(kept.select("visit_occurrence_id", F.col("score_value").alias("reported_score")),
                        "visit_occurrence_id"),
                  ["person_id", "visit_occurrence_id"]))
     return out
@@ -43,7 +43,7 @@ def mentioned_visits(spark, sf_dir):
 def mentioned_scores(spark, sf_dir):
     return mentioned_visits(spark, sf_dir).select(
         "person_id", "visit_occurrence_id", "visit_start_datetime", "note_id", "care_site_id",
-        "mentionned_charlson", *PHENO_COLS)
+        "reported_score", *PHENO_COLS)
 
 
 def _score_inputs(spark, sf_dir):
@@ -72,7 +72,7 @@ def charlson_scores(spark, sf_dir):
 
 def _deltas(spark, sf_dir):
     sc, mv = _score_inputs(spark, sf_dir)
-    return scores.score_deltas(sc, mv.select("cse", "note_id", "mentionned_charlson"))
+    return scores.score_deltas(sc, mv.select("cse", "note_id", "reported_score"))
 
 
 @register("charlson_deltas")
@@ -113,28 +113,28 @@ hw AS (SELECT s.visit_occurrence_id, {hist} FROM {sel} s LEFT JOIN hist h USING
 wide AS (SELECT * FROM ow JOIN hw USING (visit_occurrence_id))"""
 
 
-MV_SQL = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note", "care_site") + f""",
+MV_SQL = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note", "care_site") + f""",
 allv AS (SELECT * FROM visit_occurrence WHERE visit_source_value = 'Hosp'),
 mn AS (SELECT note_id, visit_occurrence_id,
               regexp_extract(lower(note_text), '{config.SCORE_KEYWORD}[^0-9]{{0,{config.SCORE_WINDOW}}}([0-9]+)', 1) AS v
-       FROM orbis_note WHERE visit_occurrence_id IN (SELECT visit_occurrence_id FROM allv)
+       FROM clinical_note WHERE visit_occurrence_id IN (SELECT visit_occurrence_id FROM allv)
          AND regexp_matches(lower(note_text), '{config.SCORE_KEYWORD}')),
-ks AS (SELECT visit_occurrence_id, max(CAST(v AS BIGINT)) AS score_value FROM mn WHERE v <> '' GROUP BY ALL),
+ks AS (SELECT visit_occurrence_id, max(TRY_CAST(v AS BIGINT)) AS score_value FROM mn WHERE TRY_CAST(v AS BIGINT) IS NOT NULL GROUP BY ALL),
 kv AS (SELECT a.*, ks.score_value FROM allv a JOIN ks USING (visit_occurrence_id)),
 sel AS ({inpatient_notes_sql("inpatient", "kv")}),
 selv AS (SELECT s.*, kv.score_value FROM sel s JOIN kv USING (person_id, visit_occurrence_id))""" \
     + pheno_wide_sql("selv", "kv") + """,
 care AS (SELECT DISTINCT substr(location_cd, 5, 3) AS care_site_id, visit_occurrence_id FROM care_site),
 mv AS (SELECT s.person_id, s.visit_occurrence_id, s.visit_start_datetime, s.note_id, s.note_text, c.care_site_id,
-              s.score_value AS mentionned_charlson, w.* EXCLUDE (visit_occurrence_id)
+              s.score_value AS reported_score, w.* EXCLUDE (visit_occurrence_id)
        FROM selv s JOIN wide w USING (visit_occurrence_id) LEFT JOIN care c USING (visit_occurrence_id))"""
 
 ORACLES["mentioned_scores"] = MV_SQL + f"""
-SELECT person_id, visit_occurrence_id, visit_start_datetime, note_id, care_site_id, mentionned_charlson,
+SELECT person_id, visit_occurrence_id, visit_start_datetime, note_id, care_site_id, reported_score,
        {", ".join(PHENO_COLS)} FROM mv"""
 
-WEIGHTS_SQL = values(dims.charlson_weight_rows("quan"), ["label_name", "label_name_updated", "label_value",
-                                                         "ecci_weight"])
+WEIGHTS_SQL = values(dims.charlson_weight_rows("quan"), ["label_name", "family", "label_value",
+                                                         "weight"])
 
 SCORES_SQL = MV_SQL + """,
 c5t AS (SELECT m.note_id, m.visit_occurrence_id, st.cse, m.note_text FROM mv m JOIN strata st USING (person_id)),
@@ -150,32 +150,32 @@ ic1 AS ({es.overall("ic0")}),
 ic AS (SELECT cse, note_id, 'icd10' AS source, label_name, label_value FROM ic1),
 lab AS (SELECT * FROM ml UNION ALL SELECT * FROM ic),
 w AS {WEIGHTS_SQL},
-fam AS (SELECT l.cse, l.note_id, l.source, coalesce(w.label_name_updated, l.label_name) AS family,
-               max(w.ecci_weight) AS w FROM lab l LEFT JOIN w USING (label_name, label_value) GROUP BY ALL),
-sc AS (SELECT cse, note_id, source, CAST(sum(w) AS BIGINT) AS ecci FROM fam GROUP BY ALL),
-men0 AS (SELECT c.cse, c.note_id, 'mentionned' AS source, m.mentionned_charlson AS ecci
+fam AS (SELECT l.cse, l.note_id, l.source, coalesce(w.family, l.label_name) AS family,
+               max(w.weight) AS w FROM lab l LEFT JOIN w USING (label_name, label_value) GROUP BY ALL),
+sc AS (SELECT cse, note_id, source, CAST(sum(w) AS BIGINT) AS score FROM fam GROUP BY ALL),
+men0 AS (SELECT c.cse, c.note_id, 'reported' AS source, m.reported_score AS score
          FROM mv m JOIN c5t c USING (note_id)),
 men AS ({es.overall("men0")}),
 u AS (SELECT * FROM sc UNION ALL SELECT * FROM men),
 wide2 AS (SELECT cse, note_id,
-                 coalesce(first(ecci) FILTER (WHERE source = 'icd10'), 0) AS icd10,
-                 coalesce(first(ecci) FILTER (WHERE source = 'ml'), 0) AS ml,
-                 coalesce(first(ecci) FILTER (WHERE source = 'mentionned'), 0) AS mentionned
+                 coalesce(first(score) FILTER (WHERE source = 'icd10'), 0) AS icd10,
+                 coalesce(first(score) FILTER (WHERE source = 'ml'), 0) AS ml,
+                 coalesce(first(score) FILTER (WHERE source = 'reported'), 0) AS reported
           FROM u GROUP BY ALL),
-deltas AS (SELECT *, -(icd10 - ml) AS claim_vs_nlp, -(mentionned - ml) AS mentionned_vs_nlp FROM wide2)"""
+deltas AS (SELECT *, -(icd10 - ml) AS claim_vs_nlp, -(reported - ml) AS reported_vs_nlp FROM wide2)"""
 
-ORACLES["charlson_scores"] = SCORES_SQL + "\nSELECT cse, note_id, source, ecci FROM sc"
+ORACLES["charlson_scores"] = SCORES_SQL + "\nSELECT cse, note_id, source, score FROM sc"
 ORACLES["charlson_deltas"] = SCORES_SQL + "\nSELECT * FROM deltas"
 ORACLES["charlson_delta_stats"] = SCORES_SQL + """
 SELECT cse, count(*) AS n,
   avg(claim_vs_nlp) AS claim_vs_nlp_mean, stddev_samp(claim_vs_nlp) AS claim_vs_nlp_std,
   quantile_cont(claim_vs_nlp, 0.25) AS claim_vs_nlp_q1, quantile_cont(claim_vs_nlp, 0.5) AS claim_vs_nlp_median,
   quantile_cont(claim_vs_nlp, 0.75) AS claim_vs_nlp_q3,
-  avg(mentionned_vs_nlp) AS mentionned_vs_nlp_mean, stddev_samp(mentionned_vs_nlp) AS mentionned_vs_nlp_std,
-  quantile_cont(mentionned_vs_nlp, 0.25) AS mentionned_vs_nlp_q1,
-  quantile_cont(mentionned_vs_nlp, 0.5) AS mentionned_vs_nlp_median,
-  quantile_cont(mentionned_vs_nlp, 0.75) AS mentionned_vs_nlp_q3,
-  avg(mentionned) AS mentionned_mean, quantile_cont(mentionned, 0.5) AS mentionned_median
+  avg(reported_vs_nlp) AS reported_vs_nlp_mean, stddev_samp(reported_vs_nlp) AS reported_vs_nlp_std,
+  quantile_cont(reported_vs_nlp, 0.25) AS reported_vs_nlp_q1,
+  quantile_cont(reported_vs_nlp, 0.5) AS reported_vs_nlp_median,
+  quantile_cont(reported_vs_nlp, 0.75) AS reported_vs_nlp_q3,
+  avg(reported) AS reported_mean, quantile_cont(reported, 0.5) AS reported_median
 FROM deltas GROUP BY cse"""
 ORACLES["charlson_delta_histogram"] = SCORES_SQL + """,
 hc AS (SELECT cse, claim_vs_nlp AS delta, count(*) AS n FROM deltas GROUP BY ALL),

@@ -13,7 +13,7 @@ from cohortflow.plans.sqlmodel import lit, with_model
 SNIPPET_LENGTH = 100
 MAX_NOTES = 50
 
-EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note") + ",\n" \
+EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" \
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts")
 
 

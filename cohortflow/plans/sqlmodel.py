@@ -45,11 +45,11 @@ MODEL = {
     "condition_occurrence": """SELECT l_orderkey AS visit_occurrence_id,
         CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS condition_occurrence_id,
         CASE WHEN l_returnflag = 'R' THEN 'DP' ELSE 'DAS' END AS condition_status_source_value,
-        substr(chr(CAST(65 + l_partkey % 20 AS INTEGER))
-               || lpad(CAST((((l_partkey // 20) + l_suppkey) % 50) + 1 AS VARCHAR), 2, '0'), 1, 20)
+        (chr(CAST(65 + l_partkey % 20 AS INTEGER))
+               || lpad(CAST((((l_partkey // 20) + l_suppkey) % 50) + 1 AS VARCHAR), 2, '0'))
           AS condition_source_value
       FROM lineitem""",
-    "orbis_note": """SELECT CASE WHEN doc_id % 3 = 2 THEN 'CR:CR-CONS' ELSE 'CR:CRH-HOSPI' END AS note_class_source_value,
+    "clinical_note": """SELECT CASE WHEN doc_id % 3 = 2 THEN 'CR:CR-CONS' ELSE 'CR:CRH-HOSPI' END AS note_class_source_value,
         o_orderkey AS visit_occurrence_id, o_custkey AS person_id, doc_id AS note_id, text AS note_text,
         o_orderdate + to_hours(CAST(doc_id % 3 AS INTEGER)) AS note_datetime
       FROM documents JOIN orders ON doc_id // 2 = o_orderkey""",
@@ -82,7 +82,7 @@ def inpatient_notes_sql(patient_type: str = "inpatient", visits: str = "visit_oc
         SELECT n.*, v.visit_start_datetime,
                row_number() OVER (PARTITION BY n.visit_occurrence_id
                                   ORDER BY n.note_datetime DESC, n.note_id DESC) AS rn
-        FROM orbis_note n
+        FROM clinical_note n
         JOIN (SELECT * FROM {visits} WHERE visit_source_value = {lit(vt)} {coded}) v
           ON n.person_id = v.person_id AND n.visit_occurrence_id = v.visit_occurrence_id
         WHERE n.note_class_source_value = {lit(nc)} AND n.note_text IS NOT NULL AND length(n.note_text) > 500

@@ -10,14 +10,14 @@ from cohortflow.plans import common
 from cohortflow.plans.registry import register, tables
 from cohortflow.plans.sqlmodel import with_model
 
-EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note") + ",\n" \
+EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" \
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts")
 
 NER_OUT = ["note_id", "visit_occurrence_id", "label_name", "label_value", "status", "offset_begin",
            "offset_end", "lexical_variant", "negation", "hypothesis", "family"]
 
 
-@register("entities_all_notes", sql=with_model("orbis_note") + ",\n" + common.ner_sql("orbis_note", extra=("visit_occurrence_id",))
+@register("entities_all_notes", sql=with_model("clinical_note") + ",\n" + common.ner_sql("clinical_note", extra=("visit_occurrence_id",))
           + f"\nSELECT {', '.join(NER_OUT)} FROM ner")
 def entities_all_notes(spark, sf_dir):
     """X1-X3 over every note of the warehouse (whole texts)."""
@@ -51,7 +51,7 @@ FROM (SELECT note_id, unnest(l) AS s, generate_subscripts(l, 1) AS i
 WINDOW w AS (PARTITION BY note_id ORDER BY i)"""
 
 
-@register("sentences", sql=with_model("person", "strata", "visit_occurrence", "condition_occurrence", "orbis_note")
+@register("sentences", sql=with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note")
           + ",\n" + common.TEXTS_SQL + SENT_SQL)
 def sentences(spark, sf_dir):
     """X11: sentence table of the evaluation corpus (pieces tile each text)."""

@@ -6,7 +6,6 @@ helpers are for tests, the bench and command-line use.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,13 +38,14 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a private scratch folder is
-    created and registered; on a cluster the configured shared folder is used
-    as is, never a machine-local one.
+    Where it is absent, a cluster gets an error; only a session whose master
+    is ``local[...]`` (tests, bench) gets a scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="cohortflow-ckpt-", dir=os.environ.get("COHORTFLOW_SCRATCH", "/tmp"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="cohortflow-ckpt-")  # one machine: its folder is shared
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

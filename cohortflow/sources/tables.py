@@ -1,7 +1,7 @@
 """Scans of the driver's tables, bound to the clinical data model.
 
 The driver ships TPC-H-ish tables.  They are projected onto the study's model
-(person, visit_occurrence, condition_occurrence, orbis_note, care_site) with
+(person, visit_occurrence, condition_occurrence, clinical_note, care_site) with
 deterministic column expressions only -- every rule here has a one-line SQL
 twin in ``cohortflow.plans.oracles`` so the DuckDB oracle sees the same model.
 
@@ -88,7 +88,12 @@ def condition_occurrence_raw(t: Tables) -> DataFrame:
     )
 
 
-def orbis_note(t: Tables) -> DataFrame:
+def note_texts(t: Tables) -> DataFrame:
+    """note_id, note_text."""
+    return t.raw("documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("note_text"))
+
+
+def clinical_note(t: Tables) -> DataFrame:
     """documents ⋈ orders -> notes.
 
     Two documents per visit (visit = doc_id DIV 2); the note class is the

@@ -145,10 +145,10 @@ def test_g14_g15_charlson(spark):
     lab = spark.createDataFrame([("c", 1, "ml", "Cancer", "2"), ("c", 1, "ml", "Leucemie", "1"),
                                  ("c", 1, "ml", "Diabète", "1"), ("c", 1, "ml", "Démence", "1")],
                                 "cse string, note_id long, source string, label_name string, label_value string")
-    assert scores.charlson_scores(lab, spark).first()["ecci"] == 8
+    assert scores.charlson_scores(lab, spark).first()["score"] == 8
     from cohortflow.sources import dims
     w = dims.charlson_weights(spark, "quan").filter("label_name = 'Diabète'")
-    assert rows(w, "label_value", "ecci_weight") == [("1", 0), ("2", 1)]
+    assert rows(w, "label_value", "weight") == [("1", 0), ("2", 1)]
 
 
 def test_g16_ci_quantiles(spark):
@@ -189,5 +189,5 @@ def test_g21_sentence_neighbourhood(spark):
 
 
 def test_g22_param_grid():
-    got = ml.build_params([{"a": [1, 2], "b": ["x", "y"]}, {"c": [7, 8, 9]}])
+    got = ml.crossed_settings([{"a": [1, 2], "b": ["x", "y"]}, {"c": [7, 8, 9]}])
     assert len(got) == 6 and {"a": 1, "b": "x", "c": 7} in got and {"a": 2, "b": "y", "c": 9} in got
