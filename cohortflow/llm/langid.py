@@ -40,7 +40,7 @@ MOST_LANGUAGES = 256
 LONGEST = 32
 FLOOR = 1e-7
 MARK = "▁"
-CACHE = 600_000
+CACHE = 300_000
 RUN = re.compile(r"[^\W\d_]+")
 
 

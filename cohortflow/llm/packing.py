@@ -30,7 +30,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP = 8192
 #: Most texts between blanks whose ids a worker remembers, and the longest.
-CACHE, CACHED_CHARS = 500_000, 48
+CACHE, CACHED_CHARS = 250_000, 48
 #: Marks by which a worker tells what it has met before (collisions only fill the memory sooner).
 SEEN = 1 << 22
 #: Lower-case Latin letters, which the tokenizer's normaliser leaves alone,

@@ -32,7 +32,7 @@ from cohortflow.llm.common import query, table, texts_of, tokenizer_path
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Most words whose count a worker remembers, and the longest.
-CACHE, CACHED_CHARS = 1_000_000, 48
+CACHE, CACHED_CHARS = 300_000, 48
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -93,9 +93,8 @@ class Counter:
             if n is None:
                 n = self.word(w)
                 if len(w) <= CACHED_CHARS:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[w] = n
+                    if len(known) < CACHE:
+                        known[w] = n
             total += n
         return total
 
