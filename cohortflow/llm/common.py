@@ -55,6 +55,18 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids[key], "left_anti")
 
 
+#: Stands for a null doc_id inside tasks, where a column of numbers with nulls would lose its integers.
+NO_ID = 2**63 - 1
+
+
+def id_in() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def id_out() -> Column:
+    return F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+
+
 def in_train(doc_id: str = "doc_id") -> Column:
     """Rows whose label may be learnt: crc32(doc_id as text) mod 4 is not 2 (a null id may)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(True))

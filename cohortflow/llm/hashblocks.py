@@ -17,7 +17,6 @@ from cohortflow.llm.textops import utf8
 
 #: Text bytes of a block, and text bytes whose hashes one bucket gets.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
-NO_ID = np.iinfo(np.int64).max
 PACKED = "ids binary, sizes binary, packed binary, bytes long"
 SENT = "bucket long, block long, hashes binary"
 ANSWERED = "block long, bucket long, bits binary"
@@ -25,7 +24,7 @@ _U = np.uint64
 
 
 def pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of about BLOCK_BYTES of (doc_id, text), compressed; a null doc_id is NO_ID."""
+    """Rows of about BLOCK_BYTES of (doc_id, text), compressed; doc_id is not null."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -37,7 +36,7 @@ def pack_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"ids": [np.array(ids, "<i8").tobytes()], "sizes": [np.array([len(r) for r in raws], "<i8").tobytes()], "packed": [squeeze(b"".join(raws))], "bytes": [size]})
 
     for b in batches:
-        for i, raw in zip(b["doc_id"].fillna(NO_ID).astype("int64").tolist(), utf8(b["text"])):
+        for i, raw in zip(b["doc_id"].tolist(), utf8(b["text"])):
             ids.append(i)
             raws.append(raw)
             size += len(raw)

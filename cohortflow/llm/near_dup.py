@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import drop_staged, query, sized, staged, table, without
+from cohortflow.llm.common import drop_staged, id_in, id_out, query, sized, staged, table, without
 from cohortflow.llm.components import components
 from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, slices, utf8, word_hashes
 
@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> Da
     """One row per document: doc_id, n_shingles, component_id, kept."""
     # rows that repeat a doc_id: the longest set speaks for it
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = staged(docs.mapInPandas(describe(k), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "nd-sets")
+    sets = docs.select(id_in(), "text").mapInPandas(describe(k), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    sets = staged(sets.withColumn("doc_id", id_out()), "nd-sets")
     again = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null")
     if not again.isEmpty():
         return _with_repeats(docs, k, percent)

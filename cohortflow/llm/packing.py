@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import query, single_thread, staged, table, texts_of, tokenizer_path
+from cohortflow.llm.common import id_in, id_out, query, single_thread, staged, table, texts_of, tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
@@ -126,14 +126,13 @@ def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pd.Dat
         _encoders[path] = enc
         for b in batches:
             rows = []
-            ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None)
-            for doc, raw in zip(ids, enc.encode(texts_of(b["text"]))):
+            for doc, raw in zip(b["doc_id"].tolist(), enc.encode(texts_of(b["text"]))):
                 raw += end
                 n = len(raw) // 4
                 for s in range(0, n, length):
                     e = min(n, s + length)
                     rows.append((doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n))
-            yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype="Int64") for i, k in enumerate(("doc_id", "start", "length", "ids_crc32", "doc_tokens"))})
+            yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype="int64") for i, k in enumerate(("doc_id", "start", "length", "ids_crc32", "doc_tokens"))})
 
     return cut
 
@@ -168,7 +167,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path("word_bpe_49k.json")
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(piece_rows(path, length, end_id), columns), "pieces")
+    pieces = staged(docs.select(id_in(), "text").mapInPandas(piece_rows(path, length, end_id), columns), "pieces")
     groups = max(1, -(-pieces.count() // group))
 
     def fill(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +179,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         return out
 
     dealt = pieces.withColumn("piece_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("piece_group").applyInPandas(fill, columns + ", sequence_id long, offset long")
+    return dealt.groupBy("piece_group").applyInPandas(fill, columns + ", sequence_id long, offset long").withColumn("doc_id", id_out())
 
 
 @query()

@@ -42,8 +42,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import drop_staged, query, staged, table
-from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, NO_ID, PACKED, SENT, answer, pack_blocks, send, shared, unpack_block
+from cohortflow.llm.common import NO_ID, drop_staged, id_in, id_out, query, staged, table
+from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, PACKED, SENT, answer, pack_blocks, send, shared, unpack_block
 from cohortflow.llm.textops import anchors, mix
 
 LENGTH, Q = 50, 16
@@ -333,7 +333,7 @@ def cut_texts(length: int, q: int) -> Callable:
 
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(id_in(), "text")
     blocks = staged(texts.mapInPandas(pack_blocks, PACKED).withColumn("block", F.monotonically_increasing_id()), "sd-blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
@@ -342,7 +342,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     entries = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_contexts(length, q, buckets), "bucket long, block long, n long, packed binary")
     judged = staged(entries.groupBy("bucket").applyInPandas(judge(length, q), "block long, answers binary"), "sd-judged")
     out = blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(cut_texts(length, q), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    out = staged(out.withColumn("doc_id", F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id"))), "sd-result")
+    out = staged(out.withColumn("doc_id", id_out()), "sd-result")
     drop_staged(blocks, answers, judged)
     return out
 
