@@ -30,7 +30,7 @@ _STORE = "spark.sql.streaming.stateStore."
 STATE_CONF = {
     _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     _STORE + "rocksdb.boundedMemoryUsage": "true",
-    _STORE + "rocksdb.maxMemoryUsageMB": "256",
+    _STORE + "rocksdb.maxMemoryUsageMB": "64",
     # many small stores: no space is set aside for the logs of each
     _STORE + "rocksdb.allowFAllocate": "false",
 }

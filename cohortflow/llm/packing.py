@@ -47,11 +47,10 @@ class Encoder:
 
     def __init__(self, path: str):
         single_thread()
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)  # one model, shared
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.plain.get_vocab_size(), bool)
         self.ends[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
