@@ -118,9 +118,9 @@ class Benchmark:
     def search(self, raws: list[bytes]) -> Iterator[tuple[int, list[int], list]]:
         """Per text: number of words, starts and ends (in words) of maximal hit runs, items."""
         at = 0
-        while at < len(raws):  # groups of about 4 MB
+        while at < len(raws):  # groups of about 1 MB
             end, size = at, 0
-            while end < len(raws) and (size < 4_000_000 or end == at):
+            while end < len(raws) and (size < 1_000_000 or end == at):
                 size += len(raws[end])
                 end += 1
             yield from self._group(raws[at:end])
