@@ -44,12 +44,12 @@ def add_aggregated_label(df: DataFrame) -> DataFrame:
 def remove_aggregated_label(df: DataFrame) -> DataFrame:
     """List-type labels keep only their aggregated (``3`` / average)
     rows, relabelled ``"1"``; a table that holds a single label value stays as
-    it is (its one-row range of values is joined to every row)."""
+    it is (decided by a scalar subquery)."""
     is_list = F.col("label_name").isin(dims.list_type_labels())
-    span = df.agg(F.lit(1).alias("_k"), F.coalesce(F.min("label_value") == F.max("label_value"), F.lit(True)).alias("_single"))
-    keep = F.col("_single") | ~is_list | F.col("label_value").rlike(r"\b(3|average)")
-    value = F.when(is_list & ~F.col("_single"), F.lit("1")).otherwise(F.col("label_value"))
-    out = df.withColumn("_k", F.lit(1)).join(F.broadcast(span), "_k").filter(keep)
+    single = df.agg(F.coalesce(F.min("label_value") == F.max("label_value"), F.lit(True))).scalar()
+    keep = single | ~is_list | F.col("label_value").rlike(r"\b(3|average)")
+    value = F.when(is_list & ~single, F.lit("1")).otherwise(F.col("label_value"))
+    out = df.filter(keep)
     return out.select(*[value.alias(c) if c == "label_value" else F.col(c) for c in df.columns])
 
 
