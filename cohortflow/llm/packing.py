@@ -15,123 +15,179 @@ doc_id and text are not read.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import id_in, id_out, query, single_thread, staged, table, texts_of, tokenizer_path
+from cohortflow.llm.common import id_in, id_out, query, single_thread, staged, table, tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
 GROUP = 8192
-#: Most texts between blanks whose ids a worker remembers, and the longest.
-CACHE, CACHED_CHARS = 250_000, 48
-#: Marks by which a worker tells what it has met before (collisions only fill the memory sooner).
-SEEN = 1 << 22
-#: Lower-case Latin letters, which the tokenizer's normaliser leaves alone,
-#: between ASCII marks; an apostrophe before letters may belong to them.
-WORD_IN_MARKS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: Bytes of text that a task encodes at a time (a longer text goes by itself).
+SLICE = 1 << 22
+#: Longest part between blanks, in bytes, that is taken apart by WORD_IN_MARKS.
+PART_BYTES = 96
+#: Most mark sequences whose ids a worker remembers.
+MARKS = 10_000
+#: Latin letters (without U+0130, whose lower case is two characters) between
+#: ASCII marks; an apostrophe before letters may belong to them.
+WORD_IN_MARKS = r"^(?P<before>[!-&(-/:-@\[-`{-~]*)(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<after>[!-/:-@\[-`{-~]*)$"
+#: Stands for the end of a word; no Latin word holds it.
+STOP = b"\x01"
+
+
+def word_ranks(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
+    """Byte ranks that merge as the vocabulary does, and the id of each rank.
+
+    The vocabulary writes bytes as printable characters and the end of a word
+    as a suffix of its last byte.  Here the end is a byte of its own that joins
+    the byte before it first of all; then come the merges in their order, which
+    is that of the ids.  Joining whatever two neighbours spell a token equals
+    joining by the merge list as long as each token, encoded by itself, gives
+    itself: neighbours x and y that stand when all merges before that of the
+    token xy are done are what those merges make of xy, hence its own pair.
+    """
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte_of = {chr(b): b for b in printable}
+    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+    special = {"<|startoftext|>", "<|endoftext|>"}
+    spelt = {}
+    for token, i in model["vocab"].items():
+        if token not in special:
+            ended = token.endswith("</w>") and len(token) > 4
+            spelt[bytes(byte_of[c] for c in (token[:-4] if ended else token)) + (STOP if ended else b"")] = i
+    order = sorted(spelt, key=lambda t: (len(t) != 2 or t[1:] != STOP, len(t) == 1, spelt[t]))
+    return {t: k for k, t in enumerate(order)}, np.array([spelt[t] for t in order], dtype="<u4")
+
+
+def take_runs(values: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of values, one after the other."""
+    n = length[which]
+    ends = np.cumsum(n)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    at += np.repeat(start[which] - (ends - n), n)
+    return values[at]
+
+
+def edges(length: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(length)))
 
 
 class Encoder:
-    """ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """ids of whole texts, as little-endian unsigned 32-bit arrays.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its parts between blanks; frequent parts are remembered.
+    are those of its parts between blanks.  Per slice of texts, each distinct
+    part is encoded once, and the ids are gathered by arrays.  Case, and marks
+    before or after letters, do not change the ids of the letters; Latin words
+    are encoded by the vocabulary's ranks, all other parts by the tokenizer.
     """
 
     def __init__(self, path: str):
         single_thread()
-        from tokenizers import Tokenizer, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer(self.tokenizer.model)  # one model, shared
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.plain.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.seen = bytearray(SEEN)
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """ids of Latin words in lower case: these need no normalising, and the
-        last id of each ends a word, so a text of many words falls apart again."""
-        out = []
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            raw, left = ids.tobytes(), 0
-            for cut in (4 * np.flatnonzero(self.ends[ids]) + 4).tolist():
-                out.append(raw[left:cut])
-                left = cut
-        return out
-
-    def _missing(self, parts: list[str]) -> dict[str, bytes]:
-        """ids of parts that are not remembered.  Case, and marks before or
-        after letters, do not change the ids of the letters."""
-        known = self.known
-        plain: dict[str, list[tuple[str, str, str]]] = {}
-        out = {}
-        for p in parts:
-            m = WORD_IN_MARKS(p.lower()) if len(p) <= CACHED_CHARS and "<|" not in p else None
-            if m is None:
-                out[p] = self._one(p)
-                continue
-            before, word, after = m.groups()
-            for mark in (before, after):
-                if mark not in known:
-                    known[mark] = self._one(mark)
-            if word in known:
-                out[p] = known[before] + known[word] + known[after]
+        with open(path, encoding="utf-8") as f:
+            ranks, self.id_of = word_ranks(json.load(f)["model"])
+        stop = STOP.decode()
+        self.words = tiktoken.Encoding("words", pat_str=f"[^{stop}]+{stop}", mergeable_ranks=ranks, special_tokens={})
+        self.ends_word = np.array([t.endswith(STOP) for t in ranks], bool)
+        self.marks: dict[str, np.ndarray] = {}
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _mark(self, text: str) -> np.ndarray:
+        ids = self.marks.get(text)
+        if ids is None:
+            ids = self._one(text)
+            if len(self.marks) < MARKS:
+                self.marks[text] = ids
+        return ids
+
+    def latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of lower-case Latin words, one after the other, and how many each has."""
+        stop = STOP.decode()
+        ranks = np.array(self.words.encode_ordinary(stop.join([*words, ""])), dtype=np.int64)
+        return self.id_of[ranks], np.diff(np.flatnonzero(self.ends_word[ranks]), prepend=-1)
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct parts, one after the other, and how many each has."""
+        short = pc.and_(pc.less_equal(pc.binary_length(parts), PART_BYTES), pc.invert(pc.match_substring(parts, "<|")))
+        split = pc.extract_regex(pc.if_else(short, parts, ""), WORD_IN_MARKS)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        split = split.drop_null()
+        pool, at = [], 0
+        runs = np.zeros((len(parts), 3), dtype=np.int64)  # before, word, after
+        for k, field in enumerate(("before", "word", "after")):
+            column = pc.struct_field(split, field)
+            coded = (pc.utf8_lower(column) if field == "word" else column).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if field == "word":
+                ids, n = self.latin(distinct) if distinct else (np.empty(0, "<u4"), np.empty(0, np.int64))
+                pool.append(ids)
             else:
-                plain.setdefault(word, []).append((p, before, after))
-        for word, raw in zip(plain, self._words(list(plain))):
-            for p, before, after in plain[word]:
-                out[p] = known[before] + raw + known[after]
-            out[word] = raw
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        known, seen = self.known, self.seen
-        for at in range(0, len(texts), 512):
-            split = [x.replace("\n", " ").split(" ") for x in texts[at : at + 512]]
-            new = self._missing([p for p in set().union(*split) if p not in known])
-            known.update(new)
-            lookup = known.__getitem__
-            for parts in split:
-                yield b"".join(map(lookup, parts))
-            for p in new:  # what is met again stays, while there is room
-                slot = hash(p) & (SEEN - 1)
-                if not seen[slot] or len(known) > CACHE or len(p) > CACHED_CHARS:
-                    seen[slot] = 1
-                    del known[p]
+                some = [self._mark(x) for x in distinct]
+                pool += some
+                n = np.array([len(x) for x in some], dtype=np.int64)
+            runs[plain, k] = at + coded.indices.to_numpy()
+            at += len(n)
+            runs_n = n if k == 0 else np.concatenate((runs_n, n))
+        rest = [self._one(x) for x in parts.filter(pa.array(~plain)).to_pylist()]
+        nothing = at + len(rest)
+        runs[~plain, 0] = at + np.arange(len(rest))
+        runs[~plain, 1:] = nothing
+        length = np.concatenate((runs_n, [len(x) for x in rest], [0])).astype(np.int64)
+        values = np.concatenate([*pool, *rest, np.empty(0, "<u4")])
+        return take_runs(values, edges(length)[:-1], length, runs.ravel()), length[runs].sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """ids of each text; null is empty."""
+        texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        size = edges(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, size[at] + SLICE, side="right")) - 1)
+            split = pc.split_pattern(pc.replace_substring(texts.slice(at, to - at), "\n", " "), " ")
+            coded = split.flatten().dictionary_encode()
+            ids, length = self._parts(coded.dictionary)
+            which = coded.indices.to_numpy()
+            flat = take_runs(ids, edges(length)[:-1], length, which)
+            cuts = edges(length[which])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield flat[a:b]
+            at = to
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    end = int(end_id).to_bytes(4, "little")
+def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    end = np.array([end_id], dtype="<u4")
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoders.setdefault(path, None) or Encoder(path)
-        _encoders[path] = enc
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        enc = _encoders[path]
         for b in batches:
             rows = []
-            for doc, raw in zip(b["doc_id"].tolist(), enc.encode(texts_of(b["text"]))):
-                raw += end
-                n = len(raw) // 4
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
+                ids = np.append(ids, end)
+                n = len(ids)
                 for s in range(0, n, length):
-                    e = min(n, s + length)
-                    rows.append((doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n))
-            yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype="int64") for i, k in enumerate(("doc_id", "start", "length", "ids_crc32", "doc_tokens"))})
+                    rows.append((doc, s, min(length, n - s), zlib.crc32(ids[s : s + length].tobytes()), n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(len(names))], names=list(names))
 
     return cut
 
@@ -166,7 +222,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path("word_bpe_49k.json")
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = staged(docs.select(id_in(), "text").mapInPandas(piece_rows(path, length, end_id), columns), "pieces")
+    pieces = staged(docs.select(id_in(), "text").mapInArrow(piece_rows(path, length, end_id), columns), "pieces")
     groups = max(1, -(-pieces.count() // group))
 
     def fill(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

@@ -196,6 +196,32 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix_dedup.repeats(empty).count() == 0
 
 
+def test_encoder_equals_tokenizer():
+    """Whole texts with other scripts, marks, odd white space and special
+    strings, and the property that the word ranks rest on."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    want = lambda t: tok.encode(t, add_special_tokens=False).ids
+    vocab = tok.get_vocab()
+    latin = [t[:-4] for t in vocab if t.endswith("</w>") and re.fullmatch("[a-z]+", t[:-4])]
+    assert all(want(t) == [vocab[t + "</w>"]] for t in latin)
+    pick = RNG.choice
+    odd = ["İstanbul", "ŉ", "ſo", "Straße", "ẞ", "don't", "'tis", "x'##", "e\u0301", "Å", "\u212b", "K\u212a", "ﬁn", "東京", "नमस्ते", "a\tb", "\u00a0", "\x01", "a\x01b",
+           "<|endoftext|>", "a<|endoftext|>b", "<|", "12", "a1b", "ab_c", "--", "é" * 60, "ab" * 400, "🙂x", "\r\n", ""]
+    word = lambda: pick(odd) if RNG.random() < 0.2 else "".join(pick(latin) for _ in range(RNG.randint(1, 4))) + pick(["", ",", "...", "'", "&#"])
+    texts = [pick([" ", "\n", "  "]).join(pick([str, str.upper, str.title])(word()) for _ in range(RNG.randint(0, 60))) for _ in range(400)] + [None, ""]
+    texts.append(" ".join(word() for _ in range(20_000)))
+    for size in (packing.SLICE, 2_000):
+        packing.SLICE, kept = size, packing.SLICE
+        got = [x.tolist() for x in enc.encode(pa.array(texts))]
+        packing.SLICE = kept
+        assert got == [want(t or "") for t in texts]
+    assert list(enc.encode(pa.array([], pa.string()))) == []
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
