@@ -137,7 +137,5 @@ def stratified_bootstrap(stats: DataFrame, stratify: str = "cse", iterations: in
     reps = replicate_counts(stats, [stratify, "label_name"], iterations, seed)
     summed = reps.groupBy("rep", "label_name").agg(*[F.sum(c).alias(c) for c in ("TP", "FP", "FN")])
     rm = all_metrics(summed, ["rep"])
-    ci = rm.groupBy("method", "metric").agg(
-        F.format_string("(%.1f - %.1f)", F.percentile("value", config.CI_QUANTILES[0]),
-                        F.percentile("value", config.CI_QUANTILES[1])).alias("CI"))
+    ci = confidence_intervals(rm, ["method", "metric"], ["value"]).withColumnRenamed("value_ci", "CI")
     return point.join(ci, ["method", "metric"]).select("metric", "method", "value", "CI")

@@ -87,14 +87,15 @@ def ml_entities(spark, sf_dir):
 @register("ml_on_gold")
 def ml_on_gold(spark, sf_dir):
     """X5 + J12: the qualifier applied to the gold spans only (no extraction);
-    predictions merged back one-to-one on the span key (a ``dup`` count of 1
-    per span is the validation)."""
+    predictions merged back on the span key.  Gold rows that repeat a span share
+    its prediction (``dup`` counts them); a span with two different predictions
+    fails the job."""
     ctx, _ = _gold_contexts(spark, sf_dir)
     train, _ = ml.split(ml.training_frame(ctx))
     model = ml.fit(train)
     key = ["note_id", "label_name", "label_value", "offset_begin", "offset_end"]
     pred = ml.predict(model, ctx.select(*key, "to_keep", "context", "span_start", "span_end"))
-    pred = pred.groupBy(*key).agg(F.first("ml_to_keep").alias("ml_to_keep"), F.count(F.lit(1)).alias("dup"))
+    pred = ml.one_prediction(pred, key)
     gold = ctx.select(*key, F.col("to_keep").alias("gold_to_keep"))
     return gold.join(pred, key, "inner")
 

@@ -1,6 +1,7 @@
 """Helper operators: span collection (X10), prediction assignment (X12),
 person cap (T2), test limit (T7), murmur3 strata (P11)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.operators import cohort, context
@@ -37,3 +38,14 @@ def test_murmur3_strata_person_unique(spark):
     s = cohort.stratification(t, mode="murmur3")
     assert s.groupBy("person_id").count().filter(F.col("count") > 1).count() == 0
     assert s.filter((F.col("stratum") < 0) | (F.col("stratum") > 9)).count() == 0
+
+
+def test_one_prediction_per_span(spark):
+    from cohortflow.operators import ml
+    rows = [(1, 0, True), (1, 0, True), (2, 5, False)]
+    schema = "note_id long, offset_begin long, ml_to_keep boolean"
+    got = ml.one_prediction(spark.createDataFrame(rows, schema), ["note_id", "offset_begin"]).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, True, 2), (2, 5, False, 1)]
+    torn = spark.createDataFrame([*rows, (2, 5, True)], schema)
+    with pytest.raises(Exception, match="predictions differ for span 2 5"):
+        ml.one_prediction(torn, ["note_id", "offset_begin"]).collect()
