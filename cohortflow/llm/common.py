@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +18,8 @@ from cohortflow.session import checkpoint_dir
 
 #: Most ids that are broadcast to filter documents; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows that Spark hands to Python at a time while scratch tables are written.
+BATCH_ROWS = 1000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -20,11 +27,50 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs of a block."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def release() -> None:
+    """Give freed memory of this Python worker back to the machine.  Workers
+    are kept for later tasks, and what their allocators hold would add up."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, and release when the task ends."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends
     there, and a lost executor costs no more than the tasks it ran."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import query, table
+from cohortflow.llm.common import lean, query, table
 from cohortflow.llm.textops import _ODD, ALNUM_WORDS, mix, utf8, word_hashes
 
 WINDOW = 10
@@ -160,11 +160,15 @@ FOUND = "n_words long, starts array<long>, ends array<long>, items array<long>"
 def search_udf(spark: SparkSession, items: list[tuple], window: int):
     tables = spark.sparkContext.broadcast(Benchmark(items, window))
 
-    @F.pandas_udf(FOUND)
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @lean
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame(list(tables.value.search(utf8(b))), columns=["n_words", "starts", "ends", "items"])
 
+    @F.pandas_udf(FOUND)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from found(batches)
+
     return search
 
 

@@ -18,12 +18,11 @@ empty result.  Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import query, scratch, sized, staged, table, whole_text, without
+from cohortflow.llm.common import query, scratch, settings, sized, staged, table, whole_text, without
 
 WHITE = r"[\x20\x09-\x0D]+"
 _STORE = "spark.sql.streaming.stateStore."
@@ -44,18 +43,6 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def digest_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, digest, code points and locator of each row, written to the
     shared folder (no text); the locator numbers the rows as written."""
@@ -72,7 +59,7 @@ def run_state(spark: SparkSession, source: str, schema, state_dir: str) -> DataF
     """Feed every file of ``source`` that this state has not seen into the
     keyed state, then read the state: digest, keep, group_size.  Calling it
     again with the same folder goes on where it stopped."""
-    with _conf(spark, STATE_CONF):
+    with settings(spark, STATE_CONF):
         rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(1 << 38)).parquet(source)
         state = rows.groupBy("digest").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         run = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start()

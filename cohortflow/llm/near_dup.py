@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import drop_staged, id_in, id_out, query, sized, staged, table, without
+from cohortflow.llm.common import drop_staged, id_in, id_out, lean, query, sized, staged, table, without
 from cohortflow.llm.components import components
 from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, slices, utf8, word_hashes
 
@@ -82,7 +82,7 @@ def describe(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
             out.insert(0, "doc_id", b["doc_id"].values)
             yield out
 
-    return run
+    return lean(run)
 
 
 def least_matches(total: int, batch: int, threshold: float, miss: float) -> np.ndarray:
@@ -116,7 +116,7 @@ def prune(threshold: float, miss: float) -> Callable[[Iterator[pd.DataFrame]], I
                 on = on[matches[on] >= least]
             yield b.iloc[on][["a", "b"]]
 
-    return run
+    return lean(run)
 
 
 def squeeze(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -129,7 +129,7 @@ def squeeze(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]
         for b in slices(batches):
             yield pd.DataFrame({"rep": b["rep"].values, "packed": [pack(x) for x in utf8(b["text"])]})
 
-    return run
+    return lean(run)
 
 
 def confirm(k: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -151,7 +151,7 @@ def confirm(k: int, percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b[np.array(keep, dtype=bool)][["a", "b"]]
 
-    return run
+    return lean(run)
 
 
 def _packed(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import id_in, id_out, query, single_thread, staged, table, tokenizer_path
+from cohortflow.llm.common import id_in, id_out, lean, query, release, single_thread, staged, table, tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
@@ -179,6 +179,7 @@ def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.Rec
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
+            release()
         enc = _encoders[path]
         for b in batches:
             rows = []
@@ -189,7 +190,7 @@ def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.Rec
                     rows.append((doc, s, min(length, n - s), zlib.crc32(ids[s : s + length].tobytes()), n))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(len(names))], names=list(names))
 
-    return cut
+    return lean(cut)
 
 
 def first_fit_decreasing(sizes: list[int], room: int) -> tuple[list[int], list[int]]:
