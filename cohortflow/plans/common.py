@@ -1,6 +1,6 @@
 """Building blocks shared by the registered jobs (Spark side and SQL side).
 
-``texts`` is the evaluation corpus of the study: the last note of every
+``all_texts`` is every note.  ``texts`` is the evaluation corpus of the study: the last note of every
 selected stay, for both patient types, tagged with the person's cohort
 project (``cse``) and the patient type.  ``method_entities`` derives the
 per-method entity tables compared by the evaluation jobs:
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cohortflow import config
 from cohortflow.functions.exprs import md5_unit
 from cohortflow.operators import cohort, entities
-from cohortflow.plans.sqlmodel import inpatient_notes_sql, lit, str_list, values
+from cohortflow.plans.sqlmodel import inpatient_notes_sql, lit, str_list, values, with_model
 from cohortflow.sources.tables import Tables
 
 ENT_COLS = ["note_id", "visit_occurrence_id", "cse", "patient_type", "label_name", "label_value",
@@ -40,6 +40,11 @@ def texts(t: Tables, with_text: bool = True) -> DataFrame:
     return n.select(*cols).join(strata, "person_id")
 
 
+def all_texts(t: Tables) -> DataFrame:
+    """Every note of the warehouse, whatever its stay, class and length."""
+    return cohort.notes(t).select("note_id", "visit_occurrence_id", "note_text")
+
+
 def rule_entities(t: Tables, tx: DataFrame | None = None) -> DataFrame:
     tx = texts(t) if tx is None else tx
     e = entities.extract_entities(tx, keep=("visit_occurrence_id", "cse", "patient_type"))
@@ -97,6 +102,11 @@ texts AS (
     SELECT note_id, visit_occurrence_id, person_id, note_text, 'outpatient' AS patient_type FROM sel_out) s
   JOIN strata st ON st.person_id = s.person_id)"""
 
+#: Every note under the name of the corpus: the SQL of a job without a corpus selection.
+ALL_TEXTS_SQL = """texts AS (
+  SELECT note_id, visit_occurrence_id, note_text, CAST(NULL AS VARCHAR) AS cse, CAST(NULL AS VARCHAR) AS patient_type
+  FROM clinical_note)"""
+
 
 def ner_sql(texts_cte: str = "texts", extra=("visit_occurrence_id", "cse", "patient_type")) -> str:
     singles = [(t.lower(), lab, v) for t, lab, v in config.LEXICON if len(t.split()) == 1]
@@ -160,4 +170,12 @@ def method_sql(method: str) -> str:
     raise ValueError(method)
 
 
+def over_all_notes(sql: str) -> str:
+    """The SQL of a job over the corpus as that of the same job over every note."""
+    corpus = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" + TEXTS_SQL
+    if not sql.startswith(corpus):
+        raise ValueError("not a job over the corpus")
+    return with_model("clinical_note") + ",\n" + ALL_TEXTS_SQL + sql[len(corpus):]
+
+
 __all__ = ["str_list"]

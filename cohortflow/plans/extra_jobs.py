@@ -180,10 +180,20 @@ ORACLES["compare_methods"] = _compare_sql()
 @register("gold_token_aligned")
 def gold_token_aligned(spark, sf_dir):
     """Gold spans (inside their note) expanded to token boundaries."""
-    from cohortflow.operators import context
     t = tables(spark, sf_dir)
-    tx = common.texts(t)
-    g = common.method_entities(t, "gold", base=common.rule_entities(t, tx))
+    return _token_aligned(t, common.texts(t))
+
+
+@register("gold_token_aligned_all_notes")
+def gold_token_aligned_all_notes(spark, sf_dir):
+    """X7 over every note of the warehouse."""
+    t = tables(spark, sf_dir)
+    return _token_aligned(t, common.all_texts(t))
+
+
+def _token_aligned(t, tx):
+    from cohortflow.operators import context
+    g = common.perturb_gold(common.rule_entities(t, tx))
     g = g.join(tx.select("note_id", F.length("note_text").alias("_n")), "note_id") \
         .filter(F.col("offset_end") <= F.col("_n")).drop("_n")
     return context.expand_to_tokens(g.select("note_id", "label_name", "offset_begin", "offset_end"), tx)
@@ -260,3 +270,5 @@ FROM norm WHERE gold_label_name IS NOT NULL AND label_value <> '0'"""
 
 
 ORACLES["gold_clean"] = _gold_clean_sql()
+
+ORACLES["gold_token_aligned_all_notes"] = common.over_all_notes(ORACLES["gold_token_aligned"])

@@ -20,7 +20,17 @@ def entity_contexts(spark, sf_dir):
     """Each rule-based entity with its sentence and one sentence on
     each side (clipped), and its offsets inside that context."""
     t = tables(spark, sf_dir)
-    tx = common.texts(t)
+    return _sentence_contexts(t, common.texts(t))
+
+
+@register("entity_contexts_all_notes")
+def entity_contexts_all_notes(spark, sf_dir):
+    """W6 / X8 over every note of the warehouse."""
+    t = tables(spark, sf_dir)
+    return _sentence_contexts(t, common.all_texts(t))
+
+
+def _sentence_contexts(t, tx):
     e = common.rule_entities(t, tx).select(*ENT)
     return context.sentence_context(e, tx, 1, 1).select(*CTX_OUT)
 
@@ -29,18 +39,35 @@ def entity_contexts(spark, sf_dir):
 def entity_token_contexts(spark, sf_dir):
     """Each rule-based entity with 5 tokens on each side."""
     t = tables(spark, sf_dir)
-    tx = common.texts(t)
+    return _token_contexts(t, common.texts(t))
+
+
+@register("entity_token_contexts_all_notes")
+def entity_token_contexts_all_notes(spark, sf_dir):
+    """W7 / X8 over every note of the warehouse."""
+    t = tables(spark, sf_dir)
+    return _token_contexts(t, common.all_texts(t))
+
+
+def _token_contexts(t, tx):
     e = common.rule_entities(t, tx).select(*ENT)
     return context.token_context(e, tx, 5).select(*CTX_OUT)
 
 
 @register("token_attributes")
 def token_attributes(spark, sf_dir):
-    """LOWER / SHAPE projections of every note's tokens, re-assembled."""
+    """LOWER / SHAPE projections of the tokens of the evaluation corpus, re-assembled."""
     t = tables(spark, sf_dir)
     return context.token_attributes(common.texts(t))
 
 
+@register("token_attributes_all_notes")
+def token_attributes_all_notes(spark, sf_dir):
+    """X18 over every note of the warehouse."""
+    t = tables(spark, sf_dir)
+    return context.token_attributes(common.all_texts(t))
+
+
 def _gold_contexts(spark, sf_dir):
     e = Eval(spark, sf_dir)
     g = e.ents("gold")
@@ -186,3 +213,6 @@ pj AS (SELECT note_id, note_text,
        FROM pc)
 SELECT note_id, CAST(n_tokens AS INTEGER) AS n_tokens, md5(low) AS lower_md5, low = lower(note_text) AS lower_roundtrip,
        md5(shp) AS shape_md5 FROM pj"""
+
+for _name in ("entity_contexts", "entity_token_contexts", "token_attributes"):
+    ORACLES[_name + "_all_notes"] = common.over_all_notes(ORACLES[_name])

@@ -23,11 +23,26 @@ def _rule(spark, sf_dir):
     return tx, common.rule_entities(t, tx)
 
 
+def _rule_all(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    tx = common.all_texts(t)
+    return tx, common.rule_entities(t, tx)
+
+
 @register("snippet_entities")
 def snippet_entities(spark, sf_dir):
     """Entities re-based into the concatenated snippets of their
     (label, note), with the re-cut variant (P27 check column)."""
-    tx, e = _rule(spark, sf_dir)
+    return _snippet_entities(*_rule(spark, sf_dir))
+
+
+@register("snippet_entities_all_notes")
+def snippet_entities_all_notes(spark, sf_dir):
+    """X13 (entities) over every note of the warehouse."""
+    return _snippet_entities(*_rule_all(spark, sf_dir))
+
+
+def _snippet_entities(tx, e):
     out, _ = snippets.concat_snippets(e.select("label_name", "note_id", "offset_begin", "offset_end",
                                                "lexical_variant"), tx, SNIPPET_LENGTH)
     return out.select("label_name", "note_id", "offset_begin", "offset_end", "snippet_num",
@@ -38,7 +53,16 @@ def snippet_entities(spark, sf_dir):
 @register("snippet_texts")
 def snippet_texts(spark, sf_dir):
     """One concatenated snippet text per (label, note)."""
-    tx, e = _rule(spark, sf_dir)
+    return _snippet_texts(*_rule(spark, sf_dir))
+
+
+@register("snippet_texts_all_notes")
+def snippet_texts_all_notes(spark, sf_dir):
+    """X13 (texts) over every note of the warehouse."""
+    return _snippet_texts(*_rule_all(spark, sf_dir))
+
+
+def _snippet_texts(tx, e):
     _, text = snippets.concat_snippets(e.select("label_name", "note_id", "offset_begin", "offset_end"),
                                        tx, SNIPPET_LENGTH)
     return text.select("label_name", "note_id", "n_snippets", "snippet_note_text")
@@ -122,3 +146,6 @@ SELECT g.*, substr(t.note_text, greatest(0, g.offset_begin - 200) + 1,
                    least(length(t.note_text), g.offset_end + 200) - greatest(0, g.offset_begin - 200)) AS snippet,
        substr(t.note_text, g.offset_begin + 1, g.offset_end - g.offset_begin) AS lexical_variant
 FROM gold g JOIN texts t USING (note_id, visit_occurrence_id, cse, patient_type)"""
+
+for _name in ("snippet_entities", "snippet_texts"):
+    ORACLES[_name + "_all_notes"] = common.over_all_notes(ORACLES[_name])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.operators import cohort, entities
 from cohortflow.plans import common
-from cohortflow.plans.registry import register, tables
+from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import with_model
 
 EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" \
@@ -59,4 +59,11 @@ def sentences(spark, sf_dir):
     return entities.sentences(common.texts(t)).select("note_id", "sent_idx", "sent_begin", "sent_end")
 
 
+@register("sentences_all_notes", sql=common.over_all_notes(ORACLES["sentences"]))
+def sentences_all_notes(spark, sf_dir):
+    """X11 over every note of the warehouse."""
+    t = tables(spark, sf_dir)
+    return entities.sentences(common.all_texts(t)).select("note_id", "sent_idx", "sent_begin", "sent_end")
+
+
 __all__ = ["F"]
