@@ -3,9 +3,11 @@
 Documents are tokenised once; each is cut into full sequences and one rest.
 Rests are packed by first-fit decreasing, independently in randomised groups
 of pieces: a tournament tree over the free room of a group's bins finds the
-first bin that holds a piece.  Only lengths and checksums are shuffled, never
-ids or texts, and a group holds about ``GROUP`` pieces whatever the size of
-the corpus or of a document, since pieces are dealt by a hash of their own.
+first bin that holds a piece.  Pieces are written once with their ids; only
+lengths and checksums are shuffled for the packing, and the ids are joined to
+their places by the number of the piece.  A group holds about ``GROUP`` pieces
+whatever the size of the corpus or of a document, since pieces are dealt by a
+hash of their own.  ``sequences`` gives the ids of each filled sequence.
 
 Nulls and edge cases: a null text counts as empty and has the end id alone.
 Rows that repeat a doc_id are packed each for itself; a null doc_id is packed
@@ -26,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import id_in, id_out, lean, query, release, single_thread, staged, table, tokenizer_path
+from cohortflow.llm.common import id_in, id_out, lean, query, release, settings, single_thread, staged, table, tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
 GROUP = 8192
 #: Bytes of text that a task encodes at a time (a longer text goes by itself).
 SLICE = 1 << 22
+#: ids that a task hands on at a time (those of a longer text go together).
+BATCH_IDS = 1 << 20
 #: Longest part between blanks, in bytes, that is taken apart by WORD_IN_MARKS.
 PART_BYTES = 96
 #: Most mark sequences whose ids a worker remembers.
@@ -174,7 +178,13 @@ _encoders: dict[str, Encoder] = {}
 
 def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], dtype="<u4")
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        *columns, ids = zip(*rows)
+        flat = pa.array(np.concatenate(ids).astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(edges(np.array(columns[2])), type=pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in columns), lists], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
@@ -182,13 +192,19 @@ def piece_rows(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.Rec
             release()
         enc = _encoders[path]
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids = np.append(ids, end)
                 n = len(ids)
                 for s in range(0, n, length):
-                    rows.append((doc, s, min(length, n - s), zlib.crc32(ids[s : s + length].tobytes()), n))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(len(names))], names=list(names))
+                    part = ids[s : s + length]
+                    rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), n, part))
+                held += n
+                if held >= BATCH_IDS:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
     return lean(cut)
 
@@ -219,11 +235,20 @@ def first_fit_decreasing(sizes: list[int], room: int) -> tuple[list[int], list[i
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
+def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+    """One row per piece, with its ids and a number of its own; staged."""
     path = path or tokenizer_path("word_bpe_49k.json")
-    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = staged(docs.select(id_in(), "text").mapInArrow(piece_rows(path, length, end_id), columns), "pieces")
+    pieces = docs.select(id_in(), "text").mapInArrow(piece_rows(path, length, end_id), COLUMNS + ", ids array<int>")
+    with settings(docs.sparkSession, {"spark.sql.parquet.compression.codec": "zstd"}):
+        return staged(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+
+
+def places(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """The staged pieces without their ids, with sequence_id and offset."""
+    pieces = pieces.drop("ids")
     groups = max(1, -(-pieces.count() // group))
 
     def fill(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -235,9 +260,22 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         return out
 
     dealt = pieces.withColumn("piece_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("piece_group").applyInPandas(fill, columns + ", sequence_id long, offset long").withColumn("doc_id", id_out())
+    placed = dealt.groupBy("piece_group").applyInPandas(fill, COLUMNS + ", piece long, sequence_id long, offset long")
+    return placed.withColumn("doc_id", id_out())
+
+
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
+    pieces = pieces_of(docs, path, length, end_id)
+    return places(pieces, length, group).join(pieces.select("piece", "ids"), "piece").drop("piece")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per sequence of ``pack``: sequence_id and the ids of its pieces in order."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
 
 
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return places(pieces_of(table(spark, sf_dir, "documents"))).drop("piece")

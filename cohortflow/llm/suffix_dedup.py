@@ -19,7 +19,9 @@ one) owns a window.
    prefixes to the left likewise.  Two windows are equal when q-gram, left and
    right bucket agree at the window's lengths.  The least doc_id of every
    window goes back to the blocks.
-4. Blocks mark the windows that a smaller doc_id has, and cut.
+4. Blocks mark the windows that a smaller doc_id has, and cut.  The kept bytes
+   and the removed spans of every document are written once; counts and digests
+   are derived from them.
 
 A hash or context that a third of all documents hold costs each block one
 entry.  Only hashes, contexts and answers are shuffled freely; a block's texts
@@ -34,7 +36,6 @@ and text are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import NO_ID, drop_staged, id_in, id_out, query, staged, table
+from cohortflow.llm.common import NO_ID, drop_staged, id_in, id_out, query, settings, staged, table
 from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, PACKED, SENT, answer, pack_blocks, send, shared, unpack_block
 from cohortflow.llm.textops import anchors, mix
 
@@ -321,18 +322,18 @@ def cut_texts(length: int, q: int) -> Callable:
             out = []
             for k, (s, e) in enumerate(zip(block.offs[:-1].tolist(), block.offs[1:].tolist())):
                 g = gone[s:e]
-                n = int(g.sum())
-                kept = block.raw[s:e][~g] if n else block.raw[s:e]
-                runs = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-                out.append((int(block.ids[k]), e - s, n, runs, hashlib.sha256(kept.tobytes()).hexdigest()))
-            frames.append(pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]))
-        return pd.concat(frames) if frames else pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                turns = np.flatnonzero(np.diff(g, prepend=False, append=False))
+                out.append((int(block.ids[k]), e - s, turns[::2], turns[1::2], block.raw[s:e][~g].tobytes()))
+            frames.append(pd.DataFrame(out, columns=["doc_id", "n_bytes", "start", "end", "kept"]))
+        return pd.concat(frames) if frames else pd.DataFrame(columns=["doc_id", "n_bytes", "start", "end", "kept"])
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def cut(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """One row per document: doc_id, n_bytes, spans (the removed byte ranges of
+    the UTF-8 text, end exclusive) and kept (the bytes that stay; a cut may
+    split a character); staged."""
     texts = docs.select(id_in(), "text")
     blocks = staged(texts.mapInPandas(pack_blocks, PACKED).withColumn("block", F.monotonically_increasing_id()), "sd-blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
@@ -341,12 +342,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     answers = staged(hashes.groupBy("bucket").applyInPandas(answer, ANSWERED), "sd-shared")
     entries = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_contexts(length, q, buckets), "bucket long, block long, n long, packed binary")
     judged = staged(entries.groupBy("bucket").applyInPandas(judge(length, q), "block long, answers binary"), "sd-judged")
-    out = blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(cut_texts(length, q), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    out = staged(out.withColumn("doc_id", id_out()), "sd-result")
-    drop_staged(blocks, answers, judged)
+    drop_staged(answers)
+    out = blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(cut_texts(length, q), "doc_id long, n_bytes long, start array<long>, end array<long>, kept binary")
+    out = out.select(id_out().alias("doc_id"), "n_bytes", F.arrays_zip("start", "end").alias("spans"), "kept")
+    with settings(docs.sparkSession, {"spark.sql.parquet.compression.codec": "zstd"}):
+        out = staged(out, "sd-result")
+    drop_staged(blocks, judged)
     return out
 
 
+def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut(docs, length, q).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 SQL = r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
      n AS (SELECT doc_id, h, length(h) // 2 AS n FROM b),

@@ -2,7 +2,8 @@
 to the shared folder and read again as the next one's documents.
 
 Every stage judges all that its predecessor kept and calls one operator of
-``cohortflow.llm``; all but the last return the columns of ``documents``.
+``cohortflow.llm``; all but the last return the columns of ``documents``, the
+last the pieces of the packed corpus with their ids.
 Near duplicates are those whose five-word shingles have a similarity of 0.8 or
 more.  Nulls, repeated rows and empty tables are handled as each operator's
 docstring says.

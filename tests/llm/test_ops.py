@@ -410,3 +410,32 @@ def test_pipeline_edges(spark, docs, empty, tmp_path, labels, bench):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, str(tmp_path))
             assert out.count() >= 0 and (name == "packing" or out.columns == table.columns)
+
+
+def test_packing_gives_ids(docs, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    packed = packing.pack(docs, length=256).localCheckpoint()
+    got = rows(packed)
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for _, t, *_ in TABLE]
+    assert sorted(r["ids"] for r in got) == sorted(ids[s : s + 256] for ids in want for s in range(0, len(ids), 256))
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in got)
+    filled = {r["sequence_id"]: r["ids"] for r in rows(packing.sequences(packed))}
+    assert all(filled[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"] for r in got)
+    assert sum(map(len, filled.values())) == sum(map(len, want))
+    assert packing.sequences(packing.pack(empty)).count() == 0
+
+
+def test_suffix_dedup_gives_texts(spark, empty):
+    copy = prose(40)
+    texts = {1: "a " + copy, 2: "é " + copy + " b " + copy, 3: None, 4: "alone"}
+    got = {r["doc_id"]: r for r in rows(suffix_dedup.cut(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))}
+    for d, t in texts.items():
+        raw, at, kept = (t or "").encode(), 0, b""
+        for s in got[d]["spans"]:
+            assert s["end"] > s["start"] >= at
+            kept, at = kept + raw[at : s["start"]], s["end"]
+        assert bytes(got[d]["kept"]) == kept + raw[at:] and got[d]["n_bytes"] == len(raw)
+    assert bytes(got[2]["kept"]) == "é".encode() + b" b" and len(got[2]["spans"]) == 2
+    assert suffix_dedup.cut(empty).count() == 0
