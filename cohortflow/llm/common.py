@@ -93,12 +93,23 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in the staged table ``gone``; all
-    columns stay, whatever their names; a null doc_id stays."""
+def without(docs: DataFrame, gone: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Rows of docs whose doc_id (or column ``by``) is not in the staged table
+    ``gone``; all columns stay, whatever their names; a null doc_id stays."""
     key = f"gone_{uuid.uuid4().hex[:8]}"
-    ids = sized(gone.select(F.col("doc_id").alias(key)))
-    return docs.join(ids, docs["doc_id"] == ids[key], "left_anti")
+    ids = sized(gone.select(F.col(by).alias(key)))
+    return docs.join(ids, docs[by] == ids[key], "left_anti")
+
+
+def ids_tell_rows(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id that no other row has (reads no text)."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written once with a number for each row, and the name of that column."""
+    row = f"row_{uuid.uuid4().hex[:8]}"
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 #: Stands for a null doc_id inside tasks, where a column of numbers with nulls would lose its integers.

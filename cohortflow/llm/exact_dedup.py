@@ -11,8 +11,10 @@ those one per digest and task (least and greatest text).
 
 Nulls and edge cases: a null text counts as empty; all empty texts are equal.
 A null doc_id comes after every other.  Rows that repeat doc_id and text are
-told apart by their locator, so one of them stays.  An empty table gives an
-empty result.  Columns other than doc_id and text are not read.
+told apart by their locator, so one of them stays.  ``keep_first`` decides row
+by row, too: one row of each text stays, also where a doc_id is null or
+repeated.  An empty table gives an empty result.  Columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import query, scratch, settings, sized, staged, table, whole_text, without
+from cohortflow.llm.common import ids_tell_rows, numbered, query, scratch, settings, sized, staged, table, whole_text, without
 
 WHITE = r"[\x20\x09-\x0D]+"
 _STORE = "spark.sql.streaming.stateStore."
@@ -43,11 +45,16 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
-def digest_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def _located(row: str | None) -> Column:
+    return F.col(row) if row else F.monotonically_increasing_id()
+
+
+def digest_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256, row: str | None = None) -> DataFrame:
     """doc_id, digest, code points and locator of each row, written to the
-    shared folder (no text); the locator numbers the rows as written."""
-    norm = docs.select("doc_id", normalised().alias("norm"), F.char_length(whole_text()).alias("points"))
-    return staged(norm.select("doc_id", digest(F.col("norm")).alias("digest"), "points", F.monotonically_increasing_id().alias("locator")), "digests")
+    shared folder (no text); the locator is the column ``row`` or numbers the
+    rows as written."""
+    norm = docs.select("doc_id", normalised().alias("norm"), F.char_length(whole_text()).alias("points"), _located(row).alias("locator"))
+    return staged(norm.select("doc_id", digest(F.col("norm")).alias("digest"), "points", "locator"), "digests")
 
 
 def _first() -> Column:
@@ -73,29 +80,39 @@ def run_state(spark: SparkSession, source: str, schema, state_dir: str) -> DataF
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, digest."""
+    return _judged(docs, digest, state_dir).drop("locator")
+
+
+def _judged(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None, row: str | None = None) -> DataFrame:
+    """dedup, with the locator of each row."""
     spark = docs.sparkSession
-    rows = digest_rows(docs, digest)
+    rows = digest_rows(docs, digest, row)
     state = staged(run_state(spark, rows._staged_at, rows.schema, state_dir or scratch(spark, "dedup-state")), "dedup-groups")
     hits = staged(rows.join(state.filter("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct(), "dedup-hits")
     ids = sized(hits.withColumnRenamed("doc_id", "hit"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi").select("doc_id", normalised().alias("norm"), F.char_length(whole_text()).alias("points"))
+    at = [row] if row else []
+    texts = docs.select("doc_id", "text", *at).join(ids, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi").select("doc_id", normalised().alias("norm"), F.char_length(whole_text()).alias("points"), *at)
     texts = texts.withColumn("digest", digest(F.col("norm")))
     torn = staged(texts.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("z")).filter("a <> z").select("digest"), "dedup-torn")
-    out = rows.join(state, "digest").select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.at")).alias("kept"), "digest")
+    out = rows.join(state, "digest").select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.at")).alias("kept"), "digest", "locator")
     if torn.isEmpty():
         return out
     # a digest that holds different texts: its rows by their bytes
-    texts = staged(texts.join(torn, "digest").withColumn("locator", F.monotonically_increasing_id()), "dedup-torn-texts")
+    texts = staged(texts.join(torn, "digest").withColumn("locator", _located(row)), "dedup-torn-texts")
     groups = staged(texts.groupBy("norm").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size")), "dedup-torn-groups")
-    again = texts.join(groups, "norm").select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.at")).alias("kept"), "digest")
+    again = texts.join(groups, "norm").select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.at")).alias("kept"), "digest", "locator")
     return out.join(torn, "digest", "left_anti").select(again.columns).unionByName(again)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier choice holds; rows that
-    repeat a doc_id share its fate."""
-    out = staged(dedup(docs).select("doc_id", "kept"), "dedup-kept")
-    return without(docs, staged(out.groupBy("doc_id").agg(F.max("kept").alias("k")).filter("not k").select("doc_id"), "dedup-gone"))
+def keep_first(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """docs without the rows whose text an earlier choice holds.  Where a
+    doc_id does not tell its row (null or repeated), docs are written once
+    with a number for each row, and rows are dropped by that."""
+    if ids_tell_rows(docs):
+        return without(docs, staged(dedup(docs, digest).filter("not kept").select("doc_id"), "dedup-gone"))
+    rows, row = numbered(docs)
+    gone = staged(_judged(rows, digest, row=row).filter("not kept").select(F.col("locator").alias(row)), "dedup-gone")
+    return without(rows, gone, row).drop(row)
 
 
 SQL = r"""

@@ -439,3 +439,17 @@ def test_suffix_dedup_gives_texts(spark, empty):
         assert bytes(got[d]["kept"]) == kept + raw[at:] and got[d]["n_bytes"] == len(raw)
     assert bytes(got[2]["kept"]) == "é".encode() + b" b" and len(got[2]["spans"]) == 2
     assert suffix_dedup.cut(empty).count() == 0
+
+
+def test_keep_first_keeps_one_row_a_text(docs, empty):
+    """Also where a doc_id is null or repeated, and where digests clash."""
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    want = sorted({plain(r[1]) for r in TABLE})
+    twice = docs.unionByName(docs)
+    for df in (docs, twice, docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), docs.filter("doc_id is null")):
+        kept = exact_dedup.keep_first(df)
+        assert kept.columns == docs.columns
+        assert sorted(plain(r["text"]) for r in rows(kept)) == sorted({plain(r["text"]) for r in rows(df)})
+    weak = exact_dedup.keep_first(twice, digest=lambda c: F.substring(exact_dedup.sha256(c), 1, 1))
+    assert sorted(plain(r["text"]) for r in rows(weak)) == want
+    assert exact_dedup.keep_first(empty).count() == 0
