@@ -21,10 +21,12 @@ At similarity 0.8 a pair shares no band with probability
 
 Nulls and edge cases: a null or empty text, or one of white space alone, has
 no shingles and is linked with nothing; a text of fewer words than a shingle
-is one shingle.  Rows that repeat a doc_id are one document with one verdict.
-A null doc_id is linked with nothing and stays (its component_id is null).  An
-empty table gives an empty result.  Columns other than doc_id and text are not
-read.
+is one shingle.  Rows that repeat a doc_id are compared each for itself; the
+component_id is the least doc_id of their component, of which the first row
+stays.  In ``near_duplicates`` a null doc_id is linked with nothing and stays
+(its component_id is null); ``keep_one`` links such rows, too, and drops row by
+row.  An empty table gives an empty result.  Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import drop_staged, id_in, id_out, lean, query, sized, staged, table, without
+from cohortflow.llm.common import drop_staged, id_in, id_out, ids_tell_rows, lean, numbered, query, sized, staged, table, without
 from cohortflow.llm.components import components
 from cohortflow.llm.textops import SPACE_WORDS, mix, shingles, slices, utf8, word_hashes
 
@@ -226,23 +228,32 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    # rows that repeat a doc_id: the longest set speaks for it
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids_tell_rows(docs.filter("doc_id is not null")):
+        return _components(docs, _described(docs, k), k, percent)
+    rows, row = numbered(docs)
+    judged = _by_row(rows.filter("doc_id is not null"), row, k, percent).drop(row)
+    none = _described(rows.filter("doc_id is null"), k)
+    none = none.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return judged.unionByName(none)
+
+
+def _described(docs: DataFrame, k: int) -> DataFrame:
     sets = docs.select(id_in(), "text").mapInPandas(describe(k), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
-    sets = staged(sets.withColumn("doc_id", id_out()), "nd-sets")
-    again = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null")
-    if not again.isEmpty():
-        return _with_repeats(docs, k, percent)
-    return _components(docs, sets, k, percent)
+    return staged(sets.withColumn("doc_id", id_out()), "nd-sets")
 
 
-def _with_repeats(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Repeated doc_ids: one row each (greatest text) is judged, all get its verdict."""
-    one = staged(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")), "nd-one")
-    judged = staged(near_duplicates(one, k, percent), "nd-judged")
-    none = staged(docs.filter("doc_id is null").select("doc_id", "text"), "nd-none")
-    return docs.select("doc_id").filter("doc_id is not null").join(judged, "doc_id").unionByName(near_duplicates(none, k, percent))
+def _by_row(rows: DataFrame, row: str, k: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept of rows with a number in the
+    column ``row``: the numbers are compared in place of doc_ids, and of each
+    component the row of least doc_id (null last), then of least number, stays."""
+    alone = rows.select(F.col(row).alias("doc_id"), "text")
+    judged = _components(alone, _described(alone, k), k, percent).select(F.col("doc_id").alias(row), "n_shingles", F.col("component_id").alias("component"))
+    judged = staged(judged.join(rows.select(row, F.col("doc_id").cast("long").alias("doc_id")), row), "nd-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("at"))
+    first = staged(judged.groupBy("component").agg(F.min(order).alias("first")), "nd-firsts")
+    return judged.join(first, "component").select(row, "doc_id", "n_shingles", F.col("first.id").alias("component_id"), (F.col(row) == F.col("first.at")).alias("kept"))
 
 
 def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -281,9 +292,12 @@ def _components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of near duplicates."""
-    gone = staged(near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct(), "nd-gone")
-    return without(docs, gone)
+    """docs with one row of each group of near duplicates."""
+    if ids_tell_rows(docs):
+        return without(docs, staged(near_duplicates(docs, k, percent).filter("not kept").select("doc_id"), "nd-gone"))
+    rows, row = numbered(docs)
+    gone = staged(_by_row(rows, row, k, percent).filter("not kept").select(row), "nd-gone")
+    return without(rows, gone, row).drop(row)
 
 
 SQL = r"""

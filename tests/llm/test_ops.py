@@ -453,3 +453,16 @@ def test_keep_first_keeps_one_row_a_text(docs, empty):
     weak = exact_dedup.keep_first(twice, digest=lambda c: F.substring(exact_dedup.sha256(c), 1, 1))
     assert sorted(plain(r["text"]) for r in rows(weak)) == want
     assert exact_dedup.keep_first(empty).count() == 0
+
+
+def test_near_duplicates_row_by_row(spark, docs):
+    """Rows that share a doc_id have texts, links and verdicts of their own."""
+    a, b, c = prose(100), prose(120), prose(90)
+    table = [(1, a), (1, b), (1, None), (2, b + " end"), (3, a + " end"), (3, c), (None, c + " end"), (None, a), (None, "alone"), (None, "alone")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in rows(near_dup.near_duplicates(df.filter("doc_id is not null")))}
+    assert got == {(1, 96): (1, True), (1, 116): (1, True), (1, 0): (1, True), (2, 117): (1, False), (3, 97): (1, False), (3, 86): (3, True)}
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in rows(near_dup.keep_one(df)))
+    assert kept == sorted([("1", a), ("1", b), ("1", ""), ("3", c), ("None", "alone")])
+    copies = rows(near_dup.keep_one(docs.filter("doc_id in (1, 2, 18) or doc_id is null")))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in copies) == [(False, 1), (True, 0)]
