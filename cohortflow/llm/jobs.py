@@ -9,5 +9,8 @@ import cohortflow.llm.pii  # noqa: F401
 import cohortflow.llm.suffix_dedup  # noqa: F401
 import cohortflow.llm.token_counts  # noqa: F401
 import cohortflow.llm.url_rules  # noqa: F401
+import cohortflow.llm.warc  # noqa: F401
+import cohortflow.llm.hard_negatives  # noqa: F401
+import cohortflow.llm.bitsliced  # noqa: F401
 import cohortflow.llm.toxicity  # noqa: F401
 from cohortflow.llm.common import ORACLES, QUERIES  # noqa: F401
