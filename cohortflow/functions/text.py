@@ -1,115 +1,14 @@
-"""Regex builders and in-row text expressions (offsets in code points).
-
-Offsets are computed inside the row with higher-order functions, so text is
-never exploded into one row per token: a note is read once, its matches are
-emitted with their offsets, and the text can be dropped before any shuffle.
-"""
+"""Text expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sentence pieces tile the text exactly (every char belongs to one piece).
-SENTENCE_RE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+\z"
-# Tokens: runs of letters / digits, or one other non-space character.
-TOKEN_RE = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
-
 ACCENTS_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 ACCENTS_TO = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
-def quote(word: str) -> str:
-    return r"\Q" + word + r"\E"
-
-
-def words_pattern(terms: list[str]) -> str:
-    """Whole-word, case-insensitive alternation of (multi-word) terms.
-
-    Longest terms first, so at a given start the longest term wins and the
-    scan resumes after it (leftmost-longest, non-overlapping).  Words of a
-    term match one or more spaces between them."""
-    alts = sorted(set(terms), key=lambda s: (-len(s), s))
-    body = "|".join(" +".join(quote(w) for w in t.split()) for t in alts)
-    return r"(?iu)(?<!\p{L})(?:" + body + r")(?!\p{L})"
-
-
 def fold_accents(c: Column) -> Column:
     """1:1 accent folding (offset preserving)."""
     return F.translate(c, ACCENTS_FROM, ACCENTS_TO)
-
-
-def prefix_sums(arr: Column) -> Column:
-    """Inclusive prefix sums of an int/long array in O(k log k): log2(k)
-    doubling passes, each one ``transform`` over the previous pass (the
-    accumulator is a lambda variable, read by index in O(1))."""
-    k = F.size(arr)
-    passes = F.when(k > 1, F.ceil(F.log2(k)).cast("int") + 1).otherwise(F.lit(0))
-    steps = F.when(passes > 0, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))
-
-    def one_pass(acc, j):
-        d = F.pow(F.lit(2.0), j).cast("int")
-        return F.transform(acc, lambda x, i: x + F.when(i >= d, F.element_at(acc, i - d + 1)).otherwise(F.lit(0)))
-
-    return F.aggregate(steps, arr, one_pass)
-
-
-def with_match_spans(df: DataFrame, text: Column, pattern: str, out: str) -> DataFrame:
-    """Add ``out``: array of struct(begin, end, text) for every
-    non-overlapping match of ``pattern`` in ``text`` (code-point offsets).
-
-    pieces = split(text, re) (k+1 pieces), matches = regexp_extract_all
-    (k matches); begin_i = sum_{j<i}(|piece_j| + |match_j|) + |piece_i| --
-    an exclusive prefix sum (``prefix_sums``).  Each intermediate array is
-    its own projected column: expressions inside lambdas are not shared, so
-    inlining them would rescan the text once per match.
-    """
-    tmp = [f"_{out}_pc", f"_{out}_mt", f"_{out}_st", f"_{out}_in"]
-    pc, mt, st, inc = (F.col(c) for c in tmp)
-    d = df.withColumn(tmp[0], F.split(text, pattern, -1)) \
-        .withColumn(tmp[1], F.regexp_extract_all(text, F.lit(pattern), 0))
-    d = d.withColumn(tmp[2], F.zip_with(F.slice(pc, 1, F.size(mt)), mt,
-                                        lambda a, b: (F.length(a) + F.length(b)).cast("long")))
-    d = d.withColumn(tmp[3], prefix_sums(st))
-
-    def begin(i):
-        before = F.when(i > 0, F.element_at(inc, F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long"))
-        return before + F.length(F.element_at(pc, i + 1))
-
-    d = d.withColumn(out, F.transform(mt, lambda m, i: F.struct(
-        begin(i).cast("int").alias("begin"),
-        (begin(i) + F.length(m)).cast("int").alias("end"),
-        m.alias("text"))))
-    return d.drop(*tmp)
-
-
-def sentence_prefix(text: Column, begin: Column) -> Column:
-    """The part of the sentence containing ``begin`` that precedes it.
-
-    Scans the reversed prefix from its start up to the first terminator, so
-    the cost is linear (a right-anchored regex would rescan every start)."""
-    rev = F.reverse(F.substring(text, 1, begin))
-    return F.reverse(F.regexp_extract(rev, r"^[^.!?\n]*", 0))
-
-
-# Reversed / forward anchored patterns for neighbourhoods (linear per entity).
-_T = r"[.!?\n]"
-_B = r"[^.!?\n]"
-SENT_BEFORE_RE = "^" + _B + "*(?:" + _T + "+" + _B + "*){0,%d}"
-SENT_AFTER_RE = "^" + _B + "*" + _T + "*(?:" + _B + "+" + _T + "*){0,%d}"
-TOK = r"(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}])"
-TOK_AROUND_RE = r"^(?:\s*" + TOK + "){0,%d}"
-
-
-def before_length(text: Column, begin: Column, pattern: str) -> Column:
-    """Length of the anchored match of ``pattern`` on the reversed prefix."""
-    return F.length(F.regexp_extract(F.reverse(F.substring(text, 1, begin)), pattern, 0))
-
-
-def after_length(text: Column, end: Column, pattern: str) -> Column:
-    """Length of the anchored match of ``pattern`` on the suffix after ``end``."""
-    return F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), pattern, 0))
-
-
-def has_cue(c: Column, cues: list[str]) -> Column:
-    return c.rlike(words_pattern(cues))

@@ -1,49 +1,66 @@
-"""Span-with-context extraction.
+"""Span-with-context extraction.
 
-Every entity row is joined once with its note text; its sentence / token
-neighbourhood is computed in the row with higher-order functions over the
-note's sentence (or token) spans, so no sentence/token table is exploded or
-shuffled.
+Spans that come from elsewhere (gold) travel to their note as one array a
+note: the text is shuffled once, read once and never copied per span.  Spans
+that extraction finds get their context in the same pass
+(``extract_entities(context=...)``).
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortflow.functions import spans as sp
 from cohortflow.functions import text as tx
+from cohortflow.operators.entities import CONTEXT_FIELDS, window_of
+
 
+def _windows(kind: str, *sizes: int):
+    of = window_of(kind, *sizes)
 
-def _with_context(ents: DataFrame, notes: DataFrame, before_re: str, after_re: str) -> DataFrame:
-    cols = [c for c in ents.columns if c != "note_text"]
-    j = ents.select(*cols).join(notes.select("note_id", "note_text"), "note_id")
-    text = F.col("note_text")
-    cb = F.col("offset_begin") - tx.before_length(text, F.col("offset_begin"), before_re)
-    ce = F.col("offset_end") + tx.after_length(text, F.col("offset_end"), after_re)
-    out = j.select(*cols, cb.alias("context_begin"), ce.alias("context_end"), "note_text")
-    return out.select(
-        *cols, "context_begin", "context_end",
-        F.substring("note_text", F.col("context_begin") + 1, F.col("context_end") - F.col("context_begin"))
-        .alias("context"),
-        (F.col("offset_begin") - F.col("context_begin")).alias("span_start"),
-        (F.col("offset_end") - F.col("context_begin")).alias("span_end"))
+    def rows(text, begins, ends):
+        window = of(text)
+        for begin, end in zip(begins, ends):
+            b, e = window(begin, end)
+            yield b, e, text[b:e], begin - b, end - b
+    return lambda: rows
 
 
 def sentence_context(ents: DataFrame, notes: DataFrame, n_before: int = 1, n_after: int = 1) -> DataFrame:
     """W6 / X8 (sentence mode): the entity's sentence plus ``n_before`` /
     ``n_after`` neighbouring sentences (clipped at the document ends) and the
-    span offsets inside that context.  Sentences are the pieces of
-    ``SENTENCE_RE``; the neighbourhood is read with anchored regexes on the
-    reversed prefix and on the suffix -- linear in the text, no sentence
-    table."""
-    return _with_context(ents, notes, tx.SENT_BEFORE_RE % n_before, tx.SENT_AFTER_RE % n_after)
+    span offsets inside that context."""
+    return sp.emit_beside(ents, notes, CONTEXT_FIELDS, _windows("sentence", n_before, n_after))
 
 
 def token_context(ents: DataFrame, notes: DataFrame, n: int = 5) -> DataFrame:
     """W7 / X8 (token mode): ``n`` tokens before and after the entity
     (tokens = letter runs, digit runs or single symbols), original
     whitespace kept; span offsets inside the context."""
-    return _with_context(ents, notes, tx.TOK_AROUND_RE % n, tx.TOK_AROUND_RE % n)
+    return sp.emit_beside(ents, notes, CONTEXT_FIELDS, _windows("token", n))
+
+
+def included_token_context(ents: DataFrame, notes: DataFrame, excluded: str, n: int = 5, count_excluded: bool = False) -> DataFrame:
+    """W7 with excluded tokens: tokens that match ``excluded`` as a whole are left out of the
+    context; they use up places among the ``n`` only with ``count_excluded``.  The context is the
+    included tokens with the blanks that follow each, the entity's own text between them."""
+    def make():
+        out = re.compile(excluded)
+
+        def rows(text, begins, ends):
+            ranks = sp.TokenRanks(text, lambda t: out.fullmatch(t) is not None)
+            stops = [*ranks.starts, len(text)]
+            for b, e in zip(begins, ends):
+                before, after = ranks.around(b, e, n, count_excluded)
+                own = text[b : stops[bisect_left(ranks.starts, e)]]  # with the blanks that follow it
+                yield before + own + after, len(before), len(before) + e - b
+        return rows
+
+    return sp.emit_beside(ents, notes, "context string, span_start int, span_end int", make)
 
 
 def collect_spans(spans: DataFrame, exclude_groups=("pollutions",), group_col: str = "span_group") -> DataFrame:
@@ -65,11 +82,17 @@ def assign_predictions(df: DataFrame, pred_col: str = "prediction", mapping: dic
                      *[F.col(f"{pred_col}.{k}").alias(v) for k, v in mapping.items()])
 
 
-def token_attributes(notes: DataFrame) -> DataFrame:
-    """Token attribute projection (LOWER, SHAPE) and re-assembly with the
-    original whitespace; per note the token count and digests of the
-    projected texts (the lower-cased re-assembly equals lower(text))."""
-    pieces = F.regexp_extract_all(F.col("note_text"), F.lit(r"\s+|" + tx.TOKEN_RE), 0)
+def token_arrays(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """note_id, ``head`` (blanks before the first token) and ``tokens``: an array of
+    (text, lower, norm, shape, blank, begin) of the note's tokens; ``blank`` is what follows the token."""
+    keep = [k for k in keep if k in notes.columns]
+
+    def rows(text):
+        found = sp.token_attributes(text)
+        yield text[: found[0][1]] if found else text, found
+
+    raw = sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
+                  "head string, found array<struct<text:string,begin:int,blank:string>>", lambda: rows)
 
     def shape(t):
         s = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"\p{Nd}", "d")
@@ -77,29 +100,36 @@ def token_attributes(notes: DataFrame) -> DataFrame:
             s = F.regexp_replace(s, ch + "{5,}", ch * 4)
         return s
 
-    lower = F.array_join(F.transform(pieces, lambda t: F.lower(t)), "")
-    shp = F.array_join(F.transform(pieces, shape), "")
-    return notes.select(
-        "note_id",
-        F.size(F.filter(pieces, lambda t: ~t.rlike(r"^\s+$"))).alias("n_tokens"),
-        F.md5(lower).alias("lower_md5"),
-        (lower == F.lower("note_text")).alias("lower_roundtrip"),
-        F.md5(shp).alias("shape_md5"))
+    tokens = F.transform("found", lambda t: F.struct(
+        t["text"].alias("text"), F.lower(t["text"]).alias("lower"), tx.fold_accents(F.lower(t["text"])).alias("norm"),
+        shape(t["text"]).alias("shape"), t["blank"].alias("blank"), t["begin"].alias("begin")))
+    return raw.select("note_id", *keep, "head", tokens.alias("tokens"))
+
+
+def reassembled(attribute: str = "text") -> Column:
+    """The text of ``token_arrays`` built again from an attribute of its tokens."""
+    return F.concat("head", F.array_join(F.transform("tokens", lambda t: F.concat(t[attribute], t["blank"])), ""))
+
+
+def token_attributes(notes: DataFrame) -> DataFrame:
+    """X18 digests: per note the token count and digests of the LOWER and SHAPE texts put together
+    again with the original blanks (the lower-cased one equals lower(text))."""
+    t = token_arrays(notes.withColumn("_lower", F.md5(F.lower("note_text"))), keep=("_lower",))
+    lower = F.md5(reassembled("lower"))
+    return t.select("note_id", F.size("tokens").alias("n_tokens"), lower.alias("lower_md5"),
+                    (lower == F.col("_lower")).alias("lower_roundtrip"), F.md5(reassembled("shape")).alias("shape_md5"))
 
 
 def expand_to_tokens(spans: DataFrame, notes: DataFrame) -> DataFrame:
     """Spans expanded to token boundaries (a span starting or ending
     inside a letter or digit run grows to the whole run), as a character
     span aligned with alignment mode "expand"."""
-    cols = [c for c in spans.columns if c != "note_text"]
-    j = spans.select(*cols).join(notes.select("note_id", "note_text"), "note_id")
-    t, b, e = F.col("note_text"), F.col("offset_begin"), F.col("offset_end")
-    at_b = F.substring(t, b + 1, 1)
-    last = F.substring(t, e, 1)
-    rev = F.reverse(F.substring(t, 1, b))
-    rest = F.substring(t, e + 1, F.length(t))
-    back = (F.when(at_b.rlike(r"^\p{L}$"), F.length(F.regexp_extract(rev, r"^\p{L}+", 0)))
-            .when(at_b.rlike(r"^\p{N}$"), F.length(F.regexp_extract(rev, r"^\p{N}+", 0))).otherwise(F.lit(0)))
-    fwd = (F.when(last.rlike(r"^\p{L}$"), F.length(F.regexp_extract(rest, r"^\p{L}+", 0)))
-           .when(last.rlike(r"^\p{N}$"), F.length(F.regexp_extract(rest, r"^\p{N}+", 0))).otherwise(F.lit(0)))
-    return j.select(*cols, (b - back).alias("token_begin"), (e + fwd).alias("token_end"))
+    def rows(text, begins, ends):
+        starts, stops = sp.token_bounds(text)
+        for b, e in zip(begins, ends):
+            first = bisect_right(starts, b) - 1   # the token that the first character lies in, if any
+            last = bisect_left(stops, e)          # the token that the last character lies in, if any
+            grown = starts[first] if first >= 0 and stops[first] > b else b
+            yield grown, stops[last] if last < len(stops) and starts[last] < e else e
+
+    return sp.emit_beside(spans, notes, "token_begin int, token_end int", lambda: rows)

@@ -1,43 +1,50 @@
 """Dictionary entity extraction and rule qualification (X1-X4, X11, X19,
 P16-P18, P21).
 
-One pass over the notes: every note row yields its matches (with code-point
-offsets), each match is qualified against the preceding part of its sentence
-while the text is still in the row, and the text is dropped afterwards.  No
-shuffle, no per-token rows, no Python.  The lexicon and cue lists are
-configuration (bounded), compiled into one regex and one map literal.
+One pass over the notes: in the task that reads them, every text yields its
+matches (with code-point offsets) and what stands around them, and only those
+rows leave the task.  No shuffle and no per-token rows; the cost does not
+depend on the size of the lexicon (``functions.spans``).
 """
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow import config
-from cohortflow.functions import text as tx
+from cohortflow.functions import spans as sp
 from cohortflow.functions.exprs import normalize_label_value
+from cohortflow.operators.joins import checked_join
 
 ENTITY_COLS = ["note_id", "label_name", "label_value", "offset_begin", "offset_end",
                "lexical_variant", "negation", "hypothesis", "family"]
 
 
-def _norm_term(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, " +", " "))
+#: Kinds of cue words, in the order of the flags.
+CUE_KINDS = ("negation", "hypothesis", "family")
 
 
-def _lexicon_map(lexicon, fold: bool) -> Column:
-    kv = []
-    for term, label, value in lexicon:
-        key = " ".join(term.split()).lower()
-        if fold:
-            key = key.translate(str.maketrans(tx.ACCENTS_FROM, tx.ACCENTS_TO))
-        kv += [F.lit(key), F.struct(F.lit(label).alias("label_name"), F.lit(value).alias("status"))]
-    return F.create_map(*kv)
+def status_names(spark) -> DataFrame:
+    """label_name and its status labels by number (one row a comorbidity)."""
+    rows = [(label, {int(k): str(v) for k, v in smap.items()}) for _pipe, label, _sel, smap, *_ in config.COMORBIDITIES]
+    return spark.createDataFrame(rows, "label_name string, statuses map<int,string>")
+
+
+def with_status(ents: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """J11 + P16: entities (label_name, status_int) with the label of their status; unknown
+    statuses fall back to the status-1 label.  One configuration row a label, or the job fails."""
+    names = status_names(ents.sparkSession) if names is None else names
+    st = F.coalesce(F.col("statuses")[F.col("status_int")], F.col("statuses")[F.lit(1)])
+    out = checked_join(ents, names, ["label_name"], "left", "m:1", small=True, what="configuration rows")
+    return out.withColumn("status", st).drop("statuses")
 
 
 def status_label(label_name: Column, status: Column) -> Column:
-    """Status int -> label of the comorbidity; unknown statuses fall
-    back to the status-1 label (binary labels map to True/False)."""
+    """P16 as an expression over the fixed comorbidity list."""
     kv = []
     for _pipe, label, _sel, smap, *_ in config.COMORBIDITIES:
         for k, v in smap.items():
@@ -47,55 +54,71 @@ def status_label(label_name: Column, status: Column) -> Column:
                       m[F.concat_ws("|", label_name, F.lit("1"))])
 
 
-def extract_entities(notes: DataFrame, lexicon=None, qualify: bool = True, fold_accents: bool = False,
+@functools.lru_cache(maxsize=4)
+def _lexicon(terms: tuple, cues: tuple, normaliser: sp.Normaliser) -> sp.Lexicon:
+    """One automaton a worker, not a task."""
+    return sp.Lexicon(terms, dict(cues), normaliser)
+
+
+CONTEXT_FIELDS = "context_begin int, context_end int, context string, span_start int, span_end int"
+
+
+def window_of(kind: str, *sizes: int):
+    """``text -> (begin, end) -> bounds`` of a neighbourhood: ("sentence", before, after) or ("token", n)."""
+    def of(text: str):
+        if kind == "sentence":
+            bounds = sp.sentence_bounds(text)
+            return lambda b, e: sp.sentence_window(bounds, b, e, *sizes)
+        bounds = sp.token_bounds(text)
+        return lambda b, e: sp.token_window(bounds, b, e, *sizes)
+    if kind not in ("sentence", "token"):
+        raise ValueError(kind)
+    return of
+
+
+def extract_entities(notes: DataFrame, lexicon=None, qualify: bool = True, normaliser: sp.Normaliser = sp.Normaliser(),
                      keep: tuple[str, ...] = ("visit_occurrence_id",),
-                     negation_cues=None, hypothesis_cues=None, family_cues=None) -> DataFrame:
+                     negation_cues=None, hypothesis_cues=None, family_cues=None, context: tuple | None = None) -> DataFrame:
     """X1 (+X2, X3, P16, P17): one row per dictionary match.
 
-    notes: (note_id, note_text, *keep)
+    notes: (note_id, note_text, *keep); lexicon: (term, label_name, status) rows
     Output: note_id, *keep, label_name, label_value ("0"/"1"/"2"), status
     (label of the status), offset_begin, offset_end (code points, end
-    exclusive), lexical_variant, negation, hypothesis, family.
+    exclusive), lexical_variant, negation, hypothesis, family; with
+    ``context`` (as in ``window_of``) also the match's neighbourhood.  A
+    term of several lexicon rows yields a row for each.
     """
-    lexicon = lexicon or config.LEXICON
-    terms = [t for t, _, _ in lexicon]
-    text = F.col("note_text")
-    scan_text = tx.fold_accents(text) if fold_accents else text
-    pat = tx.words_pattern([t.translate(str.maketrans(tx.ACCENTS_FROM, tx.ACCENTS_TO)) if fold_accents else t
-                            for t in terms])
+    lexicon = [tuple(r) for r in (lexicon or config.LEXICON)]
+    cues = {"negation": negation_cues or config.NEGATION_CUES, "hypothesis": hypothesis_cues or config.HYPOTHESIS_CUES,
+            "family": family_cues or config.FAMILY_CUES}
+    terms, cue_rows = tuple(t for t, _, _ in lexicon), tuple((k, tuple(v)) for k, v in cues.items())
+
+    def make():
+        lex = _lexicon(terms, cue_rows, normaliser)
+        around = window_of(*context) if context else None
+
+        def rows(text):
+            found = lex.find(text)
+            window = around(text) if around and found else None
+            for begin, end, own, flags in found:
+                more = ()
+                if window:
+                    b, e = window(begin, end)
+                    more = (b, e, text[b:e], begin - b, end - b)
+                for n in own:
+                    yield (lexicon[n][1], int(lexicon[n][2]), begin, end, text[begin:end], *(flags if qualify else (None,) * 3), *more)
+        return rows
+
     keep = [k for k in keep if k in notes.columns]
-    base = notes.select("note_id", *keep, "note_text").filter(text.isNotNull())
-    # explode_outer + null filter: an inner explode would make Catalyst infer a
-    # size(array) > 0 filter below the projections, re-evaluating the whole
-    # span expression there with nothing shared.
-    spans = tx.with_match_spans(base, scan_text, pat, "_ms").select(
-        "note_id", *keep, "note_text", F.explode_outer("_ms").alias("m")).filter(F.col("m").isNotNull())
-    lex = _lexicon_map(lexicon, fold_accents)[_norm_term(F.col("m.text"))]
-    out = spans.select(
-        "note_id", *keep, "note_text",
-        lex["label_name"].alias("label_name"),
-        lex["status"].alias("status_int"),
-        F.col("m.begin").alias("offset_begin"),
-        F.col("m.end").alias("offset_end"),
-        F.substring(text, F.col("m.begin") + 1, F.col("m.end") - F.col("m.begin")).alias("lexical_variant"),
-    )
-    if qualify:
-        pre = tx.sentence_prefix(text, F.col("offset_begin"))
-        out = out.select(
-            "*",
-            tx.has_cue(pre, negation_cues or config.NEGATION_CUES).alias("negation"),
-            tx.has_cue(pre, hypothesis_cues or config.HYPOTHESIS_CUES).alias("hypothesis"),
-            tx.has_cue(pre, family_cues or config.FAMILY_CUES).alias("family"),
-        )
-    else:
-        out = out.select("*", *[F.lit(None).cast("boolean").alias(c) for c in ("negation", "hypothesis", "family")])
-    st = status_label(F.col("label_name"), F.col("status_int"))
+    fields = ("label_name string, status_int int, offset_begin int, offset_end int, lexical_variant string, "
+              "negation boolean, hypothesis boolean, family boolean")
+    found = sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
+                    fields + (", " + CONTEXT_FIELDS if context else ""), make)
+    out = with_status(found)
+    more = [f.split()[0] for f in CONTEXT_FIELDS.split(", ")] if context else []
     return out.select(
-        "note_id", *keep, "label_name",
-        normalize_label_value(st).alias("label_value"),
-        st.alias("status"),
-        "offset_begin", "offset_end", "lexical_variant", "negation", "hypothesis", "family",
-    )
+        "note_id", *keep, "label_name", normalize_label_value(F.col("status")).alias("label_value"), "status",
+        "offset_begin", "offset_end", "lexical_variant", *CUE_KINDS, *more)
 
 
 def to_keep(method: str = "rule_based", model_col: str | None = None) -> Column:
@@ -123,25 +146,29 @@ def clean_upsampled(df: DataFrame, rare=None) -> DataFrame:
 def sentences(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """X11: one row per sentence (note_id, sent_idx, sent_begin, sent_end, sentence)."""
     keep = [k for k in keep if k in notes.columns]
-    d = tx.with_match_spans(notes.select("note_id", *keep, "note_text"), F.col("note_text"), tx.SENTENCE_RE, "_ss")
-    return (d.select("note_id", *keep, F.posexplode_outer("_ss").alias("sent_idx", "s")).filter(F.col("s").isNotNull())
-            .select("note_id", *keep, "sent_idx", F.col("s.begin").alias("sent_begin"),
-                    F.col("s.end").alias("sent_end"), F.col("s.text").alias("sentence")))
 
+    def rows(text):
+        for i, (b, e) in enumerate(zip(*sp.sentence_bounds(text))):
+            yield i, b, e, text[b:e]
+
+    return sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
+                   "sent_idx int, sent_begin int, sent_end int, sentence string", lambda: rows)
 
-def regex_matches(notes: DataFrame, patterns: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Labelled regex matcher (``{label: [patterns]}``), one row per match
-    with offsets; patterns are Java regexes applied to the raw text."""
+
+def regex_matches(notes: DataFrame, patterns: dict[str, list[str]], keep: tuple[str, ...] = (),
+                  normaliser: sp.Normaliser = sp.Normaliser(lower=False)) -> DataFrame:
+    """Labelled regex matcher (``{label: [patterns]}``) over the normalised text (X2), one row
+    per match with offsets and wording of the original; every label is found in the same pass."""
     keep = [k for k in keep if k in notes.columns]
-    parts = []
-    for label, pats in patterns.items():
-        pat = "|".join(f"(?:{p})" for p in pats)
-        d = tx.with_match_spans(notes.select("note_id", *keep, "note_text"), F.col("note_text"), pat, "_rm")
-        parts.append(d.select("note_id", *keep, F.explode_outer("_rm").alias("m")).filter(F.col("m").isNotNull())
-                     .select("note_id", *keep, F.lit(label).alias("label"),
-                             F.col("m.begin").alias("offset_begin"), F.col("m.end").alias("offset_end"),
-                             F.col("m.text").alias("lexical_variant")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    joined = {label: "|".join(f"(?:{p})" for p in pats) for label, pats in patterns.items()}
+
+    def make():
+        compiled = {label: re.compile(p) for label, p in joined.items()}
+
+        def rows(text):
+            for label, b, e in sp.pattern_spans(compiled, normaliser, text):
+                yield label, b, e, text[b:e]
+        return rows
+
+    return sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
+                   "label string, offset_begin int, offset_end int, lexical_variant string", make)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortflow import config
 from cohortflow.functions.exprs import md5_unit
+from cohortflow.functions.spans import unaccented
 from cohortflow.operators import cohort, entities
 from cohortflow.plans.sqlmodel import inpatient_notes_sql, lit, str_list, values, with_model
 from cohortflow.sources.tables import Tables
@@ -108,10 +109,12 @@ ALL_TEXTS_SQL = """texts AS (
   FROM clinical_note)"""
 
 
-def ner_sql(texts_cte: str = "texts", extra=("visit_occurrence_id", "cse", "patient_type")) -> str:
-    singles = [(t.lower(), lab, v) for t, lab, v in config.LEXICON if len(t.split()) == 1]
-    doubles = [(t.split()[0].lower(), t.split()[1].lower(), lab, v) for t, lab, v in config.LEXICON
-               if len(t.split()) == 2]
+def ner_sql(texts_cte: str = "texts", extra=("visit_occurrence_id", "cse", "patient_type"), fold: bool = False,
+            lexicon=None) -> str:
+    """``fold``: the lexicon without accents (over texts that have none)."""
+    lexicon = [(unaccented(t) if fold else t, lab, v) for t, lab, v in lexicon or config.LEXICON]
+    singles = [(t.lower(), lab, v) for t, lab, v in lexicon if len(t.split()) == 1]
+    doubles = [(t.split()[0].lower(), t.split()[1].lower(), lab, v) for t, lab, v in lexicon if len(t.split()) == 2]
     return f"""tk AS (
   SELECT note_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i
   FROM (SELECT note_id, regexp_extract_all(note_text, '\\p{{L}}+|[^\\p{{L}}]+') AS l FROM {texts_cte})),

@@ -177,16 +177,10 @@ FROM lg GROUP BY label_name, metric"""
 ORACLES["compare_methods"] = _compare_sql()
 
 
+@register("gold_token_aligned_all_notes")
 @register("gold_token_aligned")
 def gold_token_aligned(spark, sf_dir):
-    """Gold spans (inside their note) expanded to token boundaries."""
-    t = tables(spark, sf_dir)
-    return _token_aligned(t, common.texts(t))
-
-
-@register("gold_token_aligned_all_notes")
-def gold_token_aligned_all_notes(spark, sf_dir):
-    """X7 over every note of the warehouse."""
+    """Gold spans of every note (inside it) expanded to token boundaries."""
     t = tables(spark, sf_dir)
     return _token_aligned(t, common.all_texts(t))
 
@@ -271,4 +265,4 @@ FROM norm WHERE gold_label_name IS NOT NULL AND label_value <> '0'"""
 
 ORACLES["gold_clean"] = _gold_clean_sql()
 
-ORACLES["gold_token_aligned_all_notes"] = common.over_all_notes(ORACLES["gold_token_aligned"])
+ORACLES["gold_token_aligned"] = ORACLES["gold_token_aligned_all_notes"] = common.over_all_notes(ORACLES["gold_token_aligned"])

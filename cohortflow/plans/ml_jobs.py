@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortflow import config
-from cohortflow.operators import context, labels, metrics, ml
+from cohortflow.functions.text import ACCENTS_FROM, ACCENTS_TO
+from cohortflow.operators import context, entities, labels, metrics, ml
 from cohortflow.plans import common
 from cohortflow.plans.eval_jobs import G4, Eval
 from cohortflow.plans.registry import ORACLES, register, tables
@@ -15,57 +16,60 @@ ENT = ["note_id", "label_name", "label_value", "offset_begin", "offset_end"]
 CTX_OUT = ENT + ["context_begin", "context_end", "context", "span_start", "span_end"]
 
 
+def _in_one_pass(spark, sf_dir, *kind):
+    """Entities of every note with their context, from the pass that finds them."""
+    return entities.extract_entities(common.all_texts(tables(spark, sf_dir)), context=kind).select(*CTX_OUT)
+
+
+@register("entity_contexts_all_notes")
 @register("entity_contexts")
 def entity_contexts(spark, sf_dir):
-    """Each rule-based entity with its sentence and one sentence on
+    """Each rule-based entity of every note with its sentence and one sentence on
     each side (clipped), and its offsets inside that context."""
-    t = tables(spark, sf_dir)
-    return _sentence_contexts(t, common.texts(t))
+    return _in_one_pass(spark, sf_dir, "sentence", 1, 1)
 
 
-@register("entity_contexts_all_notes")
-def entity_contexts_all_notes(spark, sf_dir):
-    """W6 / X8 over every note of the warehouse."""
-    t = tables(spark, sf_dir)
-    return _sentence_contexts(t, common.all_texts(t))
+@register("entity_token_contexts_all_notes")
+@register("entity_token_contexts")
+def entity_token_contexts(spark, sf_dir):
+    """Each rule-based entity of every note with 5 tokens on each side."""
+    return _in_one_pass(spark, sf_dir, "token", 5)
 
 
-def _sentence_contexts(t, tx):
-    e = common.rule_entities(t, tx).select(*ENT)
-    return context.sentence_context(e, tx, 1, 1).select(*CTX_OUT)
+#: Tokens that the contexts below leave out: everything that is neither letter nor digit, and single letters.
+EXCLUDED_TOKENS = r"[^\w]|_|[^\W\d_]"
 
 
-@register("entity_token_contexts")
-def entity_token_contexts(spark, sf_dir):
-    """Each rule-based entity with 5 tokens on each side."""
-    t = tables(spark, sf_dir)
-    return _token_contexts(t, common.texts(t))
+@register("entity_contexts_without_excluded")
+def entity_contexts_without_excluded(spark, sf_dir):
+    """W7 with excluded tokens (left out, not counted): 5 included tokens on each side."""
+    return _without_excluded(spark, sf_dir, False)
 
 
-@register("entity_token_contexts_all_notes")
-def entity_token_contexts_all_notes(spark, sf_dir):
-    """W7 / X8 over every note of the warehouse."""
-    t = tables(spark, sf_dir)
-    return _token_contexts(t, common.all_texts(t))
+@register("entity_contexts_counting_excluded")
+def entity_contexts_counting_excluded(spark, sf_dir):
+    """W7 with excluded tokens (left out, but counted): the included ones among 5 tokens on each side."""
+    return _without_excluded(spark, sf_dir, True)
 
 
-def _token_contexts(t, tx):
-    e = common.rule_entities(t, tx).select(*ENT)
-    return context.token_context(e, tx, 5).select(*CTX_OUT)
+def _without_excluded(spark, sf_dir, counted):
+    tx = common.all_texts(tables(spark, sf_dir))
+    e = entities.extract_entities(tx, qualify=False).select(*ENT)
+    return context.included_token_context(e, tx, EXCLUDED_TOKENS, 5, counted).select(*ENT, "context", "span_start", "span_end")
 
 
+@register("token_attributes_all_notes")
 @register("token_attributes")
 def token_attributes(spark, sf_dir):
-    """LOWER / SHAPE projections of the tokens of the evaluation corpus, re-assembled."""
-    t = tables(spark, sf_dir)
-    return context.token_attributes(common.texts(t))
+    """LOWER / SHAPE texts of every note put together again from its tokens, as digests."""
+    return context.token_attributes(common.all_texts(tables(spark, sf_dir)))
 
 
-@register("token_attributes_all_notes")
-def token_attributes_all_notes(spark, sf_dir):
-    """X18 over every note of the warehouse."""
-    t = tables(spark, sf_dir)
-    return context.token_attributes(common.all_texts(t))
+@register("token_rows")
+def token_rows(spark, sf_dir):
+    """The tokens of every note with their attributes (text, lower, norm, shape, following blanks)."""
+    t = context.token_arrays(common.all_texts(tables(spark, sf_dir)))
+    return t.select("note_id", F.posexplode("tokens").alias("i", "t")).select("note_id", "i", "t.*")
 
 
 def _gold_contexts(spark, sf_dir):
@@ -215,4 +219,45 @@ SELECT note_id, CAST(n_tokens AS INTEGER) AS n_tokens, md5(low) AS lower_md5, lo
        md5(shp) AS shape_md5 FROM pj"""
 
 for _name in ("entity_contexts", "entity_token_contexts", "token_attributes"):
-    ORACLES[_name + "_all_notes"] = common.over_all_notes(ORACLES[_name])
+    ORACLES[_name] = ORACLES[_name + "_all_notes"] = common.over_all_notes(ORACLES[_name])
+
+ORACLES["token_rows"] = with_model("clinical_note") + f""",
+pc AS (SELECT note_id, unnest(l) AS x, generate_subscripts(l, 1) AS k
+       FROM (SELECT note_id, regexp_extract_all(note_text, '\\s+|\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]') AS l FROM clinical_note)),
+po AS (SELECT *, sum(length(x)) OVER w - length(x) AS b, lead(x) OVER w AS nx, regexp_matches(x, '^\\s+$') AS sp
+       FROM pc WINDOW w AS (PARTITION BY note_id ORDER BY k))
+SELECT note_id, CAST(row_number() OVER (PARTITION BY note_id ORDER BY k) - 1 AS INTEGER) AS i, x AS text, lower(x) AS lower,
+       translate(lower(x), '{ACCENTS_FROM}', '{ACCENTS_TO}') AS norm, {_SHAPE} AS shape,
+       CASE WHEN regexp_matches(nx, '^\\s+$') THEN nx ELSE '' END AS blank, CAST(b AS INTEGER) AS "begin"
+FROM po WHERE NOT sp"""
+
+
+def _excluded_sql(counted: bool) -> str:
+    """Ranks by counting rows of the token table (the job counts by binary search)."""
+    near = "rn <= 5" if counted else "inc AND ri <= 5"
+    return with_model("clinical_note") + ",\n" + common.ALL_TEXTS_SQL + ",\n" + common.ner_sql("texts") + ",\n" + _TOK + f""",
+xt AS (SELECT note_id, p, b, e, NOT regexp_matches(p, '^([^\\p{{L}}\\p{{N}}]|\\p{{L}})$') AS inc,
+              coalesce(lead(b) OVER (PARTITION BY note_id ORDER BY b), n) AS nb
+       FROM ctk JOIN (SELECT note_id, CAST(length(note_text) AS INTEGER) AS n FROM texts) USING (note_id)),
+xe AS (SELECT note_id, label_name, label_value, offset_begin, offset_end FROM rb),
+xs AS (SELECT xe.*, t.p, t.b, t.nb, t.inc, t.e <= xe.offset_begin AS before
+       FROM xe JOIN xt t ON t.note_id = xe.note_id AND (t.e <= xe.offset_begin OR t.b >= xe.offset_end)),
+xr AS (SELECT *, row_number() OVER w AS rn, sum(CAST(inc AS INTEGER)) OVER w AS ri FROM xs
+       WINDOW w AS (PARTITION BY note_id, label_name, offset_begin, offset_end, before
+                    ORDER BY CASE WHEN before THEN -b ELSE b END ROWS UNBOUNDED PRECEDING)),
+xc AS (SELECT r.note_id, r.label_name, r.offset_begin, r.offset_end,
+              coalesce(string_agg(substr(t.note_text, b + 1, nb - b), '' ORDER BY b) FILTER (WHERE before), '') AS pre,
+              coalesce(string_agg(substr(t.note_text, b + 1, nb - b), '' ORDER BY b) FILTER (WHERE NOT before), '') AS post
+       FROM xr r JOIN texts t USING (note_id) WHERE inc AND {near} GROUP BY ALL),
+xn AS (SELECT xe.note_id, xe.label_name, xe.offset_begin, xe.offset_end, min(t.b) AS nxt
+       FROM xe JOIN xt t ON t.note_id = xe.note_id AND t.b >= xe.offset_end GROUP BY ALL)
+SELECT xe.*, coalesce(pre, '') || substr(x.note_text, xe.offset_begin + 1, coalesce(nxt, length(x.note_text)) - xe.offset_begin)
+             || coalesce(post, '') AS context,
+       CAST(length(coalesce(pre, '')) AS INTEGER) AS span_start,
+       CAST(length(coalesce(pre, '')) + xe.offset_end - xe.offset_begin AS INTEGER) AS span_end
+FROM xe JOIN texts x USING (note_id) LEFT JOIN xc USING (note_id, label_name, offset_begin, offset_end)
+LEFT JOIN xn USING (note_id, label_name, offset_begin, offset_end)"""
+
+
+ORACLES["entity_contexts_without_excluded"] = _excluded_sql(False)
+ORACLES["entity_contexts_counting_excluded"] = _excluded_sql(True)

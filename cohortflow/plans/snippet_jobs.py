@@ -9,6 +9,7 @@ from cohortflow.operators import snippets
 from cohortflow.plans import common
 from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import lit, with_model
+from cohortflow.session import checkpoint_dir
 
 SNIPPET_LENGTH = 100
 MAX_NOTES = 50
@@ -17,29 +18,20 @@ EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occu
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts")
 
 
-def _rule(spark, sf_dir):
+def _rule(spark, sf_dir, texts=common.texts):
+    """Texts and their entities, extracted once (the snippets need them several times)."""
     t = tables(spark, sf_dir)
-    tx = common.texts(t)
-    return tx, common.rule_entities(t, tx)
-
-
-def _rule_all(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    tx = common.all_texts(t)
-    return tx, common.rule_entities(t, tx)
+    tx = texts(t)
+    checkpoint_dir(spark)
+    return tx, common.rule_entities(t, tx).checkpoint(eager=True)
 
 
+@register("snippet_entities_all_notes")
 @register("snippet_entities")
 def snippet_entities(spark, sf_dir):
-    """Entities re-based into the concatenated snippets of their
+    """Entities of every note re-based into the concatenated snippets of their
     (label, note), with the re-cut variant (P27 check column)."""
-    return _snippet_entities(*_rule(spark, sf_dir))
-
-
-@register("snippet_entities_all_notes")
-def snippet_entities_all_notes(spark, sf_dir):
-    """X13 (entities) over every note of the warehouse."""
-    return _snippet_entities(*_rule_all(spark, sf_dir))
+    return _snippet_entities(*_rule(spark, sf_dir, common.all_texts))
 
 
 def _snippet_entities(tx, e):
@@ -50,16 +42,11 @@ def _snippet_entities(tx, e):
                       (F.col("new_lexical_variant") == F.col("lexical_variant")).alias("variant_ok"))
 
 
+@register("snippet_texts_all_notes")
 @register("snippet_texts")
 def snippet_texts(spark, sf_dir):
-    """One concatenated snippet text per (label, note)."""
-    return _snippet_texts(*_rule(spark, sf_dir))
-
-
-@register("snippet_texts_all_notes")
-def snippet_texts_all_notes(spark, sf_dir):
-    """X13 (texts) over every note of the warehouse."""
-    return _snippet_texts(*_rule_all(spark, sf_dir))
+    """One concatenated snippet text per (label, note), over every note."""
+    return _snippet_texts(*_rule(spark, sf_dir, common.all_texts))
 
 
 def _snippet_texts(tx, e):
@@ -78,6 +65,24 @@ def annotation_notes(spark, sf_dir):
     return notes.select("note_id", "old_note_id", "label_name", "title", "note_text")
 
 
+@register("annotation_ids")
+def annotation_ids(spark, sf_dir):
+    """The composite ids of the annotation set, built and parsed back."""
+    return snippets.note_id_parts(annotation_notes(spark, sf_dir)).select(
+        "note_id", "parsed_label", "parsed_patient_type", "parsed_note_id")
+
+
+@register("snippet_variant_mismatches")
+def snippet_variant_mismatches(spark, sf_dir):
+    """Snippets checked and counted by label: re-cut entities, and those whose wording differs (none may)."""
+    tx, e = _rule(spark, sf_dir, common.all_texts)
+    out, _ = snippets.concat_snippets(e.select("label_name", "note_id", "offset_begin", "offset_end", "lexical_variant"),
+                                      tx, SNIPPET_LENGTH)
+    bad = snippets.variant_mismatches(out).groupBy("label_name").agg(F.count(F.lit(1)).alias("bad"))
+    n = out.groupBy("label_name").agg(F.count(F.lit(1)).alias("entities"))
+    return n.join(bad, "label_name", "left").select("label_name", "entities", F.coalesce("bad", F.lit(0)).alias("mismatches"))
+
+
 @register("gold_note_infos")
 def gold_note_infos(spark, sf_dir):
     """Gold entities with a +-200 character snippet and the
@@ -140,6 +145,19 @@ se0 AS (SELECT r.label_name, r.note_id, r.offset_begin, r.offset_end FROM rb r
 SELECT label_name || '-inpatient-' || CAST(note_id AS VARCHAR) AS note_id, note_id AS old_note_id, label_name,
        label_name || ' - CR-HOSP' AS title, snippet_note_text AS note_text FROM txt"""
 
+ORACLES["annotation_ids"] = ORACLES["annotation_notes"].rsplit("SELECT label_name || ", 1)[0] + """
+SELECT note_id, regexp_extract(note_id, '^(.*)-([^-]*)-([^-]*)$', 1) AS parsed_label,
+       regexp_extract(note_id, '^(.*)-([^-]*)-([^-]*)$', 2) AS parsed_patient_type,
+       CAST(regexp_extract(note_id, '^(.*)-([^-]*)-([^-]*)$', 3) AS BIGINT) AS parsed_note_id
+FROM (SELECT label_name || '-inpatient-' || CAST(note_id AS VARCHAR) AS note_id FROM txt)"""
+
+ORACLES["snippet_variant_mismatches"] = common.over_all_notes(EVAL_PREFIX + """,
+se0 AS (SELECT label_name, note_id, offset_begin, offset_end, lexical_variant FROM rb)""" + _snip_sql("se0") + """
+SELECT s.label_name, count(*) AS entities,
+       count_if(strip_accents(substr(t.snippet_note_text, s.new_offset_begin + 1, s.new_offset_end - s.new_offset_begin))
+                <> strip_accents(s.lexical_variant)) AS mismatches
+FROM se s JOIN txt t USING (label_name, note_id) GROUP BY ALL""")
+
 ORACLES["gold_note_infos"] = EVAL_PREFIX + f""",
 gold AS ({common.method_sql("gold")})
 SELECT g.*, substr(t.note_text, greatest(0, g.offset_begin - 200) + 1,
@@ -148,4 +166,4 @@ SELECT g.*, substr(t.note_text, greatest(0, g.offset_begin - 200) + 1,
 FROM gold g JOIN texts t USING (note_id, visit_occurrence_id, cse, patient_type)"""
 
 for _name in ("snippet_entities", "snippet_texts"):
-    ORACLES[_name + "_all_notes"] = common.over_all_notes(ORACLES[_name])
+    ORACLES[_name] = ORACLES[_name + "_all_notes"] = common.over_all_notes(ORACLES[_name])

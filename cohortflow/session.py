@@ -23,29 +23,32 @@ DEFAULT_CONF = {
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "cohortflow",
               driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app)
+    """A session; a local one whose configuration names no ``spark.checkpoint.dir`` is built again with
+    a scratch folder for it (one machine: its folder is shared), since it cannot be set at run time."""
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
-    for k, v in conf.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
+
+    def build() -> SparkSession:
+        b = SparkSession.builder.master(master).appName(app)
+        for k, v in conf.items():
+            b = b.config(k, v)
+        return b.getOrCreate()
+
+    spark = build()
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.stop()
+        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
+        spark = build()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Where it is absent, a cluster gets an error; only a session whose master
-    is ``local[...]`` (tests, bench) gets a scratch folder of its own.
-    """
+    """The shared checkpoint folder named by the session's ``spark.checkpoint.dir``."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="cohortflow-ckpt-")  # one machine: its folder is shared
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d

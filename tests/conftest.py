@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,8 +13,5 @@ def spark():
     from cohortflow.session import checkpoint_dir, get_spark
 
     s = get_spark(master="local[*]", shuffle_partitions=8)
-    # tests only: a private checkpoint folder when the session names none
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortflow-test-ckpt-"))
     checkpoint_dir(s)
     yield s
