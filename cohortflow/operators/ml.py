@@ -12,7 +12,9 @@ cross-cohort matrix.
 
 from __future__ import annotations
 
+import functools
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from cohortflow import config
 from cohortflow.functions.exprs import md5_unit
 from cohortflow.operators.metrics import binary_metric
+from cohortflow.session import settled
 
 POS_WEIGHT = 0.39
 
@@ -66,6 +69,23 @@ def crossed_settings(groups: list[dict]) -> list[dict]:
     return [dict(itertools.chain.from_iterable(choice)) for choice in itertools.product(*together)]
 
 
+def with_features(ctx: DataFrame, num_features: int = 1 << 18, label_cols=("label", "weight", "to_keep")) -> DataFrame:
+    """Hashed term frequencies of the marked contexts, written once for all fits that share them; the
+    texts are read no more after this.  Every model weighs them by its own IDF (``classifier``)."""
+    tok = RegexTokenizer(inputCol="model_text", outputCol="tokens", pattern=r"[^\p{L}\[\]/]+", toLowercase=True)
+    tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=num_features)
+    keep = [c for c in ("note_id", "cse", "label_name", "label_value", *label_cols) if c in ctx.columns]
+    return tf.transform(tok.transform(ctx)).select(*keep, "features")
+
+
+def classifier(reg: float = 0.01, max_iter: int = 50, elastic: float = 0.0) -> Pipeline:
+    """The part of M1 after the hashed features: IDF and weighted logistic regression."""
+    idf = IDF(inputCol="features", outputCol="weighted")
+    lr = LogisticRegression(featuresCol="weighted", labelCol="label", weightCol="weight", regParam=reg,
+                            elasticNetParam=elastic, maxIter=max_iter)
+    return Pipeline(stages=[idf, lr])
+
+
 def logits_to_label(z: Column) -> Column:
     """M5: sigmoid then round half to even (0.5 -> 0)."""
     return F.rint(F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).cast("int")
@@ -110,40 +130,54 @@ def validate(model: PipelineModel, valid: DataFrame, label_col: str = "to_keep",
     return binary_metric(predict(model, valid), "ml_to_keep", label_col, by=by)
 
 
+def best_settings(table: DataFrame, n: int) -> DataFrame:
+    """The n settings of highest F1, ties by setting number."""
+    return table.orderBy(F.col("f1").desc(), "setting").limit(n)
+
+
 def grid_search(train: DataFrame, valid: DataFrame, groups: list[dict], keep_best: int | None = None):
     """M3 + T6: fit every setting, score on the validation split; returns
-    (settings table with f1/precision/recall, best model).  Each fit is a
-    distributed job; the grid is a small fixed list."""
-    rows = []
-    best = (None, -1.0)
-    train, valid = train.persist(), valid.persist()
-    for i, p in enumerate(crossed_settings(groups)):
-        m = fit(train, **p)
-        r = validate(m, valid).first()
-        rows.append((i, str(sorted(p.items())), float(r["f1"]), float(r["precision"]), float(r["recall"])))
-        if r["f1"] > best[1]:
-            best = (m, r["f1"])
-    train.unpersist()
-    valid.unpersist()
-    spark = train.sparkSession
-    table = spark.createDataFrame(rows, "setting int, params string, f1 double, precision double, recall double")
-    if keep_best is not None:
-        table = table.orderBy(F.col("f1").desc(), "setting").limit(keep_best)
-    return table, best[0]
+    (settings table with f1/precision/recall, best model).  The hashed features are
+    written once, the fits run side by side on them; the grid is a small fixed list."""
+    train, valid = settled(with_features(train)), settled(with_features(valid))
+    settings = crossed_settings(groups)
+
+    def one(p):
+        model = classifier(**p).fit(train)
+        z = vector_to_array("rawPrediction")[1]
+        scored = model.transform(valid).withColumn("ml_to_keep", logits_to_label(z) == 1)
+        return model, binary_metric(scored, "ml_to_keep", "to_keep").first()
+
+    with ThreadPoolExecutor(min(4, len(settings))) as pool:
+        done = list(pool.map(one, settings))
+    rows = [(i, str(sorted(p.items())), float(r["f1"]), float(r["precision"]), float(r["recall"])) for i, (p, (_, r)) in enumerate(zip(settings, done))]
+    table = train.sparkSession.createDataFrame(rows, "setting int, params string, f1 double, precision double, recall double")
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    return (table if keep_best is None else best_settings(table, keep_best)), done[best][0]
+
+
+def predictions_by_cohort(ctx: DataFrame, cohorts: list[str], overall: str, cohort_col: str = "cse", **params) -> DataFrame:
+    """M4 + M7: one model per training cohort (``overall``: all of them), each scored on every validation
+    note; one table with the training cohort as ``trained_on``, the labels as ``gold_to_keep`` and the
+    predictions as ``to_keep``.  The fits share features written once (``with_features``) and run side by side."""
+    train, valid = split(with_features(ctx))
+    train, valid = settled(train), settled(valid)
+
+    def one(c):
+        model = classifier(**params).fit(train if c == overall else train.filter(F.col(cohort_col) == c))
+        z = vector_to_array("rawPrediction")[1]
+        scored = model.transform(valid).withColumn("_keep", logits_to_label(z) == 1)
+        return scored.withColumnRenamed("to_keep", "gold_to_keep").select(
+            F.lit(c).alias("trained_on"), *[x for x in valid.columns if x not in ("to_keep", "features")], "gold_to_keep", F.col("_keep").alias("to_keep"))
+
+    with ThreadPoolExecutor(len(cohorts)) as pool:
+        parts = list(pool.map(one, cohorts))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def cross_cohort(ctx: DataFrame, cohorts: list[str], cohort_col: str = "cse", **params) -> DataFrame:
     """M4 + M7 + U9: one model per training cohort, each validated on every
     cohort's validation split; matrix validated_on x trained_on of F1."""
-    train, valid = split(ctx)
-    valid = valid.persist()   # scored by every cohort's model
-    parts = []
-    for c in cohorts:
-        m = fit(train.filter(F.col(cohort_col) == c), **params)
-        met = validate(m, valid, by=(cohort_col,))
-        parts.append(met.select(F.col(cohort_col).alias("validated_on"), F.lit(c).alias("trained_on"),
-                                F.col("f1"), "precision", "recall"))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return long.groupBy("validated_on").pivot("trained_on", cohorts).agg(F.first("f1"))
+    predicted = predictions_by_cohort(ctx, cohorts, "", cohort_col, **params)
+    met = binary_metric(predicted, "to_keep", "gold_to_keep", by=("trained_on", cohort_col))
+    return met.withColumnRenamed(cohort_col, "validated_on").groupBy("validated_on").pivot("trained_on", cohorts).agg(F.first("f1"))

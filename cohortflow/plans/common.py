@@ -11,7 +11,11 @@ per-method entity tables compared by the evaluation jobs:
   rule-based output standing in for chart review: ~10 % of entities
   dropped, ~5 % shifted by 1-3 characters (still overlapping), ~5 % moved
   50 characters away (a miss plus a false alarm), ~10 % with the keep flag
-  flipped.
+  flipped;
+* ``ml``         -- a fixed prediction table: dictionary NER, the rule's keep
+  flag flipped for an md5-keyed ~8 % of the entities.  It stands for a
+  model's output so that SQL can check all that follows the model; the jobs
+  named ``ml_*`` and ``*_ml`` take the predictions of a trained one.
 """
 
 from __future__ import annotations
@@ -73,11 +77,27 @@ def method_entities(t: Tables, method: str, base: DataFrame | None = None) -> Da
         out = e.withColumn("to_keep", F.lit(True))
     elif method == "gold":
         out = perturb_gold(e)
+    elif method == "ml":
+        u = md5_unit(F.lit("ml"), "note_id", "offset_begin", "label_name")
+        out = e.withColumn("to_keep", F.col("to_keep") != (u < 0.08))
     else:
         raise ValueError(method)
     return out.select(*ENT_COLS)
 
 
+#: Training cohorts of the models that are compared: all cohorts together, and each.
+TRAINED_ON = ["Overall", *config.CSE_PROJECTS]
+
+
+def fixed_predictions(gold: DataFrame) -> DataFrame:
+    """Keep flags of four models on the gold spans, one for each training cohort: the gold flag, flipped for
+    an md5-keyed share of the spans (12 %, and 8 % more outside the cohort that the model was trained on)."""
+    g = gold.withColumnRenamed("to_keep", "gold_to_keep").withColumn("trained_on", F.explode(F.array(*[F.lit(c) for c in TRAINED_ON])))
+    at_home = F.col("trained_on").isin("Overall") | (F.col("trained_on") == F.col("cse"))
+    u = md5_unit(F.lit("model"), "trained_on", "note_id", "offset_begin", "label_name")
+    return g.withColumn("to_keep", F.col("gold_to_keep") != (u < F.when(at_home, 0.12).otherwise(0.2)))
+
+
 # ---------------------------------------------------------------------------
 # SQL twins
 # ---------------------------------------------------------------------------
@@ -170,9 +190,26 @@ def method_sql(method: str) -> str:
           offset_begin + {shift} AS offset_begin, offset_end + {shift} AS offset_end,
           CASE WHEN u >= 0.20 AND u < 0.30 THEN NOT to_keep ELSE to_keep END AS to_keep
         FROM (SELECT *, {u} AS u, {sh} AS sh FROM rb) WHERE u >= 0.10"""
+    if method == "ml":
+        return f"SELECT {', '.join(c if c != 'to_keep' else f'to_keep <> ({_md5_unit_sql(ML_KEY)} < 0.08) AS to_keep' for c in ENT_COLS)} FROM rb"
     raise ValueError(method)
 
 
+ML_KEY = "'ml|' || CAST(note_id AS VARCHAR) || '|' || CAST(offset_begin AS VARCHAR) || '|' || label_name"
+
+
+def _md5_unit_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def fixed_predictions_sql(gold: str) -> str:
+    """Body of a CTE with the fixed predictions on the rows of ``gold``."""
+    key = "'model|' || trained_on || '|' || CAST(note_id AS VARCHAR) || '|' || CAST(offset_begin AS VARCHAR) || '|' || label_name"
+    return f"""SELECT * RENAME (to_keep AS gold_to_keep),
+       to_keep <> ({_md5_unit_sql(key)} < CASE WHEN trained_on IN ('Overall', cse) THEN 0.12 ELSE 0.2 END) AS to_keep
+  FROM (SELECT g.*, unnest({str_list(TRAINED_ON)}) AS trained_on FROM {gold} g)"""
+
+
 def over_all_notes(sql: str) -> str:
     """The SQL of a job over the corpus as that of the same job over every note."""
     corpus = with_model("person", "strata", "visit_occurrence", "condition_occurrence", "clinical_note") + ",\n" + TEXTS_SQL
