@@ -252,14 +252,14 @@ def places(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
     groups = max(1, -(-pieces.count() // group))
 
     def fill(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
+        g = g.sort_values(["length", "doc_id", "start", "ids_crc32", "piece"], ascending=[False, True, True, True, True])
         bins, offsets = first_fit_decreasing(g["length"].tolist(), length)
         out = g.drop(columns="piece_group")
         out["sequence_id"] = np.array(bins, dtype=np.int64) + (int(key[0]) << 32)
         out["offset"] = np.array(offsets, dtype=np.int64)
         return out
 
-    dealt = pieces.withColumn("piece_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("piece_group", F.pmod(F.xxhash64("piece"), F.lit(groups)))
     placed = dealt.groupBy("piece_group").applyInPandas(fill, COLUMNS + ", piece long, sequence_id long, offset long")
     return placed.withColumn("doc_id", id_out())
 

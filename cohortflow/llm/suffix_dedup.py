@@ -48,6 +48,8 @@ from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, PACKED, SENT, answ
 from cohortflow.llm.textops import anchors, mix
 
 LENGTH, Q = 50, 16
+#: Places of windows before an anchor travel as this: ``length`` - ``q`` must fit.
+PLACE = "<u2"
 _U = np.uint64
 
 
@@ -75,8 +77,8 @@ class Block:
         w = self.length - self.q
         pad = np.concatenate((np.zeros(w, np.uint8), self.raw, np.zeros(w, np.uint8)))
         ctx = np.lib.stride_tricks.sliding_window_view(pad, 2 * w + self.q)[self.at].copy()
-        cols = np.arange(ctx.shape[1], dtype=np.int16)
-        ctx[(cols < first[:, None]) | (cols >= (last.astype(np.int16) + self.length)[:, None])] = 0
+        cols = np.arange(ctx.shape[1], dtype=np.int32)
+        ctx[(cols < first[:, None]) | (cols >= (last.astype(np.int32) + self.length)[:, None])] = 0
         return ctx
 
 
@@ -103,7 +105,7 @@ def owned(block: Block) -> tuple[np.ndarray, np.ndarray]:
     first[has] = np.maximum(first[has], w + 1 - (block.at[has] - block.at[before[has]]))
     has = after >= 0  # windows end before its last byte
     last[has] = np.minimum(last[has], block.at[after[has]] - block.at[has] - 1)
-    return first.astype(np.uint8), np.maximum(last, -1).astype(np.int16)
+    return first.astype(np.uint16), np.maximum(last, -1).astype(np.int32)
 
 
 def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +143,16 @@ def send_contexts(length: int, q: int, buckets: int) -> Callable:
             uniq, back = np.unique(block.hash, return_inverse=True)
             on = shared(uniq, answers, buckets)[back] & (first <= last)
             block.keep(on)
-            rows += _entries(row["block"], block, first[on], last[on].astype(np.uint8), buckets)
+            rows += _entries(row["block"], block, first[on], last[on].astype(np.uint16), buckets)
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "packed"])
 
     return run
 
 
 def _context_key(ctx: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    pad = np.zeros((len(ctx), -(-(ctx.shape[1] + 2) // 8) * 8), np.uint8)
+    pad = np.zeros((len(ctx), -(-ctx.shape[1] // 8) * 8), np.uint8)
     pad[:, : ctx.shape[1]] = ctx
-    pad[:, ctx.shape[1]] = first
-    pad[:, ctx.shape[1] + 1] = last
-    key = np.zeros(len(ctx), _U)
+    key = mix((first.astype(_U) << _U(32)) | last.astype(_U))
     for col in np.ascontiguousarray(pad).view("<u8").T:
         key = mix(key ^ col)
     return key
@@ -180,7 +180,7 @@ def _entries(block_no: int, block: Block, first: np.ndarray, last: np.ndarray, b
     for s, e in zip(cut, np.append(cut[1:], len(by))):
         k = by[s:e]
         i = one[k]
-        raw = b"".join((block.at[i].astype("<i4").tobytes(), block.hash[i].tobytes(), low[k].tobytes(), high[k].tobytes(), first[i].tobytes(), last[i].tobytes(), ctx[i].tobytes()))
+        raw = b"".join((block.at[i].astype("<i4").tobytes(), block.hash[i].tobytes(), low[k].tobytes(), high[k].tobytes(), first[i].astype(PLACE).tobytes(), last[i].astype(PLACE).tobytes(), ctx[i].tobytes()))
         out.append((int(bucket[k[0]]), block_no, len(k), squeeze(raw)))
     return out
 
@@ -221,7 +221,7 @@ def judge(length: int, q: int) -> Callable:
         cols: list[list] = [[] for _ in range(7)]
         for block, n, packed in zip(g["block"], g["n"], g["packed"]):
             raw, at = unpack(packed), 0
-            for c, (kind, per) in enumerate((("<i4", 1), ("<u8", 1), ("<i8", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", width))):
+            for c, (kind, per) in enumerate((("<i4", 1), ("<u8", 1), ("<i8", 1), ("<i8", 1), (PLACE, 1), (PLACE, 1), ("u1", width))):
                 step = n * per * np.dtype(kind).itemsize
                 cols[c].append(np.frombuffer(raw[at : at + step], kind).reshape(n, per) if per > 1 else np.frombuffer(raw[at : at + step], kind))
                 at += step
@@ -266,7 +266,7 @@ def judge(length: int, q: int) -> Callable:
             # a run of equal minima ends where the next edge is
             ends = _run_ends(edge[entry[rows]])[r, o]
             val = got[entry[rows]][r, o]
-            packed = b"".join((place[rows][r].astype("<i4").tobytes(), o.astype("u1").tobytes(), ends.astype("u1").tobytes(), val.astype("<i8").tobytes()))
+            packed = b"".join((place[rows][r].astype("<i4").tobytes(), o.astype(PLACE).tobytes(), ends.astype(PLACE).tobytes(), val.astype("<i8").tobytes()))
             out.append((int(blocks[rows[0]]), zstandard.ZstdCompressor(level=1).compress(packed)))
         return pd.DataFrame(out, columns=["block", "answers"])
 
@@ -296,13 +296,13 @@ def cut_texts(length: int, q: int) -> Callable:
             cover = np.zeros(len(block.raw) + 1, np.int64)
             raws = [unpack(x) for x in answers["answers"]]
             if raws:
-                parts = [(np.frombuffer(r[: 4 * (n := len(r) // 14)], "<i4"), np.frombuffer(r[4 * n : 5 * n], "u1"), np.frombuffer(r[5 * n : 6 * n], "u1"), np.frombuffer(r[6 * n :], "<i8")) for r in raws]
+                parts = [(np.frombuffer(r[: 4 * (n := len(r) // 16)], "<i4"), np.frombuffer(r[4 * n : 6 * n], PLACE), np.frombuffer(r[6 * n : 8 * n], PLACE), np.frombuffer(r[8 * n :], "<i8")) for r in raws]
                 place, o1, o2, least = (np.concatenate(c) for c in zip(*parts))
                 first, last = owned(block)
                 reps = np.searchsorted(block.at, np.unique(place))
                 on = np.isin(block.hash, block.hash[reps]) & (first <= last)
                 block.keep(on)
-                first, last = first[on], last[on].astype(np.uint8)
+                first, last = first[on], last[on].astype(np.uint16)
                 ctx = block.contexts(first, last)
                 key_of = _context_key(ctx, first, last)
                 # instances of each representative's context

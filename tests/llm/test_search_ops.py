@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cohortflow.llm import bitsliced, hard_negatives, warc
+from cohortflow.llm import bitsliced, hard_negatives, packing, suffix_dedup, warc
 
 RNG = random.Random(11)
 
@@ -227,3 +227,20 @@ def test_products_are_exact():
     assert hard_negatives.products(a, b).tolist() == [[2**60 + 3, 2**41 + 21], [2**20 - 5, -33]]
     with pytest.raises(OverflowError):
         hard_negatives.products(np.array([[2.0**40]]), np.array([[2.0**30]]))
+
+
+# ---- earlier operators: groups of equal rows, long strings
+
+
+def test_equal_rows_are_packed_in_groups(spark):
+    rows_ = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    placed = packing.places(packing.pieces_of(rows_), group=500).selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()
+    assert len(placed) == 6 and max(r["count"] for r in placed) < 700
+
+
+@pytest.mark.parametrize("length", [271, 272, 416])
+def test_long_repeats(spark, length):
+    copy = "".join(RNG.choice("abcdefgh") for _ in range(800))
+    texts = [(1, "x" + copy + "y"), (2, "zz" + copy), (3, copy[: length - 1])]
+    got = {r["doc_id"]: r["n_removed"] for r in rows(suffix_dedup.repeats(spark.createDataFrame(texts, "doc_id long, text string"), length))}
+    assert got == {1: 0, 2: 800, 3: 0}
