@@ -188,11 +188,9 @@ class Lexicon:
     def key(self, term: str) -> str:
         return self.normaliser._replace(pollution=())(" ".join(term.split())).text
 
-    def find(self, text: str) -> list[tuple]:
-        """(begin, end, term numbers, one flag for each kind of cue)."""
-        norm = self.normaliser(text)
-        s, n = norm.text, len(norm.text)
-        terms, cues, ends = [], [], [-1]
+    def _occurrences(self, s: str) -> tuple[list, list, list]:
+        """Terms (start, -size, numbers), cues (end, start, kind) and sentence ends of a normalised text, whole words only."""
+        n, terms, cues, ends = len(s), [], [], [-1]
         for last, (size, own, kinds) in self.automaton.iter(s):
             if not size or s[last] in TERMINATORS:
                 ends.append(last)
@@ -203,21 +201,39 @@ class Lexicon:
                 terms.append((first, -size, own))
             for k in kinds:
                 cues.append((last + 1, first, k))
-        if not terms:
-            return []
-        terms.sort()
-        cues.sort()
-        out, free, c = [], 0, 0
-        latest = [-1] * len(self.kinds)  # of each kind, the latest start of a cue that ends before the term
-        for first, size, own in terms:
-            if first < free:
-                continue
-            free = first - size
-            while c < len(cues) and cues[c][0] <= first:
+        return sorted(terms), sorted(cues), ends
+
+    def _flagged(self, places: Iterable[int], cues: list, ends: list):
+        """For each place, in order, whether a cue of each kind ends before it in its sentence."""
+        c, latest = 0, [-1] * len(self.kinds)  # of each kind, the latest start of a cue that ends before the place
+        for at in places:
+            while c < len(cues) and cues[c][0] <= at:
                 latest[cues[c][2]] = max(latest[cues[c][2]], cues[c][1])
                 c += 1
-            sentence = ends[bisect_left(ends, first) - 1] + 1
-            out.append((*norm.original(first, free), own, [x >= sentence for x in latest]))
+            sentence = ends[bisect_left(ends, at) - 1] + 1
+            yield [x >= sentence for x in latest]
+
+    def find(self, text: str) -> list[tuple]:
+        """(begin, end, term numbers, one flag for each kind of cue)."""
+        norm = self.normaliser(text)
+        terms, cues, ends = self._occurrences(norm.text)
+        chosen, free = [], 0
+        for first, size, own in terms:
+            if first >= free:
+                free = first - size
+                chosen.append((first, free, own))
+        flags = self._flagged((b for b, _, _ in chosen), cues, ends)
+        return [(*norm.original(b, e), own, f) for (b, e, own), f in zip(chosen, flags)]
+
+    def flags(self, text: str, begins: list[int]) -> list[list[bool]]:
+        """The flags of given places of the text (in any order), as those of a term found there."""
+        norm = self.normaliser(text)
+        _, cues, ends = self._occurrences(norm.text)
+        order = sorted(range(len(begins)), key=begins.__getitem__)
+        places = [begins[i] if norm.start is None else bisect_left(norm.start, begins[i]) for i in order]
+        out: list = [None] * len(begins)
+        for i, f in zip(order, self._flagged(places, cues, ends)):
+            out[i] = f
         return out
 
 

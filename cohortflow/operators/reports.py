@@ -156,3 +156,44 @@ def cohort_table(stats: DataFrame, per_label: DataFrame, cses=None, patient_type
     long = a.unionByName(b).withColumn("col", F.concat_ws("_", "cse", "patient_type"))
     keys = [f"{c}_{p}" for c in cses for p in pts]
     return long.groupBy("metric_type", "metric").pivot("col", keys).agg(F.first("value"))
+
+
+# ---------------------------------------------------------------------------
+# Report tables of text cells
+# ---------------------------------------------------------------------------
+
+#: FIXED VALUES: order of the columns of the report tables by cohort (T5); rows go by label.
+COLUMN_ORDER = {"cse180032": 0, "cse200055": 2, "cse200093": 3, OVERALL: 99}
+PATIENT_TYPE_ORDER = list(config.PATIENT_TYPES)
+
+
+def ordered_cohorts(cses) -> list[str]:
+    """T5 for columns: cohorts in their domain order, unknown ones last."""
+    return sorted(cses, key=lambda c: (COLUMN_ORDER.get(c, 98), c))
+
+
+def _cells(long: DataFrame, rows: list[str], columns: list[str], missing: str) -> DataFrame:
+    """Rows x ``col`` of ``cell``, missing cells filled, in the domain order of the labels."""
+    wide = long.groupBy(*rows).pivot("col", columns).agg(F.first("cell")).na.fill(missing, columns)
+    return wide.orderBy(label_rank(), *rows)
+
+
+def condition_table(per_label: DataFrame, cses=None) -> DataFrame:
+    """U7 (second block): per label ``n (mean)``: documents with an entity and entities per document, one column
+    per cohort and patient type in domain order, "0" where there are none."""
+    cell = F.concat(F.col("n_docs_normal").cast("string"), F.lit(" ("), F.format_string("%.1f", F.floor(F.col("mean_entity_per_doc") * 10 + 0.5) / 10), F.lit(")"))
+    cell = F.when(F.col("mean_entity_per_doc").isNotNull(), cell)
+    long = per_label.select("label_name", F.concat_ws("_", "cse", "patient_type").alias("col"), cell.alias("cell"))
+    columns = [f"{c}_{p}" for c in ordered_cohorts(cses or config.CSE_PROJECTS + [OVERALL]) for p in PATIENT_TYPE_ORDER]
+    return _cells(long, ["label_name"], columns, "0")
+
+
+def cell_table(df: DataFrame, metrics: list[str], split_per_cse: bool = True) -> DataFrame:
+    """U8 (tables 2 and 3): per (label, value) one text column per cohort (or Overall alone) and metric, numbers with one
+    decimal, "-" where a metric is undefined or a cohort has no such label."""
+    cses = ordered_cohorts(config.CSE_PROJECTS) if split_per_cse else [OVERALL]
+    ids = ["label_name", "label_value", "cse"]
+    long = df.filter(F.col("cse").isin(cses)).select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(ids, metrics, "metric", "value")
+    long = long.select("label_name", "label_value", F.concat_ws("_", "cse", "metric").alias("col"), F.format_string("%.1f", F.floor(F.col("value") * 10 + 0.5) / 10).alias("_t"), "value")
+    long = long.withColumn("cell", F.when(F.col("value").isNotNull(), F.col("_t")))
+    return _cells(long, ["label_name", "label_value"], [f"{c}_{m}" for c in cses for m in metrics], "-")

@@ -69,6 +69,11 @@ def perturb_gold(e: DataFrame) -> DataFrame:
             .drop("_u", "_shift"))
 
 
+def fixed_ml_keep():
+    """The fixed ``ml`` keep flag from the rule's."""
+    return F.col("to_keep") != (md5_unit(F.lit("ml"), "note_id", "offset_begin", "label_name") < 0.08)
+
+
 def method_entities(t: Tables, method: str, base: DataFrame | None = None) -> DataFrame:
     e = rule_entities(t) if base is None else base
     if method == "rule_based":
@@ -78,8 +83,7 @@ def method_entities(t: Tables, method: str, base: DataFrame | None = None) -> Da
     elif method == "gold":
         out = perturb_gold(e)
     elif method == "ml":
-        u = md5_unit(F.lit("ml"), "note_id", "offset_begin", "label_name")
-        out = e.withColumn("to_keep", F.col("to_keep") != (u < 0.08))
+        out = e.withColumn("to_keep", fixed_ml_keep())
     else:
         raise ValueError(method)
     return out.select(*ENT_COLS)
@@ -191,13 +195,17 @@ def method_sql(method: str) -> str:
           CASE WHEN u >= 0.20 AND u < 0.30 THEN NOT to_keep ELSE to_keep END AS to_keep
         FROM (SELECT *, {u} AS u, {sh} AS sh FROM rb) WHERE u >= 0.10"""
     if method == "ml":
-        return f"SELECT {', '.join(c if c != 'to_keep' else f'to_keep <> ({_md5_unit_sql(ML_KEY)} < 0.08) AS to_keep' for c in ENT_COLS)} FROM rb"
+        return f"SELECT {', '.join(c if c != 'to_keep' else f'{fixed_ml_keep_sql()} AS to_keep' for c in ENT_COLS)} FROM rb"
     raise ValueError(method)
 
 
 ML_KEY = "'ml|' || CAST(note_id AS VARCHAR) || '|' || CAST(offset_begin AS VARCHAR) || '|' || label_name"
 
 
+def fixed_ml_keep_sql() -> str:
+    return f"(to_keep <> ({_md5_unit_sql(ML_KEY)} < 0.08))"
+
+
 def _md5_unit_sql(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
 

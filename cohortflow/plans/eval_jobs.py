@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from cohortflow.plans import eval_sql as es
 from cohortflow.plans.cohort_jobs import REGEX_MAP_SQL, _visit_pheno_sql
 from cohortflow.plans.registry import register, tables
 from cohortflow.plans.sqlmodel import with_model
-from cohortflow.session import checkpoint_dir
+from cohortflow.session import settled
 from cohortflow.sources import dims
 
 G4 = ["label_name", "label_value", "cse", "patient_type"]
@@ -29,8 +27,9 @@ G4 = ["label_name", "label_value", "cse", "patient_type"]
 class Eval:
     """Lazily built, shared pieces of one evaluation run."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, predicted: DataFrame | None = None):
         self.spark = spark
+        self.predicted = predicted
         self.t = tables(spark, sf_dir)
         self.texts = common.texts(self.t)
 
@@ -40,15 +39,16 @@ class Eval:
     # folder (reliable, lineage cut).  Both are narrow (no text).
     @cached_property
     def meta(self):
-        checkpoint_dir(self.spark)
-        return common.texts(self.t, with_text=False).checkpoint(eager=True)
+        return settled(common.texts(self.t, with_text=False))
 
     @cached_property
     def rule(self):
-        checkpoint_dir(self.spark)
-        return common.rule_entities(self.t, self.texts).checkpoint(eager=True)
+        return settled(common.rule_entities(self.t, self.texts))
 
     def ents(self, method):
+        """Entities with the method's keep flag; ``ml`` from the predictions given, else from the fixed ones."""
+        if method == "ml" and self.predicted is not None:
+            return self.predicted
         return common.method_entities(self.t, method, base=self.rule)
 
     def note_labels(self, method, group=("label_name", "cse", "patient_type")):
@@ -66,8 +66,8 @@ class Eval:
 
     def side_by_side(self, group=("label_name", "cse")):
         gl = self.note_labels("gold")
-        return labels.side_by_side(self.note_labels("no_qual"), gl, self.claim_labels(),
-                                   self.note_labels("rule_based"), label_type="no_qual", group_columns=group)
+        return labels.side_by_side(self.note_labels("ml"), gl, self.claim_labels(),
+                                   self.note_labels("rule_based"), label_type="ml", group_columns=group)
 
 
 @register("note_labels_rule_based")
@@ -281,12 +281,12 @@ SELECT {g}, {", ".join(num)} FROM fin"""
 
 def _side_sql(group=("label_name", "cse")):
     g = ", ".join(group)
-    return (_nl_sql("gold") + _nl_sql("no_qual") + _nl_sql("rule_based") + _claim_sql() + f""",
-su AS (SELECT {g}, note_id, source FROM nl_no_qual WHERE patient_type = 'inpatient'
+    return (_nl_sql("gold") + _nl_sql("ml") + _nl_sql("rule_based") + _claim_sql() + f""",
+su AS (SELECT {g}, note_id, source FROM nl_ml WHERE patient_type = 'inpatient'
        UNION ALL SELECT {g}, note_id, source FROM nl_gold WHERE patient_type = 'inpatient'
        UNION ALL SELECT {g}, note_id, source FROM nl_rule_based WHERE patient_type = 'inpatient'
        UNION ALL SELECT {g}, note_id, source FROM nl_icd10),
-side AS (SELECT {g}, note_id, bool_or(source = 'gold') AS gold, bool_or(source = 'no_qual') AS nlp,
+side AS (SELECT {g}, note_id, bool_or(source = 'gold') AS gold, bool_or(source = 'ml') AS nlp,
                 bool_or(source = 'rule_based') AS rule_based, bool_or(source = 'icd10') AS claim
          FROM su GROUP BY {g}, note_id)""")
 
@@ -392,5 +392,3 @@ FROM side WHERE gold GROUP BY label_name, cse"""
 
 
 _install_sql()
-
-__all__ = ["reduce", "metrics"]

@@ -12,8 +12,10 @@ from cohortflow.plans import common
 from cohortflow.plans.eval_jobs import G4, Eval
 from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import with_model
+from cohortflow.session import settled
 from cohortflow.sources import dims
 
+
 def validation_notes(t, patient_type="inpatient", sample: int | None = None):
     """X15 (T3, P4, P5): notes of the test cohort of one class, long enough;
     a seeded sample of them only if ``sample`` says how many."""
@@ -38,19 +40,17 @@ CLAIM_KEPT = [c for c in phenotype.COMORBS if c.startswith(("AIDS", "hemi"))]
 
 @register("validation_visits")
 def validation_visits(spark, sf_dir):
-    """X16 (J6, J7, J8, J9, P22, P23, U2): visits of the annotated notes with
+    """X16 (J6, J7, J9, P23, U2; J8 and P22 are ``enriched_annotation_notes``): visits of the annotated notes with
     their claim phenotypes; visits without a phenotype are appended with
     ``0:Absence``; only the rare labels keep their claim value."""
     t = tables(spark, sf_dir)
-    tx = common.texts(t)
-    ents = common.rule_entities(t, tx).filter(F.col("patient_type") == "inpatient") \
-        .select("label_name", "note_id", "offset_begin", "offset_end")
-    ids = ents.select("note_id", F.lit("inpatient").alias("patient_type")).distinct()
+    ids = Eval(spark, sf_dir).rule.filter(F.col("patient_type") == "inpatient").select("note_id", "patient_type").distinct()
     test_ids = cohort.split(cohort.stratification(t), "test")
     allv = cohort.visits(t, "inpatient", ids=test_ids)
     notes = cohort.notes(t, test_ids).drop("note_text").join(ids, "note_id")                       # J6
     notes = notes.join(allv.select("person_id", "visit_occurrence_id", "visit_start_datetime"),
                        ["person_id", "visit_occurrence_id"], "left")
+    notes = settled(notes)  # ids and dates of the annotated notes: read below three times
     cond = cohort.conditions(t).join(notes.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi")  # J7
     _, sel_visits = cohort.select_notes(t, "inpatient", ids=test_ids,
                                         visits_df=cohort.coded_visits(allv, cond))

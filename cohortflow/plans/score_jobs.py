@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from cohortflow import config
 from cohortflow.operators import cohort, entities, labels, phenotype, scores
+from cohortflow.operators.joins import one_per_key
 from cohortflow.plans import common
 from cohortflow.plans import eval_sql as es
 from cohortflow.plans.cohort_jobs import REGEX_MAP_SQL, _visit_pheno_sql
 from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import MODEL, inpatient_notes_sql, values, with_model
 from cohortflow.sources import dims
+from cohortflow.session import settled
 from cohortflow.sources import tables as src
 
 COMORBS = phenotype.COMORBS
@@ -46,23 +48,38 @@ def mentioned_scores(spark, sf_dir):
         "reported_score", *PHENO_COLS)
 
 
-def _score_inputs(spark, sf_dir):
+def _score_inputs(spark, sf_dir, revision="quan"):
     t = tables(spark, sf_dir)
-    mv = mentioned_visits(spark, sf_dir)
     strata = cohort.stratification(t).select("person_id", "cse")
-    mv = mv.join(strata, "person_id")
+    mv = mentioned_visits(spark, sf_dir).join(strata, "person_id")
+    # Notes and visits are told apart by (note, visit), and a visit has one note here, or the job fails
+    mv = one_per_key(mv.dropDuplicates(["note_id", "visit_occurrence_id"]), ["visit_occurrence_id"], "notes")
+    mv = settled(mv)
     notes = mv.select("note_id", "visit_occurrence_id", "cse", "note_text")
     ents = entities.extract_entities(notes, keep=("visit_occurrence_id", "cse"))
-    ents = ents.withColumn("to_keep", entities.to_keep("rule_based"))
+    ents = ents.withColumn("to_keep", entities.to_keep("rule_based")).withColumn("to_keep", common.fixed_ml_keep())
     ml = labels.note_labels(ents, "ml", ("label_name", "cse"), with_aggregated=False)
     vsev = phenotype.visit_severity(cohort.conditions(t), dims.icd10_codes(spark), via_regex=True)
     icd = labels.claim_labels(vsev.join(mv.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi"),
                               notes, with_aggregated=False)
     cols = ["cse", "note_id", "source", "label_name", "label_value"]
-    sc = scores.charlson_scores(ml.select(*cols).unionByName(icd.select(*cols)), spark)
+    sc = scores.charlson_scores(ml.select(*cols).unionByName(icd.select(*cols)), spark, revision)
     return sc, mv
 
 
+@register("charlson_scores_base")
+def charlson_scores_base(spark, sf_dir):
+    """A25 / A26 with the weights of the base revision."""
+    sc, _ = _score_inputs(spark, sf_dir, "base")
+    return sc
+
+
+@register("score_mentions")
+def score_mentions(spark, sf_dir):
+    """P6 + X6: every note that reports a score, with the score's name and value."""
+    return scores.score_mentions(cohort.notes(tables(spark, sf_dir))).select("note_id", "visit_occurrence_id", "score_name", "score_value")
+
+
 @register("charlson_scores")
 def charlson_scores(spark, sf_dir):
     """A25 (+A26 weights, J16): Charlson score per (cse, note, source)."""
@@ -139,7 +156,7 @@ WEIGHTS_SQL = values(dims.charlson_weight_rows("quan"), ["label_name", "family",
 SCORES_SQL = MV_SQL + """,
 c5t AS (SELECT m.note_id, m.visit_occurrence_id, st.cse, m.note_text FROM mv m JOIN strata st USING (person_id)),
 """ + common.ner_sql("c5t", extra=("visit_occurrence_id", "cse")) + f""",
-ml0 AS (SELECT label_name, cse, note_id, max(label_value) AS label_value FROM rb WHERE to_keep GROUP BY ALL),
+ml0 AS (SELECT label_name, cse, note_id, max(label_value) AS label_value FROM rb WHERE {common.fixed_ml_keep_sql()} GROUP BY ALL),
 ml1 AS ({es.overall("ml0")}),
 ml AS (SELECT cse, note_id, 'ml' AS source, label_name, label_value FROM ml1),
 cfg AS ({MODEL["comorb_cfg"]}),
@@ -165,6 +182,12 @@ wide2 AS (SELECT cse, note_id,
 deltas AS (SELECT *, -(icd10 - ml) AS claim_vs_nlp, -(reported - ml) AS reported_vs_nlp FROM wide2)"""
 
 ORACLES["charlson_scores"] = SCORES_SQL + "\nSELECT cse, note_id, source, score FROM sc"
+ORACLES["charlson_scores_base"] = ORACLES["charlson_scores"].replace(
+    WEIGHTS_SQL, values(dims.charlson_weight_rows("base"), ["label_name", "family", "label_value", "weight"]))
+ORACLES["score_mentions"] = with_model("clinical_note") + f"""
+SELECT DISTINCT note_id, visit_occurrence_id, 'charlson' AS score_name, v AS score_value
+FROM (SELECT *, TRY_CAST(regexp_extract(lower(note_text), '{config.SCORE_KEYWORD}[^0-9]{{0,{config.SCORE_WINDOW}}}([0-9]+)', 1) AS BIGINT) AS v
+      FROM clinical_note WHERE regexp_matches(lower(note_text), '{config.SCORE_KEYWORD}')) WHERE v IS NOT NULL"""
 ORACLES["charlson_deltas"] = SCORES_SQL + "\nSELECT * FROM deltas"
 ORACLES["charlson_delta_stats"] = SCORES_SQL + """
 SELECT cse, count(*) AS n,

@@ -63,12 +63,16 @@ def latest_snapshots(spark: SparkSession, root: str, data_type: str, cse: str |
     return df.join(F.broadcast(last), ["cse", "snapshot"], "left_semi")
 
 
+#: Texts hold line ends and quotes: every field is quoted, quotes are doubled.
+CSV = {"header": "true", "multiLine": "true", "quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+
+
 def export_per_cohort(annotations: DataFrame, texts: DataFrame, out: str) -> None:
     """Annotations joined with their note texts, one CSV folder per cohort."""
     annotations.join(texts.select("note_id", "cse", "note_text"), ["note_id", "cse"]) \
-        .write.mode("overwrite").option("header", True).partitionBy("cse").csv(out)
+        .write.mode("overwrite").options(**CSV).partitionBy("cse").csv(out)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("header", True)
+    r = spark.read.options(**CSV)
     return r.schema(schema).csv(path) if schema else r.option("inferSchema", False).csv(path)
