@@ -9,8 +9,10 @@ labelled rows (``ROWS_PER_LANGUAGE``), and each round sums the expected piece
 counts of a forward and a backward pass over all distinct words.  Single
 letters outside the vocabulary have a small fixed probability.
 
-A word is a run of letters; one longer than ``LONGEST`` letters is scored in
-parts.  Words repeat, so workers remember the likelihoods of frequent ones.
+A word is a run of letters, of any length.  Words repeat, so workers remember
+the likelihoods of frequent ones.  One longer than ``LONGEST`` letters goes through
+the same forward sum on its own, with only the last places kept (as many as the
+longest piece has letters), and is scored whole; such words are not learnt from.
 
 Nulls and edge cases: a text that is null or has no letter is ``und`` with
 score 0.  Equal likelihoods go to the first language in sort order.  Rows that
@@ -37,6 +39,7 @@ ROWS_PER_LANGUAGE = 1000
 ROUNDS = 3
 #: Most languages a model may have: bounds what is broadcast (pieces x languages).
 MOST_LANGUAGES = 256
+#: Longest words that are learnt from and remembered.
 LONGEST = 32
 FLOOR = 1e-7
 MARK = "▁"
@@ -58,42 +61,52 @@ def vocabulary(path: str) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, cut at LONGEST letters; the first part has the mark of a word's start."""
-    out = []
-    for w in RUN.findall(text.lower()):
-        if len(w) < LONGEST and w.isalpha():
-            out.append(MARK + w)
-        else:
-            w = "".join(c for c in w if c.isalpha())
-            out += [(MARK if s == 0 else "") + w[s : s + LONGEST] for s in range(0, len(w), LONGEST)]
-    return out
+    """Lower-cased runs of letters, each with the mark of a word's start."""
+    return [MARK + (w if w.isalpha() else "".join(c for c in w if c.isalpha())) for w in RUN.findall(text.lower())]
+
+
+_automata: list[tuple] = []
+
+
+def automaton_of(pieces: dict[str, int]):
+    """Aho-Corasick automaton of the pieces (number * 64 + letters), built once a worker."""
+    for own, auto in _automata:
+        if own is pieces:
+            return auto
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for p, n in pieces.items():
+        auto.add_word(p, (n << 6) + len(p))
+    auto.make_automaton()
+    _automata[:] = [*_automata[-1:], (pieces, auto)]
+    return auto
 
 
 class Lattice:
     """All pieces that match somewhere in some words, as arrays by end place."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        self.sizes = np.array([len(w) for w in words])
-        unknown = len(pieces)  # a letter, or the mark, that is no piece
-        word, start, end, piece = [], [], [], []
-        get = pieces.get
-        for k, w in enumerate(words):
-            n = len(w)
-            for s in range(n):
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    p = get(w[s:e])
-                    if p is None:
-                        if e > s + 1:
-                            continue
-                        p = unknown
-                    word.append(k)
-                    start.append(s)
-                    end.append(e)
-                    piece.append(p)
-        self.word, self.start, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
-        order = np.argsort(self.end, kind="stable")
-        self.by_end = np.split(order, np.searchsorted(self.end[order], np.arange(2, int(self.sizes.max(initial=1)) + 1)))
+    def __init__(self, words: list[str], pieces: dict[str, int]):
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
         self.n = len(words)
+        offset = np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        of = np.repeat(np.arange(self.n), self.sizes + 1)  # the word of each letter (and of the gap after it)
+        found = list(automaton_of(pieces).iter("\n".join(words))) if pieces and words else []
+        last, value = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        size, piece = value & 63, value >> 6
+        alone = np.ones(len(of), bool)
+        alone[last[size == 1]] = False
+        alone[offset + self.sizes] = False
+        spare = np.flatnonzero(alone)  # a letter, or the mark, that is no piece
+        end = np.concatenate((last, spare)) + 1
+        start = end - np.concatenate((size, np.ones(len(spare), np.int64)))
+        piece = np.concatenate((piece, np.full(len(spare), len(pieces))))
+        word = of[start]
+        start, end = start - offset[word], end - offset[word]
+        order = np.lexsort((start, word, end))
+        self.word, self.start, self.end, self.piece = word[order], start[order], end[order], piece[order]
+        cuts = np.searchsorted(self.end, np.arange(2, int(self.sizes.max(initial=1)) + 1))
+        self.by_end = np.split(np.arange(len(order)), cuts)
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """alpha[word, place, language]: sum over the segmentations of the first letters."""
@@ -131,13 +144,29 @@ class Model:
         self.longest = max(map(len, pieces), default=1)
 
     def log_words(self, words: list[str]) -> np.ndarray:
-        return np.log(Lattice(words, self.pieces, self.longest).total(self.prob))
+        return np.log(Lattice(words, self.pieces).total(self.prob))
+
+    def log_long(self, word: str) -> np.ndarray:
+        """The same sum for a word of any length: only the last ``longest`` places are kept, scaled to their greatest."""
+        alpha, scale = [np.ones(self.prob.shape[1])], np.zeros(self.prob.shape[1])
+        get, unknown = self.pieces.get, len(self.pieces)
+        for e in range(1, len(word) + 1):
+            now = np.zeros(self.prob.shape[1])
+            for back, before in enumerate(reversed(alpha), 1):
+                piece = get(word[e - back : e], unknown if back == 1 else None)
+                if piece is not None:
+                    now = now + before * self.prob[piece]
+            alpha = [*alpha[-(self.longest - 1) :], now] if self.longest > 1 else [now]
+            if e % 16 == 0:
+                top = np.maximum.reduce(alpha)
+                alpha = [a / top for a in alpha]
+                scale += np.log(top)
+        return np.log(alpha[-1]) + scale
 
 
 def fit_on(docs: DataFrame, path: str, rows: int = ROWS_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """EM on the word counts of about ``rows`` rows of each language, chosen by a hash of the id."""
     pieces = vocabulary(path)
-    longest = max(map(len, pieces))
     have = docs.select("doc_id", "lang").filter(in_train() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in have.groupBy("lang").count().sort("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -153,7 +182,7 @@ def fit_on(docs: DataFrame, path: str, rows: int = ROWS_PER_LANGUAGE, rounds: in
         for b in batches:
             c: Counter = Counter()
             for lang, text in zip(b["lang"], b["text"]):
-                c.update((lang, w) for w in words_of(text))
+                c.update((lang, w) for w in words_of(text) if len(w) <= LONGEST)
             yield pd.DataFrame([(lang, w, n) for (lang, w), n in c.items()], columns=["lang", "word", "n"])
 
     place = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
@@ -176,7 +205,7 @@ def fit_on(docs: DataFrame, path: str, rows: int = ROWS_PER_LANGUAGE, rounds: in
                     for i, ns in enumerate(some["ns"]):
                         for r in ns:
                             counts[i, r["k"]] += r["n"]
-                    total += Lattice(some["word"].tolist(), pieces, longest).expected(prob, counts)
+                    total += Lattice(some["word"].tolist(), pieces).expected(prob, counts)
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -187,11 +216,12 @@ def fit_on(docs: DataFrame, path: str, rows: int = ROWS_PER_LANGUAGE, rounds: in
     return Model(pieces, languages, prob)
 
 
-
 def predict_texts(model: Model, texts: list[str], known: dict[str, int], table_: list[np.ndarray]) -> Iterator[tuple[str, float]]:
     """Language and posterior of each text.  ``known`` numbers the words whose
     log likelihoods fill ``table_`` (one array that grows by doubling)."""
     split = [words_of(t) for t in texts]
+    long = [[w for w in ws if len(w) > LONGEST] for ws in split]
+    split = [[w for w in ws if len(w) <= LONGEST] if lo else ws for ws, lo in zip(split, long)]
     new = list({w for ws in split for w in ws if w not in known})
     if len(known) + len(new) > CACHE:
         known.clear()
@@ -206,11 +236,13 @@ def predict_texts(model: Model, texts: list[str], known: dict[str, int], table_:
         at = len(known)
         table_[0][at:need] = logs
         known.update(zip(new, range(at, need)))
-    for ws in split:
-        if not ws or not model.languages:
+    for ws, lo in zip(split, long):
+        if not (ws or lo) or not model.languages:
             yield "und", 0.0
             continue
         s = table_[0][[known[w] for w in ws]].sum(axis=0, dtype=np.float64)
+        for w in lo:
+            s = s + model.log_long(w)
         best = int(s.argmax())
         yield model.languages[best], float(1 / np.exp(s - s[best]).sum())
 

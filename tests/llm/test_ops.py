@@ -286,7 +286,7 @@ def test_language_forward():
         return total
 
     words = ["▁ab", "▁abab", "▁", "bcab", "▁aabba"]
-    lat = langid.Lattice(words, pieces, 3)
+    lat = langid.Lattice(words, pieces)
     assert np.allclose(lat.total(prob), [brute(w) for w in words])
     # expected counts: the gradient of the log likelihood in the log probabilities
     n = np.ones((len(words), 2))

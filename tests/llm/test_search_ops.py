@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cohortflow.llm import bitsliced, hard_negatives, packing, suffix_dedup, warc
+from cohortflow.llm import bitsliced, hard_negatives, langid, packing, suffix_dedup, warc
 
 RNG = random.Random(11)
 
@@ -244,3 +244,37 @@ def test_long_repeats(spark, length):
     texts = [(1, "x" + copy + "y"), (2, "zz" + copy), (3, copy[: length - 1])]
     got = {r["doc_id"]: r["n_removed"] for r in rows(suffix_dedup.repeats(spark.createDataFrame(texts, "doc_id long, text string"), length))}
     assert got == {1: 0, 2: 800, 3: 0}
+
+
+def test_long_words_are_scored_whole(spark):
+    """The rolling sum equals the lattice where both apply, and the exact sum over all segmentations beyond."""
+    from fractions import Fraction
+
+    pieces = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aab", langid.MARK + "a"])}
+    prob = np.array([[0.2, 0.1], [0.1, 0.3], [0.3, 0.05], [0.05, 0.2], [0.1, 0.1], [0.2, 0.2], [1e-7, 1e-7]])
+    model = langid.Model(pieces, ["x", "y"], prob)
+
+    def exact(word):
+        out = []
+        for k in range(2):
+            ways = [Fraction(1)]
+            for e in range(1, len(word) + 1):
+                total = Fraction(0)
+                for s in range(max(0, e - 3), e):
+                    p = pieces.get(word[s:e], len(pieces) if e == s + 1 else None)
+                    total += ways[s] * Fraction(prob[p][k]) if p is not None else 0
+                ways.append(total)
+            top = ways[-1]
+            out.append(math.log(top.numerator) - math.log(top.denominator))
+        return out
+
+    for n in (1, 5, 31, 33, 200):
+        word = langid.MARK + "".join(RNG.choice("abc") for _ in range(n))
+        assert np.allclose(model.log_long(word), exact(word), rtol=1e-12)
+        if n < 32:
+            assert np.allclose(model.log_words([word])[0], exact(word), rtol=1e-12)
+    texts = ["ab " * 3 + "a" * 40_000, "b" * 33, "ab", "", "12", "É" * 64]
+    got = list(langid.predict_texts(model, texts, {}, [np.zeros((1 << 14, 2), np.float32)]))
+    assert [g[0] for g in got[3:5]] == ["und", "und"] and got[0][0] == "x" and got[1][0] == "y"
+    tie = langid.Model(pieces, ["x", "y"], np.repeat(prob[:, :1], 2, axis=1))
+    assert list(langid.predict_texts(tie, ["ab", "a" * 50], {}, [np.zeros((1 << 14, 2), np.float32)])) == [("x", 0.5), ("x", 0.5)]
