@@ -13,12 +13,13 @@ Nulls and edge cases: a null text counts as empty; all empty texts are equal.
 A null doc_id comes after every other.  Rows that repeat doc_id and text are
 told apart by their locator, so one of them stays.  ``keep_first`` decides row
 by row, too: one row of each text stays, also where a doc_id is null or
-repeated.  An empty table gives an empty result.  Columns other than doc_id and
+repeated.  A state may be kept for later calls (``dedup_next``).  An empty table gives an empty result.  Columns other than doc_id and
 text are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,15 +80,41 @@ def run_state(spark: SparkSession, source: str, schema, state_dir: str) -> DataF
 
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, digest."""
-    return _judged(docs, digest, state_dir).drop("locator")
+    """One row per input row: doc_id, keep_id, group_size, kept, digest.  With ``state_dir``, a shared folder that
+    calls after one another name, the rows are judged among all rows of the calls so far (``dedup_next``)."""
+    return dedup_next(docs, state_dir, digest) if state_dir else _judged(docs, digest).drop("locator")
+
+
+def dedup_next(docs: DataFrame, state_dir: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows of ``docs`` against all rows that earlier calls brought into the state: doc_id, keep_id, group_size,
+    kept, digest.  The state's folder holds its input (``rows``: digests and normalised texts, found again by the
+    locator, which no two calls share), the stream's checkpoint and the stores (``state``).  A row that an
+    earlier call kept may give way to a later one that goes before it; its own verdict was that of its time."""
+    spark, call = docs.sparkSession, uuid.uuid4().hex
+    source = f"{state_dir}/rows"
+    at = F.concat(F.lit(call + ":"), F.monotonically_increasing_id().cast("string"))
+    norm = docs.select("doc_id", normalised().alias("norm"), F.char_length(whole_text()).alias("points"), at.alias("locator"))
+    rows = norm.select("doc_id", digest(F.col("norm")).alias("digest"), "points", "locator", "norm")
+    rows.write.mode("append").parquet(source)
+    state = staged(run_state(spark, source, rows.drop("norm").schema, f"{state_dir}/state"), "dedup-groups")
+    stored = spark.read.schema(rows.schema).parquet(source)
+    hits = stored.join(state.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    torn = staged(hits.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("z")).filter("a <> z").select("digest"), "dedup-torn")
+    mine = F.col("locator").startswith(call)
+    verdict = ["doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.at")).alias("kept"), "digest"]
+    out = stored.filter(mine).join(state, "digest").select(*verdict)
+    if torn.isEmpty():
+        return out
+    texts = stored.join(torn, "digest", "left_semi")
+    groups = staged(texts.groupBy("norm").agg(F.min(_first()).alias("keep"), F.count(F.lit(1)).alias("group_size")), "dedup-torn-groups")
+    return out.join(torn, "digest", "left_anti").select("doc_id", "keep_id", "group_size", "kept", "digest").unionByName(texts.filter(mine).join(groups, "norm").select(*verdict))
 
 
-def _judged(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None, row: str | None = None) -> DataFrame:
-    """dedup, with the locator of each row."""
+def _judged(docs: DataFrame, digest: Callable[[Column], Column] = sha256, row: str | None = None) -> DataFrame:
+    """The verdicts of one call, with the locator of each row."""
     spark = docs.sparkSession
     rows = digest_rows(docs, digest, row)
-    state = staged(run_state(spark, rows._staged_at, rows.schema, state_dir or scratch(spark, "dedup-state")), "dedup-groups")
+    state = staged(run_state(spark, rows._staged_at, rows.schema, scratch(spark, "dedup-state")), "dedup-groups")
     hits = staged(rows.join(state.filter("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct(), "dedup-hits")
     ids = sized(hits.withColumnRenamed("doc_id", "hit"))
     at = [row] if row else []

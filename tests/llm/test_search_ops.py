@@ -11,8 +11,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortflow.llm import bitsliced, hard_negatives, langid, packing, suffix_dedup, warc
+from cohortflow.llm import bitsliced, exact_dedup, hard_negatives, langid, packing, suffix_dedup, warc
 
 RNG = random.Random(11)
 
@@ -278,3 +279,23 @@ def test_long_words_are_scored_whole(spark):
     assert [g[0] for g in got[3:5]] == ["und", "und"] and got[0][0] == "x" and got[1][0] == "y"
     tie = langid.Model(pieces, ["x", "y"], np.repeat(prob[:, :1], 2, axis=1))
     assert list(langid.predict_texts(tie, ["ab", "a" * 50], {}, [np.zeros((1 << 14, 2), np.float32)])) == [("x", 0.5), ("x", 0.5)]
+
+
+def test_one_state_for_several_calls(spark, tmp_path):
+    first = [(1, "a b"), (2, "c"), (None, ""), (9, "long"), (9, "long")]
+    second = [(0, "ab"), (3, "a\tb"), (4, "new"), (5, "c  "), (None, None)]
+
+    def run(rows_, state, **how):
+        got = rows(exact_dedup.dedup(spark.createDataFrame([(*x, "extra") for x in rows_], "doc_id long, text string, norm string").repartition(1), state_dir=state, **how))
+        return sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=key)
+
+    want_first = [(1, 1, 1, True), (2, 2, 1, True), (9, 9, 2, False), (9, 9, 2, True), (None, None, 1, True)]
+    # "a\tb" and "a b" have three code points, "ab" two: 1 stays; "c  " has more than "c"; counters start again in each call
+    want_second = [(0, 1, 3, False), (3, 1, 3, False), (4, 4, 1, True), (5, 5, 2, True), (None, None, 2, False)]
+    for name, how in (("plain", {}), ("clash", {"digest": lambda c: F.lit(b"one digest for all")})):
+        state = str(tmp_path / name)
+        assert run(first, state, **how) == want_first
+        got = run(second, state, **how)
+        assert [g[:3] for g in got] == [w[:3] for w in want_second] and [g[3] for g in got[:-1]] == [w[3] for w in want_second[:-1]]
+        assert run([], state, **how) == []
+        assert run([(7, "c   ")], state, **how) == [(7, 7, 3, True)]
