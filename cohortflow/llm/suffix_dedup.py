@@ -48,6 +48,8 @@ from cohortflow.llm.hashblocks import ANSWERED, BUCKET_BYTES, PACKED, SENT, answ
 from cohortflow.llm.textops import anchors, mix
 
 LENGTH, Q = 50, 16
+#: Text bytes whose blocks and buckets one task of a shuffle gets (about).
+TASK_BYTES = 24 << 20
 #: Places of windows before an anchor travel as this: ``length`` - ``q`` must fit.
 PLACE = "<u2"
 _U = np.uint64
@@ -338,12 +340,17 @@ def cut(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     blocks = staged(texts.mapInPandas(pack_blocks, PACKED).withColumn("block", F.monotonically_increasing_id()), "sd-blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    tasks = max(8, -(-total // TASK_BYTES))  # so that a task's share does not grow with the corpus
+
+    def by(df: DataFrame, key: str):
+        return df.repartition(tasks, key).groupBy(key)
+
     hashes = blocks.mapInPandas(send_hashes(length, q, buckets), SENT)
-    answers = staged(hashes.groupBy("bucket").applyInPandas(answer, ANSWERED), "sd-shared")
-    entries = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_contexts(length, q, buckets), "bucket long, block long, n long, packed binary")
-    judged = staged(entries.groupBy("bucket").applyInPandas(judge(length, q), "block long, answers binary"), "sd-judged")
+    answers = staged(by(hashes, "bucket").applyInPandas(answer, ANSWERED), "sd-shared")
+    entries = by(blocks, "block").cogroup(by(answers, "block")).applyInPandas(send_contexts(length, q, buckets), "bucket long, block long, n long, packed binary")
+    judged = staged(by(entries, "bucket").applyInPandas(judge(length, q), "block long, answers binary"), "sd-judged")
     drop_staged(answers)
-    out = blocks.groupBy("block").cogroup(judged.groupBy("block")).applyInPandas(cut_texts(length, q), "doc_id long, n_bytes long, start array<long>, end array<long>, kept binary")
+    out = by(blocks, "block").cogroup(by(judged, "block")).applyInPandas(cut_texts(length, q), "doc_id long, n_bytes long, start array<long>, end array<long>, kept binary")
     out = out.select(id_out().alias("doc_id"), "n_bytes", F.arrays_zip("start", "end").alias("spans"), "kept")
     with settings(docs.sparkSession, {"spark.sql.parquet.compression.codec": "zstd"}):
         out = staged(out, "sd-result")
