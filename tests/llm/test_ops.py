@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.llm import decontam, exact_dedup, langid, near_dup, packing, pii, suffix_dedup, token_counts, toxicity, url_rules
-from cohortflow.llm.common import tokenizer_path
+from cohortflow.llm.common import staged, tokenizer_path
 from cohortflow.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, query boolean, rep long, block long, norm string, kept string, score string"
@@ -401,22 +401,75 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows(corpus_pipeline.run(spark, sf))} == {r["doc_id"] for r in rows(docs)}
 
 
-def test_pipeline_edges(spark, docs, empty, tmp_path, labels, bench):
+def near_components(texts, k):
+    """Component of each row by comparing all sets of shingles."""
+    sets = shingle_sets(texts, k)
+    own = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * len(sets[i] | sets[j]):
+                own = [own[j] if x == own[i] else x for x in own]
+    return own
+
+
+def holds_window(text, items, size=10):
+    words = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+    joined = " " + " ".join(words(text)) + " "
+    for item in map(words, items):
+        n = min(size, len(item))
+        if any(" " + " ".join(item[i : i + n]) + " " in joined for i in range(len(item) - n + 1 if n else 0)):
+            return True
+    return False
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, empty, tmp_path, labels, bench):
     import corpus_pipeline
 
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
-    for table in (docs, empty):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, table, str(tmp_path))
-            assert out.count() >= 0 and (name == "packing" or out.columns == table.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, table: stages[name](spark, table, str(tmp_path))
+    for name in stages:
+        out = run(name, empty)
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
+    row = lambda r: (str(r["doc_id"]), r["text"] or "", r["text"] is None)
+    table = sorted((str(r[0]), r[1] or "", r[1] is None) for r in TABLE)
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
+
+    kept = sorted(map(row, rows(run("toxicity", docs))))
+    model = toxicity.fit_on(docs, labels)
+    score = model.score(toxicity.buckets([t for _, t, _ in table]))
+    assert kept == [r for r, p in zip(table, score) if p < toxicity.CUT]
+
+    kept = rows(run("exact_dedup", docs))
+    assert sorted(plain(r["text"] or "") for r in kept) == sorted({plain(t) for _, t, _ in table})
+    assert all(row(r) in table for r in kept)
+
+    kept = rows(run("near_dedup", docs))
+    own = dict(zip(table, near_components([t for _, t, _ in table], 5)))  # equal rows are in one component, or have no words
+    groups = [own[row(r)] for r in kept]
+    words = [r for r in table if r[1].split()]
+    assert len({own[r] for r in words}) == len([r for r in kept if (r["text"] or "").split()]) and {own[r] for r in words} <= set(groups)
+    assert sorted(row(r) for r in kept if not (r["text"] or "").split()) == [r for r in table if not r[1].split()]
+
+    items = [r["text"] for r in bench.collect() if r["item_id"] is not None]
+    kept = sorted(map(row, rows(run("decontamination", docs))))
+    assert kept == [r for r in table if not holds_window(r[1], items)]
+
+    got = rows(run("packing", docs))
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for _, t, _ in table]
+    assert sorted(r["ids"] for r in got) == sorted(x[s : s + 2048] for x in want for s in range(0, len(x), 2048))
 
 
 def test_packing_gives_ids(docs, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    packed = packing.pack(docs, length=256).localCheckpoint()
+    packed = staged(packing.pack(docs, length=256), "packed")
     got = rows(packed)
     want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for _, t, *_ in TABLE]
     assert sorted(r["ids"] for r in got) == sorted(ids[s : s + 256] for ids in want for s in range(0, len(ids), 256))

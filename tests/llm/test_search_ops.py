@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.llm import bitsliced, exact_dedup, hard_negatives, langid, packing, suffix_dedup, warc
+from cohortflow.llm import bitsliced, exact_dedup, hard_negatives, langid, packing, suffix_dedup, toxicity, warc
 
 RNG = random.Random(11)
 
@@ -299,3 +299,43 @@ def test_one_state_for_several_calls(spark, tmp_path):
         assert [g[:3] for g in got] == [w[:3] for w in want_second] and [g[3] for g in got[:-1]] == [w[3] for w in want_second[:-1]]
         assert run([], state, **how) == []
         assert run([(7, "c   ")], state, **how) == [(7, 7, 3, True)]
+
+
+def test_a_score_is_the_texts_own():
+    """Convolution and pooling against a plain loop, in any company and over block borders."""
+    rng = np.random.default_rng(2)
+    rows_ = np.zeros(toxicity.BUCKETS, np.int32)
+    texts = ["bad word here", "fine", "", "word " * 60_000, "word bad", "bad " * 3, "unknown words only", "here bad word"]
+    ids = toxicity.buckets(texts)
+    for k, b in enumerate(np.unique(np.concatenate(toxicity.buckets(["bad word here fine"]))), 1):
+        rows_[b] = k
+    m = toxicity.Model(rows_, rng.normal(0, 1, (5, toxicity.DIM)).astype(np.float32), rng)
+    m.embed[0] = 0
+    m.bias = [rng.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+
+    def plain(x):
+        e = [m.embed[rows_[i]] for i in x] + [np.zeros(toxicity.DIM)] * toxicity.GAP
+        out = []
+        for w, b in zip(m.conv, m.bias):
+            z = [sum(e[i + j] @ w[j] for j in range(len(w))) + b for i in range(min(len(x), 50))]
+            out.append(np.maximum(np.max(z, axis=0), 0) if z else np.zeros(toxicity.FILTERS))
+        return np.concatenate(out)
+
+    got = m.pooled(ids)
+    keep = [i for i in range(len(ids)) if i != 3]
+    assert np.allclose(got[keep], [plain(ids[i]) for i in keep], atol=1e-5)
+    for _ in range(5):
+        order = rng.permutation(len(ids))
+        assert np.allclose(m.pooled([ids[i] for i in order]), got[order], atol=1e-5)
+    assert np.allclose(m.pooled([ids[3]]), got[3:4], atol=1e-5)
+
+
+def test_thresholds_are_of_each_language():
+    rng = np.random.default_rng(3)
+    m = toxicity.Model(np.zeros(toxicity.BUCKETS, np.int32), np.zeros((1, toxicity.DIM), np.float32), rng)
+    m.languages = ["a", "b", "rare"]
+    lang = np.repeat([0, 1, 2], [400, 400, 40])
+    y = (np.arange(840) % 5 == 0).astype(int)
+    p = np.where(y == 1, 0.6, 0.2) * np.where(lang == 1, 0.1, 1.0)  # b's scores lie ten times lower
+    m.calibrate(p, y, lang)
+    assert 0.2 < m.thresholds[0] < 0.6 and 0.02 < m.thresholds[1] < 0.06 and m.thresholds[2] == m.common
