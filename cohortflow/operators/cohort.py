@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow import config
-from cohortflow.functions.exprs import md5_int, recode, strip_prefix
+from cohortflow.functions.exprs import md5_int, md5_unit, recode, strip_prefix
 from cohortflow.sources import tables as src
 
 
@@ -95,8 +95,9 @@ def split(strata: DataFrame, what: str = "train", stratum: int | None = None) ->
 
 
 def sample_persons(ids: DataFrame, max_number: int, total: int, seed: int = config.SEED) -> DataFrame:
-    """Approximate cap ~max_number persons (fraction clamped to 1)."""
-    return ids.sample(fraction=min(1.0, max_number / max(total, 1)), seed=seed)
+    """Approximate cap ~max_number persons: each is kept with the chance max_number / total (1 at most), by a hash
+    of the id, so that the same persons are kept on every run and partitioning."""
+    return ids.filter(md5_unit(F.lit(seed), F.lit("persons"), "person_id") < min(1.0, max_number / max(total, 1)))
 
 
 # ---------------------------------------------------------------------------

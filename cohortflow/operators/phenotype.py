@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow import config
+from cohortflow.session import settled
 
 COMORBS = [c[0] for c in config.COMORBIDITIES]
 
@@ -193,7 +194,13 @@ def claim_phenotypes(targets: DataFrame, all_visits: DataFrame, cond: DataFrame,
                      via_regex: bool = True, history_method: str = "first_reached") -> DataFrame:
     """Target visits with ``cim10_*`` (visit) and ``all_cim10_*``
     (history) columns, as the study's visit table."""
-    vsev = visit_severity(cond, codes, via_regex=via_regex)
-    hist = with_labels(history_phenotypes(targets, all_visits, vsev, method=history_method), codes)
-    own = with_labels(vsev.join(targets.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi"), codes)
-    return to_wide(to_wide(targets, own, "cim10"), hist, "all_cim10")
+    # narrow rows (ids, dates, severities) that the stay and the history both need: counted once
+    targets, vsev = settled(targets), settled(visit_severity(cond, codes, via_regex=via_regex))
+    hist = history_phenotypes(targets, all_visits, vsev, method=history_method)
+    own = vsev.join(targets.select("visit_occurrence_id"), "visit_occurrence_id", "left_semi")
+    both = own.withColumn("level", F.lit("cim10")).unionByName(hist.withColumn("level", F.lit("all_cim10")))
+    cells = with_labels(both, codes).select("visit_occurrence_id", F.concat_ws("_", "level", "comorb").alias("col"), "status")
+    names = [f"{level}_{c}" for level in ("cim10", "all_cim10") for c in COMORBS]
+    wide = cells.groupBy("visit_occurrence_id").pivot("col", names).agg(F.max("status"))
+    return targets.join(wide, "visit_occurrence_id", "left").select(
+        *targets.columns, *[F.coalesce(F.col(c), F.lit(config.ABSENCE)).alias(c) for c in names])

@@ -31,6 +31,27 @@ def cohort_test_split(spark, sf_dir):
     return cohort.split(cohort.stratification(tables(spark, sf_dir)), "test")
 
 
+@register("cohort_train_split", sql=with_model("person", "strata") + f"""
+SELECT person_id, cse, stratum, 'train' AS part FROM strata WHERE stratum < {config.TEST_THRESHOLD}
+UNION ALL SELECT person_id, cse, stratum, 'second' FROM strata WHERE stratum = 1
+UNION ALL SELECT person_id, cse, stratum, 'all' FROM strata""")
+def cohort_train_split(spark, sf_dir):
+    """The training cohort, one stratum of it, and everyone."""
+    s = cohort.stratification(tables(spark, sf_dir))
+    parts = [cohort.split(s, "train").withColumn("part", F.lit("train")), cohort.split(s, "train", 1).withColumn("part", F.lit("second")),
+             cohort.split(s, "all").withColumn("part", F.lit("all"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("sampled_persons", sql=with_model("person") + f"""
+SELECT person_id FROM person WHERE (('0x' || substr(md5('{config.SEED}|persons|' || CAST(person_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)
+  < least(1.0, CAST(300 AS DOUBLE) / (SELECT count(*) FROM person))""")
+def sampled_persons(spark, sf_dir):
+    """About 300 persons (the cap is the operator)."""
+    ids = cohort.persons(tables(spark, sf_dir)).select("person_id")
+    return cohort.sample_persons(ids, 300, ids.count())
+
+
 @register("cohort_test_visits", sql=with_model("person", "strata", "visit_occurrence") + """
 SELECT v.person_id, v.visit_occurrence_id, v.visit_start_datetime, v.visit_source_value
 FROM visit_occurrence v

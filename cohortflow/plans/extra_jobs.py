@@ -34,6 +34,12 @@ def validation_entities(spark, sf_dir):
         "note_id", "visit_occurrence_id", "label_name", "label_value", "offset_begin", "offset_end", "to_keep")
 
 
+@register("validation_sample")
+def validation_sample(spark, sf_dir):
+    """A seeded sample of 20 validation notes (the limit is the operator)."""
+    return validation_notes(tables(spark, sf_dir), sample=20).select("note_id", "visit_occurrence_id", "person_id")
+
+
 #: Comorbidities too rare to be annotated, whose claim value is kept.
 CLAIM_KEPT = [c for c in phenotype.COMORBS if c.startswith(("AIDS", "hemi"))]
 
@@ -121,6 +127,10 @@ vn AS (SELECT n.* FROM clinical_note n
 ORACLES["validation_entities"] = _VAL + """
 SELECT note_id, visit_occurrence_id, label_name, label_value, offset_begin, offset_end, to_keep FROM rb"""
 
+ORACLES["validation_sample"] = _VAL.split(",\ntk AS (")[0] + f"""
+SELECT note_id, visit_occurrence_id, person_id FROM vn
+ORDER BY ('0x' || substr(md5('{config.SEED}|' || CAST(note_id AS VARCHAR)), 1, 15))::BIGINT, note_id LIMIT 20"""
+
 ORACLES["gold_entity_lists"] = with_model("person", "strata", "visit_occurrence", "condition_occurrence",
                                           "clinical_note") + ",\n" + common.TEXTS_SQL + ",\n" + common.ner_sql("texts") \
     + f""",

@@ -56,6 +56,18 @@ def _runs(spark, sf_dir):
     return metrics.binary_metric(common.fixed_predictions(Eval(spark, sf_dir).ents("gold")), "to_keep", "gold_to_keep", by=("trained_on", "cse"))
 
 
+@register("merged_predictions", sql=_PRED + """,
+mine AS (SELECT * FROM pred WHERE trained_on = 'Overall'),
+one AS (SELECT note_id, label_name, label_value, offset_begin, offset_end, any_value(to_keep) AS to_keep, count(*) AS dup FROM mine GROUP BY ALL)
+SELECT g.note_id, g.label_name, g.label_value, g.offset_begin, g.offset_end, g.to_keep AS gold_to_keep, o.to_keep AS ml_to_keep, o.dup
+FROM gold g JOIN one o USING (note_id, label_name, label_value, offset_begin, offset_end)""")
+def merged_predictions(spark, sf_dir):
+    """Fixed predictions merged back on the span key, one per span; a span with two different ones fails."""
+    gold = Eval(spark, sf_dir).ents("gold")
+    mine = common.fixed_predictions(gold).filter(F.col("trained_on") == "Overall").withColumnRenamed("to_keep", "ml_to_keep")
+    return gold.select(*ENT, F.col("to_keep").alias("gold_to_keep")).join(ml.one_prediction(mine, ENT), ENT)
+
+
 @register("binary_metrics", sql=_RUNS + "\nSELECT * FROM bm")
 def binary_metrics(spark, sf_dir):
     """A33 + M6: confusion totals, precision, recall, f1 and accuracy of each model (fixed predictions) on each cohort."""
