@@ -327,6 +327,24 @@ def test_toxicity(spark, docs, empty, labels):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_pii_counts_by_kind(spark, tmp_path):
+    """Each count is that of its own kind, wherever its spans stand in the array."""
+    texts = ["a@b.co c@d.co", "9.9.9.9 8.8.8.8 7.7.7.7", "+1 (222) 555-7777 a@b.co", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.op3_pii(spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0, 0, 0), 1: (0, 3, 0, 0), 2: (1, 0, 0, 1), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
+
+
+def test_pii_digits_that_are_no_numbers(spark):
+    """Superscripts and circled digits are digits to isdigit() but not to int()."""
+    texts = ["tel 1.2.3.\u00b2 and \u2460.22.33.4444 12345678 a@b.co", "\u0663.1.1.1 1234567", "x" * 200_000 + " 9.9.9.9", None]
+    w = np.random.default_rng(0).normal(size=(len(pii.KINDS), pii.WEIGHTS))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["base"]] for r in pii.find(docs, w).collect()}
+    assert got == {i: pii.base_spans(t or "") for i, t in enumerate(texts)} and got[0] == [(38, 0, 44)] and got[2] == [(200_001, 1, 200_008)]
+    assert [s for _, s in pii.regions("1234567 a@b  c@d\t+1 x @")] == ["1234567 a@b", "c@d", "@"]
+
+
 def test_pii(spark, docs, empty):
     kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([ -]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
