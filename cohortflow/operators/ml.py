@@ -105,9 +105,12 @@ def predict(model: PipelineModel, ctx: DataFrame, out_col: str = "ml_to_keep") -
     return scored.select(*base, z.alias("logit"), (logits_to_label(z) == 1).alias(out_col))
 
 
-def one_prediction(pred: DataFrame, key: list[str], col: str = "ml_to_keep") -> DataFrame:
+def one_prediction(pred: DataFrame, key: list[str], col: str = "ml_to_keep", differing: str = "fail") -> DataFrame:
     """One row per span key with its prediction and the number of rows
-    (``dup``) it came from; predictions that differ raise an error."""
+    (``dup``) it came from; predictions that differ raise an error, or with
+    ``differing="least"`` a span is kept only if all its predictions keep it."""
+    if differing == "least":
+        return pred.groupBy(*key).agg(F.min(col).alias(col), F.count(F.lit(1)).alias("dup"))
     agree = F.min(col).eqNullSafe(F.max(col)) & ((F.count(col) == 0) | (F.count(col) == F.count(F.lit(1))))
     conflict = F.raise_error(F.concat_ws(" ", F.lit("predictions differ for span"), *[F.col(k).cast("string") for k in key]))
     return pred.groupBy(*key).agg(F.when(agree, F.min(col)).otherwise(conflict.cast("boolean")).alias(col),

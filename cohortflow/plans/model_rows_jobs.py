@@ -62,10 +62,11 @@ one AS (SELECT note_id, label_name, label_value, offset_begin, offset_end, any_v
 SELECT g.note_id, g.label_name, g.label_value, g.offset_begin, g.offset_end, g.to_keep AS gold_to_keep, o.to_keep AS ml_to_keep, o.dup
 FROM gold g JOIN one o USING (note_id, label_name, label_value, offset_begin, offset_end)""")
 def merged_predictions(spark, sf_dir):
-    """Fixed predictions merged back on the span key, one per span; a span with two different ones fails."""
+    """Fixed predictions merged back on the span key, one per span.  Gold rows that were moved onto one span may
+    differ in their flag and so in their fixed prediction: such a span is kept only if all its predictions keep it."""
     gold = Eval(spark, sf_dir).ents("gold")
     mine = common.fixed_predictions(gold).filter(F.col("trained_on") == "Overall").withColumnRenamed("to_keep", "ml_to_keep")
-    return gold.select(*ENT, F.col("to_keep").alias("gold_to_keep")).join(ml.one_prediction(mine, ENT), ENT)
+    return gold.select(*ENT, F.col("to_keep").alias("gold_to_keep")).join(ml.one_prediction(mine, ENT, differing="least"), ENT)
 
 
 @register("binary_metrics", sql=_RUNS + "\nSELECT * FROM bm")

@@ -49,3 +49,25 @@ def test_one_prediction_per_span(spark):
     torn = spark.createDataFrame([*rows, (2, 5, True)], schema)
     with pytest.raises(Exception, match="predictions differ for span 2 5"):
         ml.one_prediction(torn, ["note_id", "offset_begin"]).collect()
+
+
+def test_merged_predictions_where_gold_spans_meet(spark, tmp_path, monkeypatch):
+    """Two gold rows moved onto one span keep a prediction each: nothing fails, nothing is multiplied."""
+    from cohortflow.plans import model_rows_jobs as jobs
+
+    schema = "note_id long, cse string, label_name string, label_value string, offset_begin int, offset_end int, to_keep boolean"
+    gold = spark.createDataFrame([(1, "c", "A", "1", 5, 8, True), (1, "c", "A", "1", 5, 8, False), (1, "c", "A", "1", 9, 12, True),
+                                  (1, "c", "A", "1", 9, 12, True), (2, "c", "A", "1", 5, 8, False)], schema)
+
+    class Given:
+        def __init__(self, *_):
+            pass
+
+        def ents(self, method):
+            return gold
+
+    monkeypatch.setattr(jobs, "Eval", Given)
+    got = sorted((r["note_id"], r["offset_begin"], r["gold_to_keep"], r["ml_to_keep"], r["dup"]) for r in jobs.merged_predictions(spark, "").collect())
+    assert [x[:3] for x in got] == [(1, 5, False), (1, 5, True), (1, 9, True), (1, 9, True), (2, 5, False)]
+    assert [x[4] for x in got] == [2, 2, 2, 2, 1]
+    assert got[0][3] == got[1][3] and got[2][3] == got[3][3]
