@@ -8,6 +8,7 @@ code points of the original text, ends exclusive.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
@@ -20,6 +21,22 @@ from pyspark.sql import types as T
 
 #: Sentences end after a run of these; tokens are letter runs, digit runs or one other non-blank character.
 TERMINATORS = ".!?\n"
+#: Texts read at a time; rows, and characters or items of them, that are handed on at a time at most (and one row more).
+TEXTS, FOUND, HELD = 256, 10_000, 4_000_000
+
+
+def sliced(batches, text: str):
+    """Arrow batches in slices of at most TEXTS rows, cut after HELD bytes of the column ``text`` (and one row more)."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        lo, held = 0, 0
+        for i, n in enumerate(sizes):
+            held += n
+            if held > HELD or i + 1 - lo >= TEXTS or i + 1 == b.num_rows:
+                yield b.slice(lo, i + 1 - lo)
+                lo, held = i + 1, 0
 
 
 def emit(df: DataFrame, keep: list[str], args: list[str], fields: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
@@ -33,16 +50,25 @@ def emit(df: DataFrame, keep: list[str], args: list[str], fields: str, make: Cal
         from pyspark.sql.pandas.types import to_arrow_type
 
         rows, kinds = make(), [to_arrow_type(f.dataType) for f in own.fields]
-        for b in batches:
-            source, found = [], []
-            for i, values in enumerate(zip(*[b.column(a).to_pylist() for a in args])):
-                for r in rows(*values):
-                    source.append(i)
-                    found.append(r)
+
+        def batch(part, source, found):
             at = pa.array(source, pa.int64())
-            kept = [b.column(c).take(at) for c in keep]
+            kept = [part.column(c).take(at) for c in keep]
             new = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(kept + new, schema.fieldNames())
+            return pa.RecordBatch.from_arrays(kept + new, schema.fieldNames())
+
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXTS):  # a part of the batch at a time: what is held does not grow with it
+                part, source, found, held = b.slice(lo, TEXTS), [], [], 0
+                for i, values in enumerate(zip(*[part.column(a).to_pylist() for a in args])):
+                    for r in rows(*values):
+                        source.append(i)
+                        found.append(r)
+                        held += sum(len(x) for x in r if isinstance(x, (str, list)))
+                        if held > HELD or len(found) >= FOUND:
+                            yield batch(part, source, found)
+                            source, found, held = [], [], 0
+                yield batch(part, source, found)
 
     return df.select(*dict.fromkeys([*keep, *args])).mapInArrow(run, schema)
 
@@ -256,17 +282,19 @@ def sentence_bounds(text: str) -> tuple[list[int], list[int]]:
     return [0, *ends[:-1]] if ends else [], ends
 
 
-_token = None
+TOKEN, BLANKS = r"\p{L}+|\p{N}+|[^ \t\n\x0b\f\r\p{L}\p{N}]", r"[ \t\n\x0b\f\r]*"
+
+
+@functools.lru_cache(maxsize=None)
+def _compiled(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
 
 
 def token_bounds(text: str) -> tuple[list[int], list[int]]:
     """Starts and ends of the tokens."""
-    global _token
-    if _token is None:
-        import regex
-
-        _token = regex.compile(r"\p{L}+|\p{N}+|[^ \t\n\x0b\f\r\p{L}\p{N}]")
-    found = [m.span() for m in _token.finditer(text)]
+    found = [m.span() for m in _compiled(TOKEN).finditer(text)]
     return [b for b, _ in found], [e for _, e in found]
 
 
@@ -315,8 +343,16 @@ class TokenRanks:
         return self._words(self.included[low:a]), self._words(self.included[z:high])
 
 
-def token_attributes(text: str) -> list[tuple]:
-    """(text, begin, blank after it) of each token; leading blanks stand before the first begin."""
-    starts, ends = token_bounds(text)
-    stops = [*starts[1:], len(text)]
-    return [(text[b:e], b, text[e:s]) for b, e, s in zip(starts, ends, stops)]
+def token_attributes(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """The blanks before the first token, and (text, blanks after it) of each token; together they are the text."""
+    head = _compiled(BLANKS).match(text).group()
+    return head, _compiled(f"({TOKEN})({BLANKS})").findall(text, len(head))
+
+
+_SHAPES = {"Lu": "X", "Ll": "x", "Nd": "d"}
+
+
+def shape(token: str) -> str:
+    """Upper, lower and digit characters as X, x and d, runs of five or more as four."""
+    s = "".join(_SHAPES.get(unicodedata.category(c), c) for c in token)
+    return re.sub(r"X{5,}|x{5,}|d{5,}", lambda m: m.group()[:4], s) if len(s) > 4 else s

@@ -13,6 +13,7 @@ from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortflow.functions import spans as sp
 from cohortflow.functions import text as tx
@@ -86,24 +87,40 @@ def token_arrays(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """note_id, ``head`` (blanks before the first token) and ``tokens``: an array of
     (text, lower, norm, shape, blank, begin) of the note's tokens; ``blank`` is what follows the token."""
     keep = [k for k in keep if k in notes.columns]
-
-    def rows(text):
-        found = sp.token_attributes(text)
-        yield text[: found[0][1]] if found else text, found
-
-    raw = sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
-                  "head string, found array<struct<text:string,begin:int,blank:string>>", lambda: rows)
-
-    def shape(t):
-        s = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"\p{Nd}", "d")
-        for ch in ("X", "x", "d"):
-            s = F.regexp_replace(s, ch + "{5,}", ch * 4)
-        return s
-
-    tokens = F.transform("found", lambda t: F.struct(
-        t["text"].alias("text"), F.lower(t["text"]).alias("lower"), tx.fold_accents(F.lower(t["text"])).alias("norm"),
-        shape(t["text"]).alias("shape"), t["blank"].alias("blank"), t["begin"].alias("begin")))
-    return raw.select("note_id", *keep, "head", tokens.alias("tokens"))
+    src = notes.filter(F.col("note_text").isNotNull()).select("note_id", *keep, "note_text")
+    own = T.StructType.fromDDL("head string, tokens array<struct<text:string,lower:string,norm:string,shape:string,blank:string,begin:int>>")
+    schema = T.StructType([src.schema[c] for c in ("note_id", *keep)] + own.fields)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(own["tokens"].dataType).value_type
+        fold = str.maketrans(tx.ACCENTS_FROM, tx.ACCENTS_TO)
+        for part in sp.sliced(batches, "note_text"):
+            heads, words, blanks, sizes = [], [], [], [0]
+            for text in part.column("note_text").to_pylist():
+                head, found = sp.token_attributes(text)
+                heads.append(head)
+                words += [w for w, _ in found]
+                blanks += [x for _, x in found]
+                sizes.append(len(found))
+            # attributes are worked out once for each different token of the part
+            words, blanks = pa.array(words, pa.string()).dictionary_encode(), pa.array(blanks, pa.string())
+            seen, at = words.dictionary.to_pylist(), words.indices
+            lower = [w.lower() for w in seen]
+            each = [words.dictionary.take(at)] + [pa.array(x, pa.string()).take(at) for x in (lower, [w.translate(fold) for w in lower], [sp.shape(w) for w in seen])]
+            stops = np.cumsum(sizes)
+            steps = np.add(pc.utf8_length(each[0]).to_numpy(), pc.utf8_length(blanks).to_numpy(), dtype=np.int64)
+            before = np.concatenate(([0], np.cumsum(steps)))  # characters of the part's tokens before each of them
+            begins = before[:-1] + np.repeat(np.array([len(h) for h in heads], np.int64) - before[stops[:-1]], sizes[1:])
+            tokens = pa.StructArray.from_arrays([*each, blanks, pa.array(begins.astype(np.int32))], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), tokens)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("note_id", *keep)], pa.array(heads, pa.string()), lists], schema.fieldNames())
+
+    return src.mapInArrow(run, schema)
 
 
 def reassembled(attribute: str = "text") -> Column:
