@@ -163,8 +163,7 @@ def predictions_by_cohort(ctx: DataFrame, cohorts: list[str], overall: str, coho
     """M4 + M7: one model per training cohort (``overall``: all of them), each scored on every validation
     note; one table with the training cohort as ``trained_on``, the labels as ``gold_to_keep`` and the
     predictions as ``to_keep``.  The fits share features written once (``with_features``) and run side by side."""
-    train, valid = split(with_features(ctx))
-    train, valid = settled(train), settled(valid)
+    train, valid = split(settled(with_features(ctx)))
 
     def one(c):
         model = classifier(**params).fit(train if c == overall else train.filter(F.col(cohort_col) == c))

@@ -54,9 +54,11 @@ def compare_all_methods(spark, sf_dir):
 @register("compare_all_methods_ml")
 def compare_all_methods_ml(spark, sf_dir):
     """A29 / C8 with the predictions of the trained qualifier."""
-    from cohortflow.plans.ml_jobs import ml_entities
+    from cohortflow.plans.ml_jobs import scored_entities
 
-    return compared(compared_cells(Eval(spark, sf_dir, ml_entities(spark, sf_dir))))
+    e = Eval(spark, sf_dir)
+    e.predicted = scored_entities(e)
+    return compared(compared_cells(e))
 
 
 @register("qualifier_metrics_by_method")

@@ -16,6 +16,7 @@ from cohortflow.plans.registry import register, tables
 from cohortflow.plans.sqlmodel import with_model
 from cohortflow.session import settled
 from cohortflow.sources import dims
+from cohortflow.sources.tables import note_texts
 
 G4 = ["label_name", "label_value", "cse", "patient_type"]
 
@@ -31,7 +32,6 @@ class Eval:
         self.spark = spark
         self.predicted = predicted
         self.t = tables(spark, sf_dir)
-        self.texts = common.texts(self.t)
 
     # The corpus ids and the entity table feed every method, label table,
     # denominator and metric of the job: each is computed once, and only if
@@ -41,6 +41,17 @@ class Eval:
     def meta(self):
         return settled(common.texts(self.t, with_text=False))
 
+    @cached_property
+    def texts(self):
+        """The corpus with its texts, from the ids chosen once."""
+        return cohort.with_texts(self.t, self.meta)
+
+    @cached_property
+    def lengths(self):
+        """note_id and length of the corpus texts, counted where the documents are read."""
+        n = note_texts(self.t).select("note_id", F.length("note_text").alias("_n"))
+        return self.meta.select("note_id").join(n, "note_id")
+
     @cached_property
     def rule(self):
         return settled(common.rule_entities(self.t, self.texts))

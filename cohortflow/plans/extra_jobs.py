@@ -14,6 +14,7 @@ from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import with_model
 from cohortflow.session import settled
 from cohortflow.sources import dims
+from cohortflow.sources.tables import note_texts
 
 
 def validation_notes(t, patient_type="inpatient", sample: int | None = None):
@@ -192,13 +193,11 @@ ORACLES["compare_methods"] = _compare_sql()
 def gold_token_aligned(spark, sf_dir):
     """Gold spans of every note (inside it) expanded to token boundaries."""
     t = tables(spark, sf_dir)
-    return _token_aligned(t, common.all_texts(t))
-
-
-def _token_aligned(t, tx):
     from cohortflow.operators import context
-    g = common.perturb_gold(common.rule_entities(t, tx))
-    g = g.join(tx.select("note_id", F.length("note_text").alias("_n")), "note_id") \
+    g = common.perturb_gold(common.all_rule_entities(t))
+    tx = common.all_texts(t)
+    lengths = note_texts(t).select("note_id", F.length("note_text").alias("_n")).join(common.note_visits(t), "note_id")
+    g = g.join(lengths.select("note_id", "_n"), "note_id") \
         .filter(F.col("offset_end") <= F.col("_n")).drop("_n")
     return context.expand_to_tokens(g.select("note_id", "label_name", "offset_begin", "offset_end"), tx)
 

@@ -116,7 +116,7 @@ def cross_cohort_intervals_ml(spark, sf_dir):
     validation notes of every cohort, in the same grouped job."""
     from cohortflow.plans.ml_jobs import _gold_contexts
 
-    ctx, _ = _gold_contexts(spark, sf_dir)
+    ctx = _gold_contexts(Eval(spark, sf_dir))
     predicted = ml.predictions_by_cohort(ml.training_frame(ctx), common.TRAINED_ON, labels.OVERALL)
     return resample.cohort_matrix(resample.cohort_effect(resample.keep_confusion(predicted, ["trained_on"])), common.TRAINED_ON).select(*MATRIX_COLUMNS)
 

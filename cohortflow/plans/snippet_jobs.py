@@ -23,7 +23,8 @@ def _rule(spark, sf_dir, texts=common.texts):
     t = tables(spark, sf_dir)
     tx = texts(t)
     checkpoint_dir(spark)
-    return tx, common.rule_entities(t, tx).checkpoint(eager=True)
+    e = common.all_rule_entities(t) if texts is common.all_texts else common.rule_entities(t, tx)
+    return tx, e.checkpoint(eager=True)
 
 
 @register("snippet_entities_all_notes")
