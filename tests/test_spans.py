@@ -126,3 +126,38 @@ def test_promised_joins(spark):
     ents = spark.createDataFrame([("IDM", 1)], "label_name string, status_int int")
     with pytest.raises(Exception, match="configuration rows"):
         entities.with_status(ents, names).collect()
+
+
+def test_token_attributes_across_parts(spark, monkeypatch):
+    """Attributes and begins of each token, also where a part ends inside a batch and texts hold no token."""
+    monkeypatch.setattr(sp, "TEXTS", 2)
+    texts = {1: " \tÉCOLE  Abcdefgh 123456!", 2: "", 3: " \n", 4: "x²Ⅷ été", 5: "ABCDEF"}
+    notes = spark.createDataFrame([*texts.items(), (6, None)], "note_id long, note_text string").coalesce(1)
+    got = {r["note_id"]: r for r in context.token_arrays(notes).collect()}
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        assert got[k]["head"] + "".join(t["text"] + t["blank"] for t in got[k]["tokens"]) == text
+        assert all(text[t["begin"] : t["begin"] + len(t["text"])] == t["text"] for t in got[k]["tokens"])
+    assert [(t["lower"], t["norm"], t["shape"]) for t in got[1]["tokens"]] == [
+        ("école", "ecole", "XXXX"), ("abcdefgh", "abcdefgh", "Xxxxx"), ("123456", "123456", "dddd"), ("!", "!", "!")]
+
+
+def test_emit_hands_rows_on_in_parts(spark, monkeypatch):
+    """Rows of a text that are handed on in several batches are all there, each with its own source."""
+    monkeypatch.setattr(sp, "HELD", 1000)
+    df = spark.createDataFrame([(1, "ab" * 50), (2, "cd")], "note_id long, note_text string").coalesce(1)
+
+    def rows(text):
+        for i in range(len(text)):
+            yield i, text * 5
+
+    out = sp.emit(df, ["note_id"], ["note_text"], "i int, wide string", lambda: rows)
+    assert out.count() == 102 and {(r["note_id"], r["i"]) for r in out.collect()} == {(1, i) for i in range(100)} | {(2, 0), (2, 1)}
+
+
+def test_sliced_cuts_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sp, "HELD", 10)
+    b = pa.RecordBatch.from_pydict({"t": ["a" * 30, None, "b", "c" * 11, "d"]})
+    assert [x.num_rows for x in sp.sliced([b], "t")] == [1, 3, 1]
