@@ -117,11 +117,17 @@ def one_prediction(pred: DataFrame, key: list[str], col: str = "ml_to_keep", dif
                                   F.count(F.lit(1)).alias("dup"))
 
 
+def in_few_parts(df: DataFrame) -> DataFrame:
+    """A settled table in no more partitions than the cluster has cores.  Each step of a fit sends one gradient as long as
+    the features per partition; in this form what a fit shuffles does not grow with its rows."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit(train: DataFrame, **params) -> PipelineModel:
-    """Fit the pipeline; the (small) training frame is persisted for the
-    optimizer's passes and released afterwards."""
+    """Fit the pipeline; the (small) training frame, cut from a settled table, is persisted
+    for the optimizer's passes and released afterwards."""
     cols = ["model_text", "label", "weight"]
-    data = train.select(*cols).persist()
+    data = in_few_parts(train.select(*cols)).persist()
     try:
         return pipeline(**params).fit(data)
     finally:
@@ -142,7 +148,7 @@ def grid_search(train: DataFrame, valid: DataFrame, groups: list[dict], keep_bes
     """M3 + T6: fit every setting, score on the validation split; returns
     (settings table with f1/precision/recall, best model).  The hashed features are
     written once, the fits run side by side on them; the grid is a small fixed list."""
-    train, valid = settled(with_features(train)), settled(with_features(valid))
+    train, valid = in_few_parts(settled(with_features(train))), settled(with_features(valid))
     settings = crossed_settings(groups)
 
     def one(p):
@@ -164,6 +170,7 @@ def predictions_by_cohort(ctx: DataFrame, cohorts: list[str], overall: str, coho
     note; one table with the training cohort as ``trained_on``, the labels as ``gold_to_keep`` and the
     predictions as ``to_keep``.  The fits share features written once (``with_features``) and run side by side."""
     train, valid = split(settled(with_features(ctx)))
+    train = in_few_parts(train)
 
     def one(c):
         model = classifier(**params).fit(train if c == overall else train.filter(F.col(cohort_col) == c))
