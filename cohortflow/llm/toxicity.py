@@ -2,13 +2,21 @@
 
 A word's hash picks an embedding; filters of several widths run over the
 words of the whole text, each is pooled to its maximum and a logistic layer
-gives a probability.  The model is trained in numpy on a bounded sample of
-labelled rows (``TRAIN_ROWS``), a part of which only calibrates: for each
-language a threshold is chosen, and scores are bent so that it lies at
-``CUT``.  A text's language is guessed from the same hashed words, never from
-a column; texts of languages too rare in the sample get the common threshold.
-
-Words that a smaller share than ``LEAST_SHARE`` of the sample texts hold have no embedding, so
+gives a probability.  The model learns from every labelled row that may be learnt,
+a fourth of which only calibrates: for each language a threshold is chosen,
+and scores are bent so that it lies at ``CUT``.  A text's language is guessed
+from the same hashed words, never from a column; texts of languages with too
+few labelled rows get the common threshold.
+
+The rows are dealt by a hash of their id over shards of about ``SHARD_ROWS``,
+each a partition of one settled table.  Every epoch is a Spark job: a task
+trains the shared model on its shard, and the models are averaged in a tree
+(an embedding over the shards that changed it).  The words' counts, those of
+the languages and the calibration are sums over the shards.  What reaches the
+driver is one model, or one row a score of the calibrating rows, which are
+rounded to five digits if they are more than ``EXACT_SCORES``.
+
+Words that a smaller share than ``LEAST_SHARE`` of the labelled texts hold have no embedding, so
 that words never seen in training do not speak.
 
 Nulls and edge cases: a null or empty text, or one without letters, gets the
@@ -21,19 +29,24 @@ doc_id, text and lang are not read, and lang only to learn the guess.
 
 from __future__ import annotations
 
+import copy
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm.common import in_train, lean, query, sample_by_id, single_thread, table, texts_of
+from cohortflow.llm.common import in_train, lean, query, release, single_thread, sized, table, texts_of
+from cohortflow.session import settled
 
-#: Labelled rows that train and calibrate the model, at most (about).
-TRAIN_ROWS = 12000
+#: Labelled rows, and hashed words, of a shard (about): what one task trains on before the models are averaged.
+SHARD_ROWS, SHARD_WORDS = 12_000, 16_000_000
+#: Calibrating rows whose scores are taken as they are; those of more rows are rounded.
+EXACT_SCORES = 100_000
 BUCKETS = 1 << 18
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 EPOCHS, RATE = 5, 0.05
@@ -125,120 +138,235 @@ class Model:
         t = np.append(self.thresholds, self.common)[lang]
         return np.clip(np.where(p < t, CUT * p / t, CUT + (1 - CUT) * (p - t) / (1 - t)), 0, 1)
 
-    def train(self, ids: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> None:
-        """Adagrad on the log loss, kinds of label in equal shares; the maximum passes its gradient to its place alone."""
-        sums: dict = {}
+    def ready(self) -> None:
+        """Sums of squared gradients, which go with the model from epoch to epoch."""
+        self.sums = [np.full(np.shape(x), 1e-3, np.float32) for x in self.dense()]
+        self.acc_e = np.full(self.embed.shape, 1e-3, np.float32)
+
+    def dense(self) -> list[np.ndarray]:
+        return [*self.conv, *self.bias, self.out]
+
+    def train(self, ids: list[np.ndarray], y: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+        """An epoch of Adagrad on the log loss, kinds of label in equal shares (``share``: that of label 1 among all);
+        the maximum passes its gradient to its place alone.  Returns which embeddings were changed."""
+        places = {("w", k): k for k in range(len(WIDTHS))} | {("b", k): len(WIDTHS) + k for k in range(len(WIDTHS))} | {"out": -1}
+        acc_e, changed = self.acc_e, np.zeros(len(self.embed), bool)
 
         def step(name, value, grad):
-            acc = sums.setdefault(name, np.full(np.shape(value), 1e-3, np.float32))
+            acc = self.sums[places[name]]
             acc += grad * grad
             value -= RATE * grad / np.sqrt(acc)
 
-        acc_e = np.full(self.embed.shape, 1e-3, np.float32)
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        for _ in range(EPOCHS):
-            for i in rng.permutation(len(ids)):
-                rows = self.rows[ids[i]]
-                if not len(rows):
-                    continue
-                x = np.concatenate((self.embed[rows], np.zeros((GAP, DIM), np.float32)))
-                z = self.maps(x[: len(rows)])
-                best = [m.argmax(axis=0) for m in z]
-                pooled = np.concatenate([np.maximum(m[b, np.arange(FILTERS)], 0) for m, b in zip(z, best)])
-                p = 1 / (1 + np.exp(-float(pooled @ self.out + self.shift)))
-                if abs(p - y[i]) < SETTLED:
-                    continue
-                g = np.float32(weight[i] * (p - y[i]))
-                back = g * self.out * (pooled > 0)
-                grad_x: dict[int, np.ndarray] = {}
-                for k, w in enumerate(self.conv):
-                    gk = back[k * FILTERS : (k + 1) * FILTERS]
-                    grad_w = np.zeros_like(w)
-                    for j in range(len(w)):
-                        grad_w[j] = (x[best[k] + j] * gk[:, None]).T
-                        for place, part in zip((best[k] + j).tolist(), (w[j] * gk).T):
-                            if place < len(rows):
-                                row = int(rows[place])
-                                if row:
-                                    grad_x[row] = grad_x.get(row, 0) + part
-                    step(("w", k), w, grad_w)
-                    step(("b", k), self.bias[k], gk)
-                step("out", self.out, g * pooled + np.float32(1e-4) * self.out)
-                self.shift -= np.float32(0.01) * g
-                for row, grad in grad_x.items():
-                    acc_e[row] += grad * grad
-                    self.embed[row] -= RATE * grad / np.sqrt(acc_e[row])
-
-    def learn_languages(self, ids: list[np.ndarray], langs: list) -> None:
-        """Smoothed log shares of each word in each language."""
-        self.languages = sorted({x for x in langs if x is not None})
-        counts = np.full((len(self.embed), len(self.languages)), 0.1, np.float64)
-        for x, lang in zip(ids, langs):
-            if lang is not None:
-                np.add.at(counts[:, self.languages.index(lang)], self.rows[x], 1)
-        counts[0] = 1
-        self.lang_table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-
-    def calibrate(self, p: np.ndarray, y: np.ndarray, lang: np.ndarray) -> None:
-        """Thresholds of greatest F0.5 (precision counts more), halfway between the two scores that they part."""
-
-        def best(p, y):
-            order = np.argsort(-p, kind="stable")
-            hits = np.cumsum(y[order])
-            f1 = 1.25 * hits / (np.arange(1, len(p) + 1) + 0.25 * y.sum())
-            f1[:-1][p[order][:-1] == p[order][1:]] = -1  # ties stay together
-            k = int(f1.argmax())
-            below = p[order][k + 1] if k + 1 < len(p) else 0.0
-            return float(np.clip((p[order][k] + below) / 2, 1e-4, 1 - 1e-4))
-
-        self.common = best(p, y) if y.any() else 0.5
+        weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+        for i in rng.permutation(len(ids)):
+            rows = self.rows[ids[i]]
+            if not len(rows):
+                continue
+            x = np.concatenate((self.embed[rows], np.zeros((GAP, DIM), np.float32)))
+            z = self.maps(x[: len(rows)])
+            best = [m.argmax(axis=0) for m in z]
+            pooled = np.concatenate([np.maximum(m[b, np.arange(FILTERS)], 0) for m, b in zip(z, best)])
+            p = 1 / (1 + np.exp(-float(pooled @ self.out + self.shift)))
+            if abs(p - y[i]) < SETTLED:
+                continue
+            g = np.float32(weight[i] * (p - y[i]))
+            back = g * self.out * (pooled > 0)
+            grad_x: dict[int, np.ndarray] = {}
+            for k, w in enumerate(self.conv):
+                gk = back[k * FILTERS : (k + 1) * FILTERS]
+                grad_w = np.zeros_like(w)
+                for j in range(len(w)):
+                    grad_w[j] = (x[best[k] + j] * gk[:, None]).T
+                    for place, part in zip((best[k] + j).tolist(), (w[j] * gk).T):
+                        if place < len(rows):
+                            row = int(rows[place])
+                            if row:
+                                grad_x[row] = grad_x.get(row, 0) + part
+                step(("w", k), w, grad_w)
+                step(("b", k), self.bias[k], gk)
+            step("out", self.out, g * pooled + np.float32(1e-4) * self.out)
+            self.shift -= np.float32(0.01) * g
+            for row, grad in grad_x.items():
+                acc_e[row] += grad * grad
+                self.embed[row] -= RATE * grad / np.sqrt(acc_e[row])
+                changed[row] = True
+        return changed
+
+    def learn_languages(self, counts: dict[str, np.ndarray]) -> None:
+        """Smoothed log shares of each word in each language, from its occurrences."""
+        self.languages = sorted(counts)
+        table = np.full((len(self.embed), len(counts)), 0.1, np.float64)
+        for k, lang in enumerate(self.languages):
+            table[:, k] += counts[lang]
+        table[0] = 1
+        self.lang_table = np.log(table / table.sum(axis=0)).astype(np.float32)
+
+    def calibrate(self, p: np.ndarray, n: np.ndarray, hits: np.ndarray, lang: np.ndarray) -> None:
+        """Thresholds of greatest F0.5 (precision counts more), halfway between the two scores that they part; ``n`` rows,
+        ``hits`` of them with label 1, have the score ``p`` and the guessed language ``lang``."""
+
+        def best(own):
+            scores, at = np.unique(-p[own], return_inverse=True)  # falling; ties are one score
+            rows, good = (np.cumsum(np.bincount(at, x[own], len(scores))) for x in (n, hits))
+            k = int((1.25 * good / (rows + 0.25 * good[-1])).argmax())
+            below = -scores[k + 1] if k + 1 < len(scores) else 0.0
+            return float(np.clip((-scores[k] + below) / 2, 1e-4, 1 - 1e-4))
+
+        self.common = best(n > 0) if hits.any() else 0.5
         self.thresholds = np.full(len(self.languages), self.common)
         for k in range(len(self.languages)):
             own = lang == k
-            if y[own].sum() >= OWN_THRESHOLD[0] and (1 - y[own]).sum() >= OWN_THRESHOLD[1]:
-                self.thresholds[k] = best(p[own], y[own])
+            if hits[own].sum() >= OWN_THRESHOLD[0] and (n - hits)[own].sum() >= OWN_THRESHOLD[1]:
+                self.thresholds[k] = best(own)
 
 
-def fit(texts: list[str], y: np.ndarray, langs: list, seed: int = 7) -> Model:
-    """A calibrated model of a sample; every fourth row calibrates, the rest trains."""
+class Shard:
+    """Labelled rows in the order of their ids; every fourth calibrates, the rest trains."""
+
+    def __init__(self, ids: list[np.ndarray], y: np.ndarray, langs: list, number: int = 0):
+        self.ids, self.y, self.langs, self.number = ids, y, langs, number
+
+    def calibrates(self, all_rows: bool = False) -> np.ndarray:
+        return (np.arange(len(self.ids)) % 4 == 3) | all_rows
+
+    def counts(self):
+        """Texts that hold each bucket, and (rows, rows of label 1) in all and among those that calibrate."""
+        docs = np.zeros(BUCKETS, np.int64)
+        for x in self.ids:
+            docs[np.unique(x)] += 1
+        cal = self.calibrates()
+        return docs, np.array([len(self.y), self.y.sum(), cal.sum(), self.y[cal].sum()], np.int64)
+
+    def languages(self, m: Model) -> dict[str, np.ndarray]:
+        """Occurrences of the learnt words in the texts of each language."""
+        out: dict[str, np.ndarray] = {}
+        for x, lang in zip(self.ids, self.langs):
+            if lang is not None:
+                out[lang] = out.get(lang, 0) + np.bincount(m.rows[x], minlength=len(m.embed))
+        return out
+
+    def epoch(self, m: Model, rngs: dict, seed: int, train_all: bool, share: float):
+        """Sums over one shard of what ``averaged`` needs: parameters and sums of squares after an epoch, which embeddings
+        were changed, the number of shards and the state of the draws."""
+        rng = copy.deepcopy(rngs[self.number]) if self.number in rngs else np.random.default_rng([seed, self.number])
+        m, mine = copy.deepcopy(m), np.flatnonzero(~self.calibrates() | train_all)
+        if not len(mine):
+            return None
+        changed = m.train([self.ids[i] for i in mine], self.y[mine].astype(np.float64), share, rng)
+        rows = np.flatnonzero(changed)
+        embed = np.zeros((len(m.embed), 2 * DIM + 1), np.float32)
+        embed[rows] = np.concatenate((m.embed[rows], m.acc_e[rows], np.ones((len(rows), 1), np.float32)), axis=1)
+        return embed, [*m.dense(), *m.sums, np.float32(m.shift)], 1, {self.number: rng}
+
+    def scored(self, m: Model, cal_all: bool, digits: int | None):
+        """(score, language) of the calibrating rows with the number of rows and of those with label 1."""
+        mine = np.flatnonzero(self.calibrates(cal_all))
+        ids, out = [self.ids[i] for i in mine], {}
+        p, lang = m.raw(ids), m.language(ids)
+        for key, y in zip(zip((p if digits is None else p.round(digits)).tolist(), lang.tolist()), self.y[mine].tolist()):
+            n, hits = out.get(key, (0, 0))
+            out[key] = n + 1, hits + y
+        return out
+
+
+def both(a, b):
+    """Sum of two results of a step, part by part."""
+    if a is None or b is None:
+        return b if a is None else a
+    if isinstance(a, dict):
+        return a | {k: both(a.get(k), v) for k, v in b.items()}
+    if isinstance(a, (tuple, list)):
+        return type(a)(both(x, y) for x, y in zip(a, b))
+    return a + b
+
+
+def averaged(m: Model, sums) -> dict:
+    """Puts the mean of the shards' models into m; returns the states of the draws."""
+    embed, dense, n, rngs = sums
+    rows = np.flatnonzero(embed[:, -1])
+    mean = embed[rows, :-1] / embed[rows, -1:]
+    m.embed[rows], m.acc_e[rows] = mean[:, :DIM], mean[:, DIM:]
+    for mine, x in zip([*m.dense(), *m.sums], dense):
+        mine[:] = x / np.float32(n)
+    m.shift = np.float32(dense[-1] / np.float32(n))
+    return rngs
+
+
+def learn(over: Callable, seed: int = 7) -> Model:
+    """A calibrated model of all shards; ``over(step, *values)`` is the sum of ``step(shard, *values)`` over them."""
     rng = np.random.default_rng(seed)
-    ids = buckets(texts)
-    docs = np.zeros(BUCKETS, np.int32)
-    for x in ids:
-        docs[np.unique(x)] += 1
+    docs, (n, good, n_cal, good_cal) = over(Shard.counts) or (np.zeros(BUCKETS, np.int64), (0, 0, 0, 0))
     docs[0] = 0
-    learnt = np.flatnonzero(docs >= max(3, LEAST_SHARE * len(ids)))
+    learnt = np.flatnonzero(docs >= max(3, LEAST_SHARE * n))
     rows = np.zeros(BUCKETS, np.int32)
     rows[learnt] = np.arange(1, len(learnt) + 1)
     embed = rng.normal(0, 0.1, (len(learnt) + 1, DIM)).astype(np.float32)
     embed[0] = 0
     m = Model(rows, embed, rng)
-    if not len(y) or y.min() == y.max():
+    if good in (0, n):
         m.out[:] = 0
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 0.999))
+        share = float(np.clip(good / n if n else 0.0, 1e-3, 0.999))
         m.shift, m.common = np.float32(np.log(share / (1 - share))), 0.9999
         return m
-    m.learn_languages(ids, langs)
-    cal = np.arange(len(ids)) % 4 == 3
-    if not y[cal].any():
-        cal = y >= 0
-    train = ~cal if (~cal).any() and y[~cal].any() else y >= 0
-    m.train([ids[i] for i in np.flatnonzero(train)], y[train].astype(np.float64), rng)
-    own = [ids[i] for i in np.flatnonzero(cal)]
-    m.calibrate(m.raw(own), y[cal], m.language(own))
+    m.learn_languages(over(Shard.languages, m) or {})
+    cal_all = not good_cal  # no calibrating row has label 1: all rows calibrate, and all train
+    train_all = cal_all or good == good_cal
+    share = good / n if train_all else (good - good_cal) / (n - n_cal)
+    m.ready()
+    rngs = {0: rng}
+    for _ in range(EPOCHS):
+        rngs = averaged(m, over(Shard.epoch, m, rngs, seed, train_all, share))
+    found = over(Shard.scored, m, cal_all, None if (n if cal_all else n_cal) <= EXACT_SCORES else 5)
+    (p, lang), (rows_at, hits) = np.array([*found]).T, np.array([*found.values()]).T
+    m.calibrate(p, rows_at, hits, lang.astype(int))
+    del m.sums, m.acc_e
     return m
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on a sample of labelled rows: by a hash of the id, about ``rows``
-    at most.  Only the sample's ids are broadcast and only its rows leave the
-    executors."""
+def fit(texts: list[str], y: np.ndarray, langs: list, seed: int = 7) -> Model:
+    """A calibrated model of one shard, here."""
+    shard = Shard(buckets(texts), np.asarray(y), langs)
+    return learn(lambda step, *values: step(shard, *values), seed)
+
+
+def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on every labelled row that may be learnt: each step runs in the tasks that hold the shards."""
+    spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").alias("tid"), "toxic").filter("tid is not null and toxic is not null")
-    marked = sample_by_id(marked.filter(in_train("tid")), rows, 6, "tid").groupBy("tid").agg(F.max("toxic").alias("toxic"))
+    marked = sized(marked.filter(in_train("tid")).groupBy("tid").agg((F.max("toxic") > 0).cast("int").alias("y")))
     cols = [F.col("doc_id"), F.col("text"), F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")]
-    got = docs.select(*cols).filter("text is not null").join(F.broadcast(marked), F.col("doc_id") == F.col("tid"))
-    pdf = got.select("doc_id", "text", "lang", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return fit(pdf["text"].tolist(), (pdf["toxic"] > 0).to_numpy().astype(int), [x if isinstance(x, str) else None for x in pdf["lang"]])
+    got = docs.select(*cols).filter("text is not null").filter(in_train()).join(marked, F.col("doc_id") == F.col("tid"))
+
+    @F.pandas_udf("binary")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for b in batches:
+            yield pd.Series([x.tobytes() for x in buckets(b.tolist(), known)], dtype=object)
+
+    rows = settled(got.select("doc_id", hashed("text").alias("ids"), "lang", "y"))
+    n, words = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids")) / 4).first()
+    shards = max(1, -(-n // SHARD_ROWS), int((words or 0) // SHARD_WORDS))
+    rows = settled(rows.repartition(shards, "doc_id").sortWithinPartitions("doc_id", "ids", "lang"))
+    held, groups = rows.select("ids", "lang", "y").rdd, math.isqrt(shards)
+
+    def over(step, *values):
+        shared = spark.sparkContext.broadcast(values)
+
+        def run(number, part):
+            single_thread()
+            part = [(np.frombuffer(r.ids, np.int32), r.y, r.lang) for r in part]
+            try:
+                if part:
+                    yield number % groups, step(Shard([x for x, _, _ in part], np.array([y for _, y, _ in part]), [lang for _, _, lang in part], number), *shared.value)
+            finally:
+                release()
+
+        try:
+            return held.mapPartitionsWithIndex(run).reduceByKey(both, groups).values().treeAggregate(None, both, both)
+        finally:
+            shared.destroy()
+
+    return learn(over)
 
 
 def score_udf(spark: SparkSession, model: Model):
