@@ -56,12 +56,6 @@ class Eval:
     def rule(self):
         return settled(common.rule_entities_of(self.t, self.meta.select("note_id", "visit_occurrence_id", "cse", "patient_type")))
 
-    @cached_property
-    def rule_contexts(self):
-        """``rule`` with the sentence of each entity and one on each side, from the pass that finds them."""
-        ids = self.meta.select("note_id", "visit_occurrence_id", "cse", "patient_type")
-        return common.rule_entities_of(self.t, ids, context=("sentence", 1, 1))
-
     def ents(self, method):
         """Entities with the method's keep flag; ``ml`` from the predictions given, else from the fixed ones."""
         if method == "ml" and self.predicted is not None:
