@@ -201,9 +201,10 @@ class Model:
         table[0] = 1
         self.lang_table = np.log(table / table.sum(axis=0)).astype(np.float32)
 
-    def calibrate(self, p: np.ndarray, n: np.ndarray, hits: np.ndarray, lang: np.ndarray) -> None:
-        """Thresholds of greatest F0.5 (precision counts more), halfway between the two scores that they part; ``n`` rows,
-        ``hits`` of them with label 1, have the score ``p`` and the guessed language ``lang``."""
+    def calibrate(self, p: np.ndarray, hits: np.ndarray, lang: np.ndarray, n: np.ndarray | None = None) -> None:
+        """Thresholds of greatest F0.5 (precision counts more), halfway between the two scores that they part; ``n`` rows
+        (one, if not given), ``hits`` of them with label 1, have the score ``p`` and the guessed language ``lang``."""
+        n = np.ones(len(p), np.int64) if n is None else n
 
         def best(own):
             scores, at = np.unique(-p[own], return_inverse=True)  # falling; ties are one score
@@ -318,7 +319,7 @@ def learn(over: Callable, seed: int = 7) -> Model:
         rngs = averaged(m, over(Shard.epoch, m, rngs, seed, train_all, share))
     found = over(Shard.scored, m, cal_all, None if (n if cal_all else n_cal) <= EXACT_SCORES else 5)
     (p, lang), (rows_at, hits) = np.array([*found]).T, np.array([*found.values()]).T
-    m.calibrate(p, rows_at, hits, lang.astype(int))
+    m.calibrate(p, hits, lang.astype(int), rows_at)
     del m.sums, m.acc_e
     return m
 
