@@ -79,9 +79,15 @@ def emit_beside(spans: DataFrame, notes: DataFrame, fields: str, make: Callable[
     ``make()(text, begins, ends)`` yields one tuple a span.  The spans of a note reach its text as one
     array, whose other columns pass through as Arrow values; the text is shuffled once and not copied."""
     cols = [c for c in spans.columns if c not in (*keys, "note_text")]
-    own = T.StructType.fromDDL(fields)
-    schema = T.StructType([spans.schema[c] for c in (*keys, *cols)] + own.fields)
     lists = spans.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("_spans"))
+    return emit_of_lists(lists.join(notes.select(*keys, "note_text"), list(keys)), fields, make, keys)
+
+
+def emit_of_lists(lists: DataFrame, fields: str, make: Callable[[], Callable[..., Iterable[tuple]]],
+                  keys: tuple[str, ...] = ("note_id",)) -> DataFrame:
+    """One row for each of ``_spans`` (an array beside its ``note_text``), as ``emit_beside`` gives; nothing is moved."""
+    own, cols = T.StructType.fromDDL(fields), lists.schema["_spans"].dataType.elementType
+    schema = T.StructType([lists.schema[c] for c in keys] + cols.fields + own.fields)
 
     def run(batches):
         import numpy as np
@@ -98,11 +104,11 @@ def emit_beside(spans: DataFrame, notes: DataFrame, fields: str, make: Callable[
                 found += rows(text or "", begins[at : at + n], ends[at : at + n])
                 at += n
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            kept = [*[b.column(k).take(at) for k in keys], *[flat.field(c) for c in cols]]
+            kept = [*[b.column(k).take(at) for k in keys], *[flat.field(c) for c in cols.fieldNames()]]
             new = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(kept + new, schema.fieldNames())
 
-    return lists.join(notes.select(*keys, "note_text"), list(keys)).mapInArrow(run, schema)
+    return lists.select(*keys, "_spans", "note_text").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------------------

@@ -60,18 +60,23 @@ def _lexicon(terms: tuple, cues: tuple, normaliser: sp.Normaliser) -> sp.Lexicon
     return sp.Lexicon(terms, dict(cues), normaliser)
 
 
+FOUND_FIELDS = ("label_name string, status_int int, offset_begin int, offset_end int, lexical_variant string, "
+                "negation boolean, hypothesis boolean, family boolean")
 CONTEXT_FIELDS = "context_begin int, context_end int, context string, span_start int, span_end int"
 
 
 def window_of(kind: str, *sizes: int):
-    """``text -> (begin, end) -> bounds`` of a neighbourhood: ("sentence", before, after) or ("token", n)."""
+    """``text -> (begin, end) -> bounds`` of a neighbourhood: ("sentence", before, after), ("token", n) or
+    ("character", n): n of them on each side, truncated toward zero and clipped to the text."""
     def of(text: str):
+        if kind == "character":
+            return lambda b, e: (max(0, int(b - sizes[0])), min(int(e + sizes[0]), len(text)))
         if kind == "sentence":
             bounds = sp.sentence_bounds(text)
             return lambda b, e: sp.sentence_window(bounds, b, e, *sizes)
         bounds = sp.token_bounds(text)
         return lambda b, e: sp.token_window(bounds, b, e, *sizes)
-    if kind not in ("sentence", "token"):
+    if kind not in ("sentence", "token", "character"):
         raise ValueError(kind)
     return of
 
@@ -88,6 +93,33 @@ def extract_entities(notes: DataFrame, lexicon=None, qualify: bool = True, norma
     ``context`` (as in ``window_of``) also the match's neighbourhood.  A
     term of several lexicon rows yields a row for each.
     """
+    make = _finder(lexicon, qualify, normaliser, negation_cues, hypothesis_cues, family_cues, context)
+    keep = [k for k in keep if k in notes.columns]
+    found = sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
+                    FOUND_FIELDS + (", " + CONTEXT_FIELDS if context else ""), make)
+    out = with_status(found)
+    more = [f.split()[0] for f in CONTEXT_FIELDS.split(", ")] if context else []
+    return out.select(
+        "note_id", *keep, "label_name", normalize_label_value(F.col("status")).alias("label_value"), "status",
+        "offset_begin", "offset_end", "lexical_variant", *CUE_KINDS, *more)
+
+
+def entity_lists(notes: DataFrame) -> DataFrame:
+    """note_id, note_text and ``_spans``, the text's matches as one array of FOUND_FIELDS (texts without one give
+    no row).  The text stays where it is read, so that what derives from the matches can be cut from it there."""
+    make = _finder(None, True, sp.Normaliser(), None, None, None, None)
+
+    def lists():
+        rows = make()
+        return lambda text: [(found,)] if (found := list(rows(text))) else []
+
+    fields = FOUND_FIELDS.replace(" ", ":").replace(",:", ",")
+    return sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", "note_text"], ["note_text"],
+                   f"_spans array<struct<{fields}>>", lists)
+
+
+def _finder(lexicon, qualify, normaliser, negation_cues, hypothesis_cues, family_cues, context):
+    """``make`` of ``sp.emit``: the FOUND_FIELDS of each match of a text, and its neighbourhood if one is asked for."""
     lexicon = [tuple(r) for r in (lexicon or config.LEXICON)]
     cues = {"negation": negation_cues or config.NEGATION_CUES, "hypothesis": hypothesis_cues or config.HYPOTHESIS_CUES,
             "family": family_cues or config.FAMILY_CUES}
@@ -109,16 +141,7 @@ def extract_entities(notes: DataFrame, lexicon=None, qualify: bool = True, norma
                     yield (lexicon[n][1], int(lexicon[n][2]), begin, end, text[begin:end], *(flags if qualify else (None,) * 3), *more)
         return rows
 
-    keep = [k for k in keep if k in notes.columns]
-    fields = ("label_name string, status_int int, offset_begin int, offset_end int, lexical_variant string, "
-              "negation boolean, hypothesis boolean, family boolean")
-    found = sp.emit(notes.filter(F.col("note_text").isNotNull()), ["note_id", *keep], ["note_text"],
-                    fields + (", " + CONTEXT_FIELDS if context else ""), make)
-    out = with_status(found)
-    more = [f.split()[0] for f in CONTEXT_FIELDS.split(", ")] if context else []
-    return out.select(
-        "note_id", *keep, "label_name", normalize_label_value(F.col("status")).alias("label_value"), "status",
-        "offset_begin", "offset_end", "lexical_variant", *CUE_KINDS, *more)
+    return make
 
 
 def to_keep(method: str = "rule_based", model_col: str | None = None) -> Column:

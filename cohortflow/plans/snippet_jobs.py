@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortflow import config
-from cohortflow.operators import snippets
+from cohortflow.operators import cohort, entities, snippets
 from cohortflow.plans import common
 from cohortflow.plans.registry import ORACLES, register, tables
 from cohortflow.plans.sqlmodel import lit, with_model
-from cohortflow.session import checkpoint_dir
+from cohortflow.session import settled
+from cohortflow.sources.tables import note_texts
 
 SNIPPET_LENGTH = 100
 MAX_NOTES = 50
@@ -18,13 +19,26 @@ EVAL_PREFIX = with_model("person", "strata", "visit_occurrence", "condition_occu
     + common.TEXTS_SQL + ",\n" + common.ner_sql("texts")
 
 
-def _rule(spark, sf_dir, texts=common.texts):
-    """Texts and their entities, extracted once (the snippets need them several times)."""
+def _rule(spark, sf_dir):
+    """The corpus' texts and their entities, extracted once (the snippets need them several times)."""
     t = tables(spark, sf_dir)
-    tx = texts(t)
-    checkpoint_dir(spark)
-    e = common.all_rule_entities(t) if texts is common.all_texts else common.rule_entities(t, tx)
-    return tx, e.checkpoint(eager=True)
+    tx = common.texts(t)
+    return tx, settled(common.rule_entities(t, tx))
+
+
+def _all_snippets(spark, sf_dir, *more):
+    """X13 over every note: the entities are found once, each with its window of the text, where the documents are read."""
+    t = tables(spark, sf_dir)
+    once, again = common.once_and_again(t, settled(common.note_visits(t)))
+    cols = ["label_name", "note_id", "offset_begin", "offset_end", *more]
+    e = entities.extract_entities(note_texts(t), keep=(), context=("character", SNIPPET_LENGTH / 2))
+    e = settled(e.select(*cols, "context_begin", "context").join(once.select("note_id"), "note_id"))
+    out, text = snippets.concat_snippets(e, None, SNIPPET_LENGTH)
+    if again is not None:
+        e = settled(common.rule_entities_of(t, again).select(*cols))
+        more_out, more_text = snippets.concat_snippets(e, cohort.with_texts(t, again), SNIPPET_LENGTH)
+        out, text = out.unionByName(more_out), text.unionByName(more_text)
+    return out, text
 
 
 @register("snippet_entities_all_notes")
@@ -32,12 +46,7 @@ def _rule(spark, sf_dir, texts=common.texts):
 def snippet_entities(spark, sf_dir):
     """Entities of every note re-based into the concatenated snippets of their
     (label, note), with the re-cut variant (P27 check column)."""
-    return _snippet_entities(*_rule(spark, sf_dir, common.all_texts))
-
-
-def _snippet_entities(tx, e):
-    out, _ = snippets.concat_snippets(e.select("label_name", "note_id", "offset_begin", "offset_end",
-                                               "lexical_variant"), tx, SNIPPET_LENGTH)
+    out, _ = _all_snippets(spark, sf_dir, "lexical_variant")
     return out.select("label_name", "note_id", "offset_begin", "offset_end", "snippet_num",
                       "new_offset_begin", "new_offset_end",
                       (F.col("new_lexical_variant") == F.col("lexical_variant")).alias("variant_ok"))
@@ -47,12 +56,7 @@ def _snippet_entities(tx, e):
 @register("snippet_texts")
 def snippet_texts(spark, sf_dir):
     """One concatenated snippet text per (label, note), over every note."""
-    return _snippet_texts(*_rule(spark, sf_dir, common.all_texts))
-
-
-def _snippet_texts(tx, e):
-    _, text = snippets.concat_snippets(e.select("label_name", "note_id", "offset_begin", "offset_end"),
-                                       tx, SNIPPET_LENGTH)
+    _, text = _all_snippets(spark, sf_dir)
     return text.select("label_name", "note_id", "n_snippets", "snippet_note_text")
 
 
@@ -76,9 +80,7 @@ def annotation_ids(spark, sf_dir):
 @register("snippet_variant_mismatches")
 def snippet_variant_mismatches(spark, sf_dir):
     """Snippets checked and counted by label: re-cut entities, and those whose wording differs (none may)."""
-    tx, e = _rule(spark, sf_dir, common.all_texts)
-    out, _ = snippets.concat_snippets(e.select("label_name", "note_id", "offset_begin", "offset_end", "lexical_variant"),
-                                      tx, SNIPPET_LENGTH)
+    out, _ = _all_snippets(spark, sf_dir, "lexical_variant")
     bad = snippets.variant_mismatches(out).groupBy("label_name").agg(F.count(F.lit(1)).alias("bad"))
     n = out.groupBy("label_name").agg(F.count(F.lit(1)).alias("entities"))
     return n.join(bad, "label_name", "left").select("label_name", "entities", F.coalesce("bad", F.lit(0)).alias("mismatches"))
