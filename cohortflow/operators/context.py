@@ -20,7 +20,8 @@ from cohortflow.functions import text as tx
 from cohortflow.operators.entities import CONTEXT_FIELDS, window_of
 
 
-def _windows(kind: str, *sizes: int):
+def windows(kind: str, *sizes: int):
+    """The row maker of the contexts: CONTEXT_FIELDS of each span."""
     of = window_of(kind, *sizes)
 
     def rows(text, begins, ends):
@@ -35,14 +36,14 @@ def sentence_context(ents: DataFrame, notes: DataFrame, n_before: int = 1, n_aft
     """W6 / X8 (sentence mode): the entity's sentence plus ``n_before`` /
     ``n_after`` neighbouring sentences (clipped at the document ends) and the
     span offsets inside that context."""
-    return sp.emit_beside(ents, notes, CONTEXT_FIELDS, _windows("sentence", n_before, n_after))
+    return sp.emit_beside(ents, notes, CONTEXT_FIELDS, windows("sentence", n_before, n_after))
 
 
 def token_context(ents: DataFrame, notes: DataFrame, n: int = 5) -> DataFrame:
     """W7 / X8 (token mode): ``n`` tokens before and after the entity
     (tokens = letter runs, digit runs or single symbols), original
     whitespace kept; span offsets inside the context."""
-    return sp.emit_beside(ents, notes, CONTEXT_FIELDS, _windows("token", n))
+    return sp.emit_beside(ents, notes, CONTEXT_FIELDS, windows("token", n))
 
 
 def included_token_context(ents: DataFrame, notes: DataFrame, excluded: str, n: int = 5, count_excluded: bool = False) -> DataFrame:
@@ -141,6 +142,14 @@ def expand_to_tokens(spans: DataFrame, notes: DataFrame) -> DataFrame:
     """Spans expanded to token boundaries (a span starting or ending
     inside a letter or digit run grows to the whole run), as a character
     span aligned with alignment mode "expand"."""
+    return sp.emit_beside(spans, notes, TOKEN_FIELDS, grown_to_tokens)
+
+
+TOKEN_FIELDS = "token_begin int, token_end int"
+
+
+def grown_to_tokens():
+    """The row maker of ``expand_to_tokens``."""
     def rows(text, begins, ends):
         starts, stops = sp.token_bounds(text)
         for b, e in zip(begins, ends):
@@ -149,4 +158,4 @@ def expand_to_tokens(spans: DataFrame, notes: DataFrame) -> DataFrame:
             grown = starts[first] if first >= 0 and stops[first] > b else b
             yield grown, stops[last] if last < len(stops) and starts[last] < e else e
 
-    return sp.emit_beside(spans, notes, "token_begin int, token_end int", lambda: rows)
+    return rows

@@ -194,12 +194,18 @@ def gold_token_aligned(spark, sf_dir):
     """Gold spans of every note (inside it) expanded to token boundaries."""
     t = tables(spark, sf_dir)
     from cohortflow.operators import context
-    g = common.perturb_gold(common.all_rule_entities(t))
-    tx = common.all_texts(t)
-    lengths = note_texts(t).select("note_id", F.length("note_text").alias("_n")).join(common.note_visits(t), "note_id")
+    once, again = common.once_and_again(t, settled(common.note_visits(t)))
+    g = common.gold_beside_texts(note_texts(t), context.TOKEN_FIELDS, context.grown_to_tokens)
+    out = g.join(once.select("note_id"), "note_id") \
+        .select("note_id", "label_name", "offset_begin", "offset_end", "token_begin", "token_end")
+    if again is None:
+        return out
+    g = common.perturb_gold(common.rule_entities_of(t, again))
+    lengths = note_texts(t).select("note_id", F.length("note_text").alias("_n")).join(again, "note_id")
     g = g.join(lengths.select("note_id", "_n"), "note_id") \
         .filter(F.col("offset_end") <= F.col("_n")).drop("_n")
-    return context.expand_to_tokens(g.select("note_id", "label_name", "offset_begin", "offset_end"), tx)
+    return out.unionByName(context.expand_to_tokens(g.select("note_id", "label_name", "offset_begin", "offset_end"),
+                                                    cohort.with_texts(t, again)))
 
 
 def gold_raw(t):
