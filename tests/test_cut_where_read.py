@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators import cohort, context, entities, snippets
 from cohortflow.plans import common, extra_jobs, ml_jobs, snippet_jobs
 from cohortflow.plans.eval_jobs import Eval
-from cohortflow.plans.registry import tables
-from cohortflow.sources.tables import note_texts
+from cohortflow.sources.tables import Tables, note_texts
 from test_text_moves import SF, moves
 
 TEXT = "no thing here. The thing was erble of ünïted\U0001F600 thing, not einau.\n" + 130 * "x " + "license thing thing\n" + 60 * "été " + "erble"
@@ -42,7 +41,7 @@ def _again(t):
 
 @pytest.mark.parametrize("repeat", [False, True])
 def test_gold_token_aligned_as_with_the_texts(spark, monkeypatch, repeat):
-    t = _again(tables(spark, SF)) if repeat else tables(spark, SF)
+    t = _again(Tables(spark, SF)) if repeat else Tables(spark, SF)
     monkeypatch.setattr(extra_jobs, "tables", lambda *_: t)
     g = common.perturb_gold(common.all_rule_entities(t))
     n = note_texts(t).select("note_id", F.length("note_text").alias("_n")).join(common.note_visits(t), "note_id")
@@ -65,7 +64,7 @@ def test_gold_contexts_as_with_the_texts(spark, repeat):
 
 @pytest.mark.parametrize("repeat", [False, True])
 def test_snippets_as_with_the_texts(spark, monkeypatch, repeat):
-    t = tables(spark, SF)
+    t = Tables(spark, SF)  # not the shared ones
     if repeat:  # copies only: the places of texts that differ under one id are in no order
         d = t.raw("documents").filter("doc_id < 60")
         t._cache["documents"] = d.union(d.filter("doc_id % 3 = 0"))
@@ -92,7 +91,7 @@ def test_islands_of_windows_are_those_of_texts(spark, length):
 
 
 def test_once_and_again(spark):
-    t = _again(tables(spark, SF))
+    t = _again(Tables(spark, SF))
     once, again = common.once_and_again(t, common.note_visits(t).localCheckpoint())
     ids = {r["note_id"] for r in again.collect()}
     assert ids == {i for i in range(40) if i % 3 == 0 or i // 2 % 5 == 0}
