@@ -200,6 +200,7 @@ def gold_token_aligned(spark, sf_dir):
         .select("note_id", "label_name", "offset_begin", "offset_end", "token_begin", "token_end")
     if again is None:
         return out
+    t = common.with_documents_of(t, again)
     g = common.perturb_gold(common.rule_entities_of(t, again))
     lengths = note_texts(t).select("note_id", F.length("note_text").alias("_n")).join(again, "note_id")
     g = g.join(lengths.select("note_id", "_n"), "note_id") \

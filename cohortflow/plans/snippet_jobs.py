@@ -35,6 +35,7 @@ def _all_snippets(spark, sf_dir, *more):
     e = settled(e.select(*cols, "context_begin", "context").join(once.select("note_id"), "note_id"))
     out, text = snippets.concat_snippets(e, None, SNIPPET_LENGTH)
     if again is not None:
+        t = common.with_documents_of(t, again)
         e = settled(common.rule_entities_of(t, again).select(*cols))
         more_out, more_text = snippets.concat_snippets(e, cohort.with_texts(t, again), SNIPPET_LENGTH)
         out, text = out.unionByName(more_out), text.unionByName(more_text)
